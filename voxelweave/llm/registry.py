@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_shards, op02_langid, op03_toxicity, op05_html, op06_topk, op07_mix, op08_media, op09_pack
+from . import op01_shards, op02_langid, op03_toxicity, op04_jaccard, op05_html, op06_topk, op07_mix, op08_media, op09_pack
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_hash_tree_shards": op01_shards.op1_hash_tree_shards,
         "op2_string_kernel_langid": op02_langid.op2_string_kernel_langid,
         "op3_noisy_channel_toxicity": op03_toxicity.op3_noisy_channel_toxicity,
+        "op4_adaptive_prefix_jaccard": op04_jaccard.op4_adaptive_prefix_jaccard,
         "op5_tag_path_extract": op05_html.op5_tag_path_extract,
         "op6_nra_topk": op06_topk.op6_nra_topk,
         "op7_fair_queue_mix": op07_mix.op7_fair_queue_mix,
