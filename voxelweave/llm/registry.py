@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_shards, op02_langid, op03_toxicity, op04_jaccard, op05_html, op06_topk, op07_mix, op08_media, op09_pack
+from . import op01_shards, op02_langid, op03_toxicity, op04_jaccard, op05_html, op06_topk, op07_mix, op08_media, op09_pack, op10_pii
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_fair_queue_mix": op07_mix.op7_fair_queue_mix,
         "op8_avi_media": op08_media.op8_avi_media,
         "op9_config_lp_pack": op09_pack.op9_config_lp_pack,
+        "op10_surrogate_pii": op10_pii.op10_surrogate_pii,
     }
 
 
