@@ -9,11 +9,15 @@ prefix tokens wins. Two documents with m1 and m2 are a candidate if they share
 min(m1, m2) tokens of that prefix length.
 
 Groups of copies are not expanded into pairs. Equal sets are one node. In each
-posting list all nodes meet the list's smallest node first (a star, linear in
-the list); verified links form components, and only nodes of one list that are
-still in different components meet each other, with the multi-match count,
-length and position filters applied. Every pair that could join two components
-is so examined, and components equal those of the complete join.
+posting list all nodes point at the list's smallest node (a star, linear in the
+list); pairs that do so in two lists or more are verified, links form
+components, and only nodes of one list that are still in different components
+meet each other, with the multi-match count, length and position filters
+applied. Large families of near copies whose members mostly do not link are
+described by their difference to the family's hub, from which the overlap of
+any two members follows exactly; members meet in blocks, and a block returns a
+spanning forest of its links. Every pair that could join two components is so
+examined, and components equal those of the complete join.
 
 Frequent tokens' lists are salted in the star round. Long texts are hashed
 whole. Sketch and prefix lengths are bounded by parameters; postings, links and
@@ -39,6 +43,12 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 #: A posting list expected to be longer is salted in the star round.
 SALT_FROM = 2000
+#: Star lists that must agree before a pair is verified in the star round.
+STAR_LEAST = 2
+#: From so many members on, a hub's star is a family; members have at least
+#: FAMILY_LEAST percent similarity to the hub, and meet in blocks of about
+#: FAMILY_BLOCK.
+FAMILY, FAMILY_LEAST, FAMILY_BLOCK = 64, 20, 512
 #: Sides whose measured size is below are broadcast.
 BROADCAST_BYTES = 24 << 20
 _CHUNK = 1 << 20
@@ -185,38 +195,112 @@ def _sets(known, k: int, percent: int):
 
 
 def _verify(k: int, percent: int):
+    """a, b, family, texts -> whether they link; for families also what a lacks
+    of b and has besides."""
+
     def run(batches):
         import pyarrow as pa
 
         last, kept = None, None
+        names = ["a", "b", "linked", "na", "nb", "lacks", "extra"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            a, b, family, ta, tb = (batch.column(i).to_pylist() for i in range(5))
             out = []
-            for x, y, s, t in zip(a, b, many(ta, k), tb):
+            for x, y, f, s, t in zip(a, b, family, many(ta, k), tb):
                 if last != t:
                     last, kept = t, shingles(t, k)
                 both = len(np.intersect1d(s, kept, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(kept) - both) and both:
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                union = len(s) + len(kept) - both
+                near = f and 100 * both >= FAMILY_LEAST * union
+                lacks = np.setdiff1d(kept, s, assume_unique=True).view(np.int64) if near else None
+                extra = np.setdiff1d(s, kept, assume_unique=True).view(np.int64) if near else None
+                linked = bool(both) and 100 * both >= percent * union
+                if linked or near:
+                    out.append((x, y, linked, len(s), len(kept), lacks, extra))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
     return run
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+def _common(lists: list[list[int]]) -> np.ndarray:
+    """How many tokens each two lists share; tokens of one list only are left
+    out, the others are counted by matrix products."""
+    n = len(lists)
+    total = np.zeros((n, n), np.float32)
+    rows = np.repeat(np.arange(n), [len(x) for x in lists])
+    if not len(rows):
+        return total
+    _, at, times = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[at]
+    keep = shared[at]
+    rows, column = rows[keep], column[keep]
+    for c in range(0, int(shared.sum()), 2048):
+        m = (column >= c) & (column < c + 2048)
+        x = np.zeros((n, 2048), np.float32)
+        x[rows[m], column[m] - c] = 1
+        total += x @ x.T
+    return total
+
+
+def _block(percent: int):
+    """Members of one or two blocks of a family -> a spanning forest of the
+    links between different components."""
+
+    def run(table):
+        import pyarrow as pa
+
+        node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
+        n, hub = table.column("n").to_numpy(), int(table.column("hub_n")[0].as_py())
+        lacks, extra = table.column("lacks").to_pylist(), table.column("extra").to_pylist()
+        less = np.array([len(x) for x in lacks])
+        both = hub - less[:, None] - less[None, :] + _common(lacks) + _common(extra)
+        ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (comp[:, None] != comp[None, :])
+        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+            ok &= block[:, None] != block[None, :]
+        parent: dict[int, int] = {}
+
+        def find(c):
+            while parent.setdefault(c, c) != c:
+                c = parent[c]
+            return c
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(ok, 1)))):
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def family_links(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
+    """members (node, comp, pivot, n, hub_n, lacks, extra) -> links (a, b)."""
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
+    m = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    return m.groupBy("pivot", "lo", "hi").applyInArrow(_block(percent), "a long, b long")
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Broadcast if its rows, which are counted, take few bytes."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) of ids -> those whose texts are similar enough."""
+    """pairs (a, b, family) of ids -> a, b, linked, na, nb, lacks, extra of those
+    that link or belong to a family."""
     pairs = scratch.keep(pairs)
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    left = texts.join(_small(pairs, 24), texts["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("ta"))
+    left = texts.join(broadcast_if_small(pairs, 24), texts["doc_id"] == pairs["a"]).select("a", "b", "family", F.col("text").alias("ta"))
     ends = scratch.keep(pairs.select("b").distinct())
-    right = texts.join(_small(ends, 16), texts["doc_id"] == ends["b"]).select("b", F.col("text").alias("tb"))
-    both = left.join(right, "b").select("a", "b", "ta", "tb")
-    return scratch.keep(both.mapInArrow(_verify(k, percent), "a long, b long").distinct())
+    right = texts.join(broadcast_if_small(ends, 16), texts["doc_id"] == ends["b"]).select("b", F.col("text").alias("tb"))
+    both = left.join(right, "b").select("a", "b", "family", "ta", "tb")
+    return scratch.keep(both.mapInArrow(_verify(k, percent), "a long, b long, linked boolean, na long, nb long, lacks array<long>, extra array<long>"))
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -273,17 +357,29 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     mine = Window.partitionBy("token", "salt")
     posts = posts.withColumn("hub", F.min("node").over(mine)).withColumn("many", F.count(F.lit(1)).over(mine)).where("many > 1 or hot").drop("salt", "many", "hot")
     posts = scratch.keep(posts)
-    stars = posts.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")).select("a", "b")
+    stars = posts.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= STAR_LEAST)
     stars = scratch.keep(stars)
+    # each node's hub, and hubs of many
+    pivots = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    large = pivots.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= FAMILY).select("b")
+    # a doc_id that repeats has several texts and stays out of families
+    f = F.struct("fa", "fb")
+    several = scratch.keep(slim.where("n > 0").groupBy("doc_id").agg(F.min(f).alias("x"), F.max(f).alias("y")).where("x <> y").select(F.col("doc_id").alias("d")))
+    chosen = pivots.join(large, "b", "left_semi").join(several, F.col("a") == F.col("d"), "left_anti").join(several, F.col("b") == F.col("d"), "left_anti").select("a", "b", F.lit(True).alias("family"))
+    stars = scratch.keep(stars.join(chosen, ["a", "b"], "left").select("a", "b", F.coalesce("family", F.lit(False)).alias("family")))
     first = verify(scratch, stars, docs, k, percent)
-    found = components(scratch, first)
-    # lists that still hold several components
+    links = first.where("linked").select("a", "b").distinct()
+    found = scratch.keep(components(scratch, links))
     comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
-    posts = posts.join(found, "node", "left").select("token", "node", "n", "pos", "m", "level", comp)
+    members = first.where("lacks is not null").select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("nb").alias("hub_n"), "lacks", "extra").dropDuplicates(["node"])
+    members = scratch.keep(members.join(found, "node", "left").select("node", comp, "pivot", "n", "hub_n", "lacks", "extra"))
+    within = scratch.keep(family_links(scratch, members, percent))
+    # lists that still hold several components
+    posts = posts.join(found, "node", "left").join(members.select("node", "pivot"), "node", "left").select("token", "node", "n", "pos", "m", "level", comp, "pivot")
     open_ = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     posts = scratch.keep(posts.join(open_, "token", "left_semi"))
     x, y = posts.alias("x"), posts.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     length = F.col("x.n") * 100 >= F.col("y.n") * percent
     level = F.greatest("x.level", "y.level") <= F.least("x.m", "y.m")
@@ -292,8 +388,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     meet = x.join(y, apart & order & length & level & position)
     cand = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
     tested = stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    cand = cand.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(tested, ["lo", "hi"], "left_anti").select("a", "b")
-    second = verify(scratch, cand, docs, k, percent)
+    cand = cand.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(tested, ["lo", "hi"], "left_anti").select("a", "b", F.lit(False).alias("family"))
+    second = verify(scratch, cand, docs, k, percent).where("linked").select("a", "b").unionAll(within)
     ids = nodes.select("fa", "fb", "node")
     rows = scratch.keep(slim.join(ids, ["fa", "fb"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")))
     # rows that repeat a doc_id tie their sets together
