@@ -53,7 +53,7 @@ def fair_queue(docs: DataFrame, share: float = 1.5, stop: float = 2.0, weights:
     n = t.count()
     if n == 0:
         return t.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken")), scratch
-    ranges = max(16, -(-n // rows_a_range))
+    ranges = max(64, -(-n // rows_a_range))
     t = t.withColumn("cut", F.floor(F.col("h") / F.lit(float(16**15)) * ranges).cast("long"))
     cells = t.groupBy("flow", "cut").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("flow").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
