@@ -1,0 +1,295 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from voxelweave.llm import op02_langid as li, op03_toxicity as tx, op05_html as ht, op06_topk as tk, op08_media as md, op10_pii as pi
+from voxelweave.llm.common import held_out
+
+WORDS = {"en": "the and with from that thing every other water house".split(), "fr": "le les une avec dans être maison eau chaque autre".split()}
+
+
+def corpus(n=160, seed=1):
+    rnd = random.Random(seed)
+    return [(i, " ".join(rnd.choices(WORDS[lang], k=30)), lang, "s", 1) for i in range(n) for lang in [("en", "fr")[i % 2]]]
+
+
+# language
+
+
+def test_presence_counts_every_ngram_of_a_long_text():
+    a, b = np.zeros(1 << li.BITS, bool), np.zeros(1 << li.BITS, bool)
+    li.presence("Abcd efg", a)
+    li.presence("abcd EFG", b)
+    assert (a == b).all() and 20 <= a.sum() <= 26
+    rnd = random.Random(0)
+    text = "".join(rnd.choices("abcdef ", k=3000))
+    li._PART, old = 700, li._PART
+    try:
+        c, d = np.zeros(1 << li.BITS, bool), np.zeros(1 << li.BITS, bool)
+        li.presence(text, c)
+        li._PART = 1 << 20
+        li.presence(text, d)
+    finally:
+        li._PART = old
+    assert (c == d).all()
+
+
+def test_language_of_held_out_and_odd_rows(make):
+    rows = corpus() + [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 !!", "fr", "s", 0), (903, "water house " * 30_000, None, "s", 0), (903, "maison eau chaque", None, "s", 0), (None, "the other thing", "en", "s", 1)]
+    docs = make([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double")
+    got = li.identify(docs, li.fit(docs.select("doc_id", "text", "lang"))).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score"}
+    for r in got:
+        assert 0 <= r["score"] <= 1
+        if r["doc_id"] in (900, 901, 902):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["lang"]:
+            assert r["lang_pred"] == r["lang"]
+        else:
+            assert r["lang_pred"] == ("en" if r["text"][0] == "w" else "fr")
+
+
+def test_language_without_labels(make):
+    for rows in ([], [(1, "some text", None, "s", 1)]):
+        docs = make(rows)
+        assert [(r["lang_pred"], r["score"]) for r in li.identify(docs, li.fit(docs)).collect()] == [("und", 0.0)] * len(rows)
+
+
+def test_held_out_follows_crc(spark):
+    got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+# toxicity
+
+
+def model_of(spark, texts):
+    return tx.character_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+
+def test_decoding_restores_hidden_words(spark):
+    chars = model_of(spark, ["the stupid idiot is a loser and a moron said the clown " * 20, None, ""])
+    memo = {}
+    for hidden, word in [("1d10t", "idiot"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("looooser", "loser"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("cl0wwwwn", "clown")]:
+        assert word in tx.restore(f"you {hidden} there", chars, memo), hidden
+    plain = "a plain text, with 12 apples and 3.5 pears!!"
+    assert tx.restore(plain, chars, memo) == plain
+    assert tx.restore(None, chars, memo) == ""
+
+
+def brute_decode(span, model):
+    """All readings of a span without runs, scored one by one."""
+    readings = [("", 0.0)]
+    for ch in span:
+        opts = [(ch, 0.0)] if ch.isalpha() else [(ch, tx._SELF)] + [(c, tx._SUBSTITUTE) for c in tx.LOOKALIKE.get(ch, "")]
+        readings = [(a + b, s + t) for a, s in readings for b, t in opts]
+
+    def score(text, s):
+        x = y = 0
+        for c in text:
+            z = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalnum() else 0
+            s += model[x, y, z]
+            x, y = y, z
+        return s + model[x, y, 0]
+
+    return max((score(*r), r[0]) for r in readings)[1]
+
+
+def test_viterbi_equals_brute_force(spark):
+    chars = model_of(spark, ["some idle ballot tells a story of salt and glass " * 5])
+    for span in ["b4l1o7", "s4l7", "gl4$s"[:4], "t3l1", "0f1d"]:
+        assert tx.decode(span, chars) == brute_decode(span, chars)
+
+
+def test_toxicity_of_held_out_rows_and_edges(spark, make):
+    rnd = random.Random(4)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = rnd.choices(WORDS["en"], k=25) + (["horrible", "scoundrel"] if bad else [])
+        if i % 8 == 4:
+            words = [w.replace("scoundrel", "sc0undr3l") for w in words]
+        rnd.shuffle(words)
+        docs.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, int(bad)))
+    docs += [(900, None, None, None, 0), (901, "", None, None, 0), (902, "water " * 50_000 + "sc0undr3l", None, None, 0), (902, "water", None, None, 0), (None, "scoundrel", None, None, 0)]
+    labels += [(None, 1), (3, None), (7, 0), (7, 0)]
+    d, lab = make(docs).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    chars = tx.character_model(d)
+    weights, base = tx.fit(d, lab, chars)
+    got = [(r["doc_id"], r["score"]) for r in tx.score(d, chars, weights, base).collect()]
+    assert len(got) == len(docs)
+    for i, s in got:
+        assert 0 <= s <= 1
+        if i is not None and i < 400:
+            assert (s >= 0.5) == (i % 4 == 0)
+    assert sorted(s >= 0.5 for i, s in got if i == 902) == [False, True]
+    assert all(s < 0.5 for i, s in got if i in (900, 901))
+    empty = make([]).select("doc_id", "text")
+    weights, base = tx.fit(empty, lab, tx.character_model(empty))
+    assert tx.score(empty, chars, weights, base).collect() == []
+    assert {r["score"] for r in tx.score(d, chars, {}, -30.0).collect()} <= {1 / (1 + np.exp(30))}
+
+
+# pages
+
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
+<div id="cookie-notice">We use cookies, and more of them. Accept, please.</div><header>Site header, with words.</header><nav><ul><li><a>Home</a><li><a>About</a></ul></nav>
+<div class="layout"><div class="story"><h2>A title</h2><p>First  paragraph, which is&nbsp;long enough to matter &amp; has marks.<p>Second<b>ary</b> one, with <a href="x>y">a link</a>, and more text here.<br>After a break.
+<script>var a = "</p><p>not text";</script><ul><li>short<li>item</ul><aside>An aside, not wanted.</aside><form><input><button>Send</button></form></div>
+<div class="sidebar">Popular, today, and other things, many of them, on and on.</div></div>
+<section class="comments"><p>Reader says, this is a long comment, with marks, and it goes on and on.</p></section><footer>&copy; 2020, all rights.</footer><!-- <p>gone</p> --></body></html>"""
+
+
+def test_main_text():
+    assert ht.main_text(PAGE) == "A title First paragraph, which is long enough to matter & has marks. Secondary one, with a link, and more text here. After a break. short item"
+
+
+@pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<html><body></body>", ""), ("just text", "just text"), ("<p>a<p>b &lt;i&gt; &am", "a b <i> &am"), ("<article><h1>T &amp</h1><p>x<!-- never closed <p>y", "T & x"), ("<b>" * 3000 + "deep", "deep"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"), ("<script>x", "")])
+def test_odd_pages(page, text):
+    assert ht.main_text(page) == text
+
+
+def test_long_page_is_whole(spark):
+    body = "".join(f"<p>Paragraph {i}, some words.</p>" for i in range(5000))
+    page = f"<html><body><nav><a>x</a></nav><article>{body}</article></body></html>"
+    rows = spark.createDataFrame([(1, "u", page, 0), (1, None, page, 0), (None, "u", None, 0)], "page_id long, url string, html string, text int")
+    got = ht.extract(rows).collect()
+    want = " ".join(f"Paragraph {i}, some words." for i in range(5000))
+    assert [(r["text"], r["n_chars"]) for r in sorted(got, key=lambda r: (r["page_id"] is None, str(r["url"])))] == [(want, len(want)), (want, len(want)), ("", 0)]
+
+
+# search
+
+
+def brute_top(rows, k):
+    good = []
+    for i, v in rows:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            good.append((i, [int(np.floor(1024 * float(x))) for x in v]))
+    out = []
+    for i, q in good:
+        if i % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_top_k_equals_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(tk, "BROADCAST_BYTES", -1)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(700)]
+    rows[3] = rows[5] = (3, rows[200][1])
+    rows += [(1000, None), (1100, [1.0, None] * 4), (1200, [float("nan")] * 8), (1300, [float("inf")] * 8), (None, [1.0] * 8), (1400, []), (1500, [0.0] * 8), (1600, [1.0, 2.0]), (1601, [3.0, -1.0]), (300, rows[400][1])]
+    rows[600:650] = [(i, rows[10][1]) for i in range(600, 650)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(tuple(r) for r in tk.top_k(d, "vec_id % 100 = 0" if False else __import__("pyspark.sql.functions", fromlist=["col"]).col("vec_id") % 100 == 0).collect())
+    assert got == brute_top(rows, 10)
+
+
+def test_top_k_small_blocks():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-900, 900, (300, 6))
+    b = tk.Block(np.arange(300), x)
+    for own in range(0, 300, 17):
+        s = x @ x[own]
+        want = sorted((-int(s[j]), j) for j in range(300) if j != own)[:10]
+        assert b.top(own, x[own], 10) == [(-a, j) for a, j in want]
+    assert tk.Block(np.array([4]), x[:1]).top(4, x[0], 10) == []
+
+
+# media
+
+
+def test_media_round_trip_and_clips(make):
+    rnd = random.Random(1)
+    texts = [None, "", "x", "é" * 700, "".join(rnd.choices("abc \n", k=40_000)), "a" * 576, "a" * 577, "\x00\x7f" * 900, "x"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "null id", None, None, None)]
+    docs = make(rows).select("doc_id", "text")
+    files = {r["doc_id"]: bytes(r["media"]) for r in md.media_column(docs).collect()}
+    for i, t in enumerate(texts):
+        assert md.read_avi(files[i]).tobytes() == md.payload_of(t)
+    assert files[2] == files[8]
+    digests = {r["doc_id"]: r for r in docs.mapInArrow(md._digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()}
+    for i, t in enumerate(texts):
+        p, d = md.payload_of(t), digests[i]
+        assert (d["n_bytes"], d["payload_bytes"]) == (len((t or "").encode()), len(p)) and len(p) % 576 == 0
+        assert (d["payload_sha256"], d["tail_crc32"]) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (d["media_bytes"], d["media_sha256"]) == (len(files[i]), hashlib.sha256(files[i]).hexdigest())
+    got = md.clip_rows(md.media_column(docs)).where("doc_id = 4").orderBy("clip").collect()
+    assert got[0]["first_frame"] == 0 and got[-1]["end_frame"] == -(-40_000 // 576)
+    assert all(a["end_frame"] == b["first_frame"] for a, b in zip(got, got[1:]))
+
+
+def test_every_level_and_shots():
+    rng = np.random.default_rng(0)
+    levels = rng.integers(0, 256, (9, 576)).astype(np.uint8)
+    avi = md.write_avi(md.encode_frames(levels))
+    assert (md.read_avi(avi) == levels).all() and len(md.frame_places(avi)) == 9
+    dark = np.full((30, 576), 20, np.uint8)
+    shots = np.concatenate([dark, dark + 100, dark + 200])
+    assert md.cuts(shots).tolist() == [0, 30, 60]
+    with pytest.raises(ValueError):
+        md.frame_places(b"RIFFxxxxWAVE")
+
+
+# private data
+
+
+TEXT = "Write to Jane.Doe99@mail7.example.com or +1 (425) 555-9012 from 10.20.30.40, card 4556-7375-8689-9855, token = \"9233a8ecf7c5b09fe594\" and Mr. John Smith met Dr Smith."
+
+
+def test_surrogates_keep_format_and_coreference(make):
+    clean = "A clean text: 3 apples, 2.0 pears, in 2024. Licensed under the Apache License, Version 2.0. Of Of Of."
+    rows = [(i, TEXT, "en", "s", 1) for i in range(4)] + [(10, clean, "en", "s", 1), (11, None, "en", "s", 0), (12, "", "en", "s", 0), (13, "pad " * 40_000 + "a@b.org", "en", "s", 0), (13, "mail A@B.org", "en", "s", 0), (None, "10.20.30.40", "en", "s", 1)]
+    got = pi.surrogates(make(rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert by[10][0]["text"] == clean and by[10][0]["n_entities"] == 0
+    assert by[11][0]["text"] is None and by[12][0]["text"] == ""
+    one = by[0][0]["text"]
+    assert len({by[i][0]["text"] for i in range(4)}) == 1
+    for secret in ("Jane", "425", "9012", "10.20.30.40", "7375", "9233a8", "John", "Smith"):
+        assert secret not in one
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} from \d+\.\d+\.\d+\.\d+, card 4\d{3}-\d{4}-\d{4}-\d{4}, token = \"[0-9a-f]{20}\"", one)
+    card = re.sub(r"\D", "", re.search(r"card ([\d-]+)", one)[1])
+    assert pi._luhn(card[:-1]) == int(card[-1])
+    given, surname, again = re.search(r"Mr\. (\w+) (\w+) met Dr (\w+)\.", one).groups()
+    assert surname == again and given in pi.GIVEN["latin", "m"]
+    assert by[None][0]["text"] in one
+    mails = [re.search(r"\S+@\S+", r["text"])[0].lower() for r in by[13]]
+    assert mails[0] == mails[1] != "a@b.org"
+    assert pi.surrogates(make([])).collect() == []
+
+
+def test_numbers_are_permuted():
+    make = pi.Surrogates()
+    for n in (2, 3, 4):
+        got = {make.digits("t", str(i).zfill(n), 0) for i in range(10**n)}
+        assert len(got) == 10**n
+    assert len({make("ip", f"1.2.{i}.{j}") for i in range(40) for j in range(40)}) == 1600
+
+
+def test_collisions_are_redrawn(spark, make, monkeypatch):
+    """With a surrogate space of 40 secrets for 20 entities, all stay apart."""
+    old = pi.Surrogates.__call__
+
+    def few(self, kind, canon, attempt=0):
+        return f"Xk{self._bits(canon, attempt) % 40:02d}zzzz1" if kind == "secret" else old(self, kind, canon, attempt)
+
+    monkeypatch.setattr(pi.Surrogates, "__call__", few)
+    rows = [(i, f"password=abcdefg{i % 20}h", "en", "s", 1) for i in range(60)]
+    for limit in (pi.FEW, -1):
+        monkeypatch.setattr(pi, "FEW", limit)
+        got = {}
+        for r in pi.surrogates(make(rows)).collect():
+            got.setdefault(r["doc_id"] % 20, set()).add(r["text"])
+        assert all(len(v) == 1 for v in got.values()) and len(set().union(*got.values())) == 20
