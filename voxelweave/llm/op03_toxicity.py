@@ -13,7 +13,8 @@ from at most ``PER_LABEL`` rows of each label, none of them held out.
 Defined results: null text counts as empty; empty texts get the model's base
 score; without rows to learn from (or with one label only) the score is 0 or 1
 as that label says, 0 without any; a doc_id labelled both ways counts for both;
-null labels and null doc_ids are not learned from. Whole texts are read.
+null labels and null doc_ids are not learned from; of rows
+that repeat a labelled doc_id one text is learned from. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -269,8 +270,9 @@ def fit(docs: DataFrame, labels: DataFrame, chars: np.ndarray, per_label: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "op3")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").distinct()
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    sample = bounded_sample(rows, "toxic", "_h", per_label).select("toxic", "text")
+    # labels are drawn first: at most 2 x per_label of them, so only their texts move
+    drawn = bounded_sample(known.withColumn("_h", F.xxhash64("doc_id")), "toxic", "_h", per_label).drop("_h")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("toxic", "doc_id").agg(F.min("text").alias("text")).select("toxic", "text")
     seen = scratch.keep(sample.mapInArrow(_train_rows(spark.sparkContext.broadcast(chars)), "toxic int, f array<string>"))
     totals = {int(r[0]): int(r[1]) for r in seen.groupBy("toxic").count().collect()}
     if len(totals) < 2:
