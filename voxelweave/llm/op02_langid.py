@@ -64,7 +64,11 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -
     (cells x languages). Rows that are held out aren't learned from."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    sample = bounded_sample(rows, "lang", "_h", per_lang).select("lang", "text").mapInArrow(_bits, "lang string, bits binary")
+    # hashes are drawn first, at most per_lang a language, so only their texts move
+    drawn = bounded_sample(rows.select("lang", "_h"), "lang", "_h", per_lang)
+    bounded = rows.select("lang").distinct().count() * per_lang <= 1_000_000
+    sample = rows.join(F.broadcast(drawn.distinct()) if bounded else drawn.distinct(), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    sample = sample.select("lang", "text").mapInArrow(_bits, "lang string, bits binary")
     got = sorted((r[0], bytes(r[1])) for r in sample.collect())
     if not got:
         return [], np.zeros((1 << BITS, 0), np.float32)
