@@ -47,8 +47,12 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, names: tuple[s
     s = F.lit(float(radius))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     x, y = left, right
+
+    def cells(c: str) -> Column:
+        return F.transform(around, lambda d: F.floor(F.col(c) / s).cast("long") + d)
+
     for c in axes:
-        x = x.withColumn(f"_c{c}", F.explode(F.transform(around, lambda d, c=c: F.floor(F.col(c) / s).cast("long") + d)))
+        x = x.withColumn(f"_c{c}", F.explode(cells(c)))
         y = y.withColumn(f"_c{c}", F.floor(F.col(c) / s).cast("long"))
     d2 = sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in axes[1:]), (F.col(f"{a}.{axes[0]}") - F.col(f"{b}.{axes[0]}")) ** 2)
     on = d2 <= s * s

@@ -11,12 +11,12 @@ def fuse(votes: DataFrame, by: str = "obj", order: str = "ord") -> DataFrame:
     """Confidence-weighted vote: by, top, share, unanimous, n_votes, scores.
 
     Two aggregations: sums and first place of every label, then the label of
-    the greatest sum (ties: seen first). No votes: no row."""
+    the greatest sum (ties, up to nine places as sums have no order: seen first). No votes: no row."""
     label = F.lower(F.trim("type"))
     s = votes.groupBy(by, label.alias("label")).agg(F.sum("confidence").alias("score"), F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     total = F.sum("score")
     return s.groupBy(by).agg(
-        F.max_by("label", F.struct("score", -F.col("first"))).alias("top"),
+        F.max_by("label", F.struct(F.round("score", 9), -F.col("first"))).alias("top"),
         (F.max("score") / F.when(total == 0, 1.0).otherwise(total)).alias("share"),
         (F.count(F.lit(1)) == 1).alias("unanimous"),
         F.sum("n").alias("n_votes"),
