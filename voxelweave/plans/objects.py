@@ -40,7 +40,8 @@ def record(o: DataFrame, map_id: str) -> DataFrame:
 def message(records: DataFrame, timestamp: str, header: int = 1, maker: str = "", serial: str = "", order: str = "id") -> DataFrame:
     """One envelope with all records, in order. For documents of one map: the
     array is one row."""
-    rows = records.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*records.columns).alias("r")))).alias("rows"))
+    by_order = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)  # noqa: E731  (maps have no order)
+    rows = records.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*records.columns).alias("r"))), by_order).alias("rows"))
     return rows.select(
         F.lit(header).cast("long").alias("headerId"), F.lit(timestamp).alias("timestamp"), F.lit("1.0.0").alias("version"), F.lit(maker).alias("manufacturer"),
         F.lit(serial).alias("serialNumber"), F.transform("rows", lambda x: x["r"]).alias("semanticObjects"),
