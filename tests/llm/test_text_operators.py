@@ -110,9 +110,7 @@ def test_toxicity_of_held_out_rows_and_edges(spark, make):
     docs, labels = [], []
     for i in range(400):
         bad = i % 4 == 0
-        words = rnd.choices(WORDS["en"], k=25) + (["horrible", "scoundrel"] if bad else [])
-        if i % 8 == 4:
-            words = [w.replace("scoundrel", "sc0undr3l") for w in words]
+        words = rnd.choices(WORDS["en"], k=25) + ([("sc0undr3l", "horrible", "scoundrel")[i // 4 % 3]] if bad else [])
         rnd.shuffle(words)
         docs.append((i, " ".join(words), "en", "s", 1))
         labels.append((i, int(bad)))

@@ -63,7 +63,7 @@ def fair_queue(docs: DataFrame, share: float = 1.5, stop: float = 2.0, weights:
     order = ["flow", "h", "doc_id", "size"]
     within = Window.partitionBy("flow", "cut").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     q = t.join(cells, ["flow", "cut"]).withColumn("end", F.col("from") + F.sum("size").over(within))
-    q = q.withColumn("v1", F.col("end") / F.col("target")).withColumn("v2", (F.col("end") + F.col("source_size")) / F.col("target"))
+    q = q.withColumn("v1", F.try_divide("end", "target")).withColumn("v2", F.try_divide(F.col("end") + F.col("source_size"), F.col("target")))
     q = scratch.keep(q.select("doc_id", "source", "flow", "size", "h", "source_size", "target", "v1", "v2"))
 
     def fine(v):
