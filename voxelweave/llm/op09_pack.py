@@ -108,10 +108,12 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, width: int = WIDTH) -> l
         left = int(amount)
         while left > 0:
             pieces, taken = [], {}
-            for k in config:
-                p = longest(k * width, (k - 1) * width)
+            for i, k in enumerate(config):
+                # the last piece fits the gap that the others leave
+                least = (k - 1) * width
+                p = longest(limit - sum(pieces) if i + 1 == len(config) else k * width, least)
                 while p and taken.get(p, 0) >= rest[p]:
-                    p = longest(p - 1, (k - 1) * width) if p - 1 > (k - 1) * width else 0
+                    p = longest(p - 1, least) if p - 1 > least else 0
                 if not p:
                     break
                 pieces.append(p)
