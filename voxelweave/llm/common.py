@@ -21,6 +21,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow for columns of long texts. Batches hold 1,000 rows unless the
+    session asks for another number than Spark's default; when a task ends its
+    worker gives freed memory back, as it goes on to serve other stages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: an executor that is
     lost takes nothing of them with it. They go when the driver's JVM ends, or

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_sample, held_out
+from .common import arrow_map, bounded_sample, held_out
 
 BITS = 15
 ORDERS = 4
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -
     drawn = bounded_sample(rows.select("lang", "_h"), "lang", "_h", per_lang)
     bounded = rows.select("lang").distinct().count() * per_lang <= 1_000_000
     sample = rows.join(F.broadcast(drawn.distinct()) if bounded else drawn.distinct(), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
-    sample = sample.select("lang", "text").mapInArrow(_bits, "lang string, bits binary")
+    sample = sample.select("lang", "text").transform(arrow_map, _bits, "lang string, bits binary")
     got = sorted((r[0], bytes(r[1])) for r in sample.collect())
     if not got:
         return [], np.zeros((1 << BITS, 0), np.float32)
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
     columns = list(dict.fromkeys([*keep, "text"]))
     known = docs.sparkSession.sparkContext.broadcast(model)  # cells x languages floats
-    return docs.select(*columns).mapInArrow(_predict(known, columns.index("text"), keep), schema)
+    return docs.select(*columns).transform(arrow_map, _predict(known, columns.index("text"), keep), schema)
 
 
 def op2_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

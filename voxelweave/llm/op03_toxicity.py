@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, bounded_sample, held_out
+from .common import arrow_map, bounded_sample, held_out, Scratch
 
 PER_LABEL = 6000
 FEATURES = 600
@@ -78,7 +78,7 @@ def _add(texts: list[str], total: np.ndarray) -> None:
 def character_model(docs: DataFrame) -> np.ndarray:
     """Log probabilities [a, b, c] of c after a, b: trigrams of the whole
     corpus, smoothed by bigrams and single letters. 28**3 rows at most."""
-    rows = docs.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").transform(arrow_map, _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     c = np.zeros(N**3)
     for gram, n in rows:
         c[gram] = n
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, chars: np.ndarray, per_label: int =
     # labels are drawn first: at most 2 x per_label of them, so only their texts move
     drawn = bounded_sample(known.withColumn("_h", F.xxhash64("doc_id")), "toxic", "_h", per_label).drop("_h")
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("toxic", "doc_id").agg(F.min("text").alias("text")).select("toxic", "text")
-    seen = scratch.keep(sample.mapInArrow(_train_rows(spark.sparkContext.broadcast(chars)), "toxic int, f array<string>"))
+    seen = scratch.keep(sample.transform(arrow_map, _train_rows(spark.sparkContext.broadcast(chars)), "toxic int, f array<string>"))
     totals = {int(r[0]): int(r[1]) for r in seen.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return {}, 30.0 if 1 in totals else -30.0
@@ -312,7 +312,7 @@ def score(docs: DataFrame, chars: np.ndarray, weights: dict[str, float], base: f
     """docs (doc_id, text) -> doc_id, score."""
     known = docs.sparkSession.sparkContext.broadcast((chars, weights, base))  # 28**3 and FEATURES numbers
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_score(known), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").transform(arrow_map, _score(known), f"doc_id {kind}, score double")
 
 
 def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

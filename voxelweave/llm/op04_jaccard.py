@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import wordhash
-from .common import Scratch
+from .common import arrow_map, Scratch
 
 SKETCH_BITS = 20
 MOST_MATCHES = 4
@@ -138,7 +138,7 @@ def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
     kind = "slice int, blob binary"
     # in two steps, so that no task gathers the blobs of all tasks
-    parts = docs.select("text").mapInArrow(run, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(128)))
+    parts = docs.select("text").transform(arrow_map, run, kind).withColumn("_some", F.pmod(F.spark_partition_id(), F.lit(128)))
     parts = parts.groupBy("slice", "_some").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind)
     out = np.zeros(1 << bits, np.int32)
     for s, blob in parts.collect():
@@ -300,7 +300,7 @@ def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent:
     ends = scratch.keep(pairs.select("b").distinct())
     right = texts.join(broadcast_if_small(ends, 16), texts["doc_id"] == ends["b"]).select("b", F.col("text").alias("tb"))
     both = left.join(right, "b").select("a", "b", "family", "ta", "tb")
-    return scratch.keep(both.mapInArrow(_verify(k, percent), "a long, b long, linked boolean, na long, nb long, lacks array<long>, extra array<long>"))
+    return scratch.keep(both.transform(arrow_map, _verify(k, percent), "a long, b long, linked boolean, na long, nb long, lacks array<long>, extra array<long>"))
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counts = sketch(docs, k)
     known = spark.sparkContext.broadcast((counts, int(np.median(counts))))  # 2**SKETCH_BITS counts
-    sets = scratch.keep(docs.mapInArrow(_sets(known, k, percent), "doc_id long, n long, fa long, fb long, m int, tokens array<long>, salts array<int>"))
+    sets = scratch.keep(docs.transform(arrow_map, _sets(known, k, percent), "doc_id long, n long, fa long, fb long, m int, tokens array<long>, salts array<int>"))
     slim = sets.select("doc_id", "n", "fa", "fb")
     some = sets.where("n > 0 and doc_id is not null")
     nodes = some.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m"), F.first(F.struct("tokens", "salts")).alias("p"))

@@ -22,6 +22,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import arrow_map
+
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -193,7 +195,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").transform(arrow_map, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op5_tag_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

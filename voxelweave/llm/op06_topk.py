@@ -24,6 +24,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .common import Scratch, arrow_map
+
 QUERIES_A_BLOCK = 256
 ROWS_A_BLOCK = 8192
 #: The query side is broadcast up to so many bytes.
@@ -134,13 +136,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
     fit = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long"), whole.alias("v"))
     blocks = "dims int, ids binary, x binary"
-    mine = rows.where(is_query).mapInArrow(_pack("q"), blocks)
+    mine = rows.where(is_query).transform(arrow_map, _pack("q"), blocks)
     mine = mine.select("dims", F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    from .common import Scratch
-
     mine = Scratch(spark, "op6").keep(mine)
     size = mine.agg(F.sum(F.length("q_x") + F.length("q_ids"))).head()[0] or 0
-    theirs = rows.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_pack("c"), blocks)
+    theirs = rows.repartition(max(1, spark.sparkContext.defaultParallelism)).transform(arrow_map, _pack("c"), blocks)
     if size <= BROADCAST_BYTES:
         met = theirs.join(F.broadcast(mine), "dims")
     else:
@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
         numbers = mine.groupBy("dims").agg(F.collect_list("q_block").alias("numbers"))
         met = theirs.join(numbers, "dims").select("dims", "ids", "x", F.explode("numbers").alias("q_block")).join(mine.drop("dims"), "q_block")
     met = met.select("dims", "ids", "x", "q_block", "q_ids", "q_x")
-    found = met.mapInArrow(_meet(k), "query_id long, q_row long, vec_id long, score long")
+    found = met.transform(arrow_map, _meet(k), "query_id long, q_row long, vec_id long, score long")
     best = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

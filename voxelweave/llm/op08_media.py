@@ -26,6 +26,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import arrow_map
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FPS = 25
@@ -271,7 +273,7 @@ def media_column(docs: DataFrame) -> DataFrame:
             for a, b in _groups([len(p) for p in payloads]):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(store(payloads[a:b]), pa.binary())], ["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrow_map, run, "doc_id long, media binary")
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
@@ -287,7 +289,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, first_frame int, end_frame int, begins_s double, ends_s double, mean_level double")
+    return media.select("doc_id", "media").transform(arrow_map, run, "doc_id long, clip int, first_frame int, end_frame int, begins_s double, ends_s double, mean_level double")
 
 
 def _digest(batches):
@@ -315,4 +317,4 @@ def _digest(batches):
 
 def op8_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.transform(arrow_map, _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

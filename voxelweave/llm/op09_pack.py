@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, gapless
+from .common import arrow_map, gapless, Scratch
 from .tokens import chunks, vocabulary
 
 LIMIT = 2048
@@ -186,7 +186,7 @@ def _cut(file: str, limit: int):
 
 def pieces(docs: DataFrame, file: str, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(file, limit), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrow_map, _cut(file, limit), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, file: str, limit: int = LIMIT) -> DataFrame:

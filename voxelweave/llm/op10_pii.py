@@ -26,7 +26,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch
+from .common import arrow_map, Scratch
 
 KEY = "voxelweave-surrogates"
 ROUNDS = 8
@@ -289,7 +289,7 @@ def entities(scratch: Scratch, docs: DataFrame, key: str = KEY, rounds: int = 20
     """All distinct entities with the attempt whose surrogate no other entity
     has and that is no entity itself. Given names come from short lists by
     design (many people share one) and are told apart by their surnames."""
-    table = docs.select("text").mapInArrow(_table(key), "kind string, canon string, surrogate string").distinct()
+    table = docs.select("text").transform(arrow_map, _table(key), "kind string, canon string, surrogate string").distinct()
     table = scratch.keep(table.select("kind", "canon", F.lit(0).alias("attempt"), "surrogate"))
     given = F.col("kind").rlike("^name-.*-g-")
     for _ in range(rounds):
@@ -303,7 +303,7 @@ def entities(scratch: Scratch, docs: DataFrame, key: str = KEY, rounds: int = 20
         if again.isEmpty():
             break
         redrawn = table.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        redrawn = redrawn.mapInArrow(_redraw(key), "kind string, canon string, attempt int, surrogate string")
+        redrawn = redrawn.transform(arrow_map, _redraw(key), "kind string, canon string, attempt int, surrogate string")
         table = scratch.keep(table.join(again, ["kind", "canon"], "left_anti").unionAll(redrawn))
     return table
 
@@ -357,7 +357,7 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in docs.columns), "n_entities int, entities string"])
     if again.count() <= FEW:
         few = {(r[0], r[1]): r[2] for r in again.collect()}
-        return docs.mapInArrow(_rewrite(key, spark.sparkContext.broadcast(few), keep, len(kinds)), schema)
+        return docs.transform(arrow_map, _rewrite(key, spark.sparkContext.broadcast(few), keep, len(kinds)), schema)
     # too many to send everywhere: each text gets the attempts of its own entities
     def met(batches):
         import pyarrow as pa
@@ -367,10 +367,10 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string())] + [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)], ["_text", "kind", "canon"])
 
     by_text = F.sha2("text", 256)
-    have = docs.where("text is not null").select(by_text.alias("_text"), "text").mapInArrow(met, "_text string, kind string, canon string").distinct()
+    have = docs.where("text is not null").select(by_text.alias("_text"), "text").transform(arrow_map, met, "_text string, kind string, canon string").distinct()
     own = have.join(again, ["kind", "canon"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_attempts"))
     joined = docs.withColumn("_text", by_text).join(own, "_text", "left").drop("_text")
-    return joined.mapInArrow(_rewrite(key, None, keep, len(kinds)), schema)
+    return joined.transform(arrow_map, _rewrite(key, None, keep, len(kinds)), schema)
 
 
 def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 
 from . import wordhash
 
-CACHE = 2_500_000
+CACHE = 700_000
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 20
 _BLANK = np.zeros(256, bool)
