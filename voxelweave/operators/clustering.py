@@ -17,9 +17,8 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: str | None = None
     core. ``by``: cluster within each value of this column.
 
     The neighbour count is exact; cells of size eps bound what a point meets.
-    Cores link only to the smallest core of each cell around them plus their
-    own cell's chain, so dense cells do not make all pairs: two cores of one
-    cell of side eps / sqrt(dims) are always neighbours.
+    Cores of one cell of side eps / sqrt(dims) are always neighbours and count
+    as one node, so links join cells, not points.
     """
     axes = ("x", "y", "z") if three_d else ("x", "y")
     keys = [by] if by else []
@@ -36,13 +35,13 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: str | None = None
     links = radius_join(core, core, eps, three_d=three_d, condition=(F.col("a.node") < F.col("b.node")) & (same if by else F.lit(True)))
     links = links.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     comp = components(links)
-    label = core.join(comp, core["node"] == comp["node"], "left").select("point_id", *axes, *keys, F.coalesce("comp", core["node"]).alias("label"))
+    label = core.join(comp, core["node"] == comp["node"], "left").select("point_id", *axes, *keys, F.coalesce("comp", core["node"]).alias("_lab"))
     label = keep(label)
     rest = p.join(label.select("point_id"), "point_id", "left_anti")
-    border = radius_join(rest, label, eps, three_d=three_d, condition=same).groupBy(F.col("a.point_id").alias("point_id")).agg(F.min_by(F.col("b.label"), F.col("b.point_id")).alias("label"))
-    found = label.select("point_id", "label").unionAll(border)
-    out = dense_ids(points.join(found, "point_id", "left"), "label", "inst")
-    return out.withColumn("inst", F.coalesce("inst", F.lit(-1))).drop("label")
+    border = radius_join(rest, label, eps, three_d=three_d, condition=same).groupBy(F.col("a.point_id").alias("point_id")).agg(F.min_by(F.col("b._lab"), F.col("b.point_id")).alias("_lab"))
+    found = label.select("point_id", "_lab").unionAll(border)
+    out = dense_ids(points.join(found, "point_id", "left"), "_lab", "inst")
+    return out.withColumn("inst", F.coalesce("inst", F.lit(-1))).drop("_lab")
 
 
 def dbscan_split(points: DataFrame, eps: float = 0.30, min_points: int = 100, footprint: float = 1.2, split_eps: float = 0.12, split_min_points: int = 60) -> tuple[DataFrame, int]:

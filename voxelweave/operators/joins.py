@@ -168,3 +168,16 @@ def np_greedy(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
             used.add(best[1])
             out.append((i, best[1]))
     return out
+
+
+def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 0.0, size: float = 1.0) -> DataFrame:
+    """Points in none of the axis-aligned boxes (x0..z1), which are dealt to
+    the cells that they touch."""
+    s = F.lit(float(size))
+    b = boxes.withColumn("_i", F.explode(F.sequence(F.floor((F.col("x0") - pad) / s), F.floor((F.col("x1") + pad) / s))))
+    b = b.withColumn("_j", F.explode(F.sequence(F.floor((F.col("y0") - pad) / s), F.floor((F.col("y1") + pad) / s))))
+    p = points.withColumn("_i", F.floor(F.col("x") / s)).withColumn("_j", F.floor(F.col("y") / s)).alias("p")
+    on = (F.col("p._i") == F.col("b._i")) & (F.col("p._j") == F.col("b._j"))
+    for c in "xyz":
+        on = on & F.col(f"p.{c}").between(F.col(f"b.{c}0") - pad, F.col(f"b.{c}1") + pad)
+    return p.join(b.alias("b"), on, "left_anti").drop("_i", "_j")
