@@ -31,7 +31,8 @@ def split_compound(points: DataFrame, by: str, floor_z: float, least: int = 150)
     """point_id, by, unit (null: left over). Poles, then the layers at, above
     and below the support plane; pieces of a layer are clustered in the plane.
     Pieces below that lie under the slab and reach near it belong to the desk."""
-    size = 0.15
+    size, column, by = 0.15, by, "_parent"
+    points = points.withColumnRenamed(column, by)
     p = points.withColumn("i", F.floor(F.col("x") / size)).withColumn("j", F.floor(F.col("y") / size))
     pole = p.join(pole_cells(points, by, floor_z).withColumn("_p", F.lit(True)), [by, "i", "j"], "left").drop("i", "j")
     zd = support_height(pole.where("_p is null"), by, floor_z)
@@ -53,7 +54,7 @@ def split_compound(points: DataFrame, by: str, floor_z: float, least: int = 150)
     named = parts.join(good.select(by, "layer", "inst"), [by, "layer", "inst"], "left_semi").join(stored, [by, "inst"], "left")
     unit = F.when(F.col("_d") & (F.col("layer") == "below"), F.lit("desk")).otherwise(F.concat("layer", F.col("inst").cast("string")))
     found = named.select("point_id", unit.alias("unit")).unionAll(t.where("layer = 'slab'").select("point_id", F.lit("desk").alias("unit")))
-    return points.select("point_id", by).join(found, "point_id", "left")
+    return points.select("point_id", by).join(found, "point_id", "left").withColumnRenamed(by, column)
 
 
 def panel_columns(points: DataFrame, by: str, bin_: float = 0.03, sliver: float = 0.30) -> DataFrame:

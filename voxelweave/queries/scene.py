@@ -235,7 +235,7 @@ def _(v):
     return J.semi_edges(R.next_to(v("v_object")), v("v_object").where("presence = 'present'"), "subject", "object").select("subject", "object")
 
 
-@query("jn23_label_agreement", "select a.status, count(*) as n, sum(case when a.type = b.type then 1 else 0 end) as same from v_object a join v_rescan b on a.id = b.id group by a.status")
+@query("jn23_label_agreement", "select a.status, count(*) as n, cast(sum(case when a.type = b.type then 1 else 0 end) as bigint) as same from v_object a join v_rescan b on a.id = b.id group by a.status")
 def _(v):
     t = v("v_object").select("id", "status", F.col("type").alias("t1")).join(v("v_rescan").select("id", F.col("type").alias("t2")), "id")
     return t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("t1") == F.col("t2"), 1).otherwise(0)).alias("same"))
@@ -307,7 +307,7 @@ def _(v):
     return metrics.outcomes(p, "c", "g", 20).select("g", "outcome", r("iou").alias("iou"))
 
 
-@query("agg22_flags", "select sum(case when id%3=0 and id%2=0 then 1 else 0 end) as tp, sum(case when id%3=0 and id%2<>0 then 1 else 0 end) as fp, sum(case when id%3<>0 and id%2=0 then 1 else 0 end) as fn from v_object")
+@query("agg22_flags", "select cast(sum(case when id%3=0 and id%2=0 then 1 else 0 end) as bigint) as tp, cast(sum(case when id%3=0 and id%2<>0 then 1 else 0 end) as bigint) as fp, cast(sum(case when id%3<>0 and id%2=0 then 1 else 0 end) as bigint) as fn from v_object")
 def _(v):
     return metrics.flags(v("v_object"), F.col("id") % 3 == 0, F.col("id") % 2 == 0).select("tp", "fp", "fn")
 
