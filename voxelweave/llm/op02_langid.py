@@ -29,7 +29,7 @@ ORDERS = 4
 PER_LANG = 200
 LANDMARKS = 60  # a language
 RIDGE = 1e-3
-_PART = 1 << 20
+_PART = 1 << 18
 
 
 def presence(text: str, flags: np.ndarray) -> None:

@@ -44,7 +44,7 @@ _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[_LETTER & (np.arange(256) > 127)] = 27
 _SYMBOL[_DIGIT] = 27
 N = 28
-_PART = 1 << 20
+_PART = 1 << 18
 
 
 def _count(batches):

@@ -51,7 +51,7 @@ STAR_LEAST = 2
 FAMILY, FAMILY_LEAST, FAMILY_BLOCK = 64, 20, 512
 #: Sides whose measured size is below are broadcast.
 BROADCAST_BYTES = 24 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:

@@ -330,7 +330,7 @@ def _rewrite(key: str, known, keep: list[str], kinds: int):
                 for a, b, k, c in hits:
                     what = (k, c, attempts.get((k, c), 0))
                     if what not in memo:
-                        if len(memo) > 100_000:
+                        if len(memo) > 20_000:
                             memo.clear()
                         memo[what] = _surrogate(make, *what)
                     parts += [t[at:a], _write(k, t[a:b], memo[what])]

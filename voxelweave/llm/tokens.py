@@ -13,9 +13,9 @@ import numpy as np
 
 from . import wordhash
 
-CACHE = 700_000
+CACHE = 400_000
 #: Bytes of text that are hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
 
@@ -24,7 +24,7 @@ class Table:
     """Ids by the hash of what they encode: a large sorted array of hashes and
     a small one, merged now and then, point into one array of ids."""
 
-    MERGE = 150_000
+    MERGE = 50_000
 
     def __init__(self, first: list[int]):
         self.flat = np.array(first, np.uint32)
