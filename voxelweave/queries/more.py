@@ -32,7 +32,7 @@ def _(v):
 
 @query("prj19_depth_grid")
 def _(v):
-    t = A.unit_sphere(v("v_point").where("inst < 5").select("inst", "x", "y", "z"), "inst")
+    t = A.unit_sphere(v("v_point").select("inst", "x", "y", "z"), "inst")
     return A.depth_grid(t, [(0, 0), (90, 0), (45, 30)], 16).groupBy("inst", "view").agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -141,8 +141,8 @@ def _(v):
 
 @query("agg36_revision_states")
 def _(v):
-    g = K.upsert(K.new_graph(v("v_object").sparkSession), _records(v("v_object").where("id <= 400")), "t1")
-    g = K.upsert(g, _records(v("v_rescan").where("id <= 400")), "t2")
+    g = K.upsert(K.new_graph(v("v_object").sparkSession), _records(v("v_object")), "t1")
+    g = K.upsert(g, _records(v("v_rescan")), "t2")
     return K.diff_summary(g.history, 2)
 
 
@@ -158,7 +158,7 @@ def _(v):
 
 @query("win11_novelty")
 def _(v):
-    t = v("v_vote").where("obj <= 200").select((F.col("obj") % 5).alias("g"), F.col("obj").alias("m"), F.col("confidence").alias("s"), (F.col("ord") % 40).alias("p"))
+    t = v("v_vote").select((F.col("obj") % 5).alias("g"), F.col("obj").alias("m"), F.col("confidence").alias("s"), (F.col("ord") % 40).alias("p"))
     return W.greedy_novelty(t, "g", "m", "s", "p", 0.5).select("g", "m", "n_new")
 
 
@@ -216,7 +216,7 @@ def _(v):
 
 @query("cl13_superpoints")
 def _(v):
-    p = v("v_object").where("id <= 400").select(F.lit("s").alias("scan_id"), F.col("id").alias("point_id"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), "z")
+    p = v("v_object").select(F.lit("s").alias("scan_id"), F.col("id").alias("point_id"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), "z")
     return M.superpoints(p, S.estimate_normals(p, 1.0), k=6, size=0.5).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -234,7 +234,7 @@ def _(v):
 @query("kg07_feedback")
 def _(v):
     spark = v("v_object").sparkSession
-    g = K.upsert(K.new_graph(spark), _records(v("v_object").where("id <= 300")), "t1")
+    g = K.upsert(K.new_graph(spark), _records(v("v_object")), "t1")
     g = K.feedback(g, spark.createDataFrame([("obj_3",)], "name string"), spark.createDataFrame([("obj_4", "sofa")], "name string, type string"), spark.createDataFrame([("obj_5", "desk")], "name string, type string"), "t2")
     return g.history.where("revision = 2").groupBy("event", "field").agg(F.count(F.lit(1)).alias("n"))
 
