@@ -153,6 +153,14 @@ def test_odd_pages(page, text):
     assert ht.main_text(page) == text
 
 
+def test_sections_of_unequal_length_stay():
+    long, short = "A long sentence, with marks; and more of it. " * 60, "A short section, with marks, that belongs to it. " * 2
+    want = " ".join(f"{long} {short}".split())
+    assert ht.main_text(f"<body><nav><a>Home</a></nav><article><section><p>{long}</p></section><section><p>{short}</p></section></article></body>") == want
+    assert ht.main_text(f"<body><nav><a>Home</a></nav><article><section><p>{short}</p></section><section><p>{long}</p></section></article></body>") == " ".join(f"{short} {long}".split())
+    assert ht.main_text(f"<body><nav><a>Home</a></nav><h1>{short}</h1><div class=body><p>{long}</p></div></body>") == " ".join(f"{short} {long}".split())
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>Paragraph {i}, some words.</p>" for i in range(5000))
     page = f"<html><body><nav><a>x</a></nav><article>{body}</article></body></html>"

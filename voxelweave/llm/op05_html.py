@@ -5,7 +5,7 @@ path gets two ratios, text length and punctuation marks for each of its nodes.
 Both are smoothed along the page with a Gaussian, fused by their product and
 compared with a threshold from the page's own spread; a path is content if most
 of its text lies in nodes above. The main text is the smallest element that
-holds most of what was selected, less the parts that their tag or name declares
+holds all that was selected, less the parts that their tag or name declares
 to be something else (menus, forms, adverts, comments and the like).
 
 Defined results: null, empty or text-free html gives an empty text; unclosed
@@ -149,7 +149,7 @@ def main_text(page: str | None) -> str:
         if f >= least:
             above[e.path] = above.get(e.path, 0.0) + len(t)
     content = {p for p, v in above.items() if 2 * v >= paths[p][0]} or {max(above, key=above.get)}
-    # the element that holds most of what the paths select
+    # the smallest element that holds all that the paths select
     weights: dict[int, _Element] = {}
     total = 0.0
     for e, t in live:
@@ -159,7 +159,7 @@ def main_text(page: str | None) -> str:
                 e.weight += len(t)
                 weights[id(e)] = e
                 e = e.parent
-    best = max((e for e in weights.values() if e.weight >= 0.8 * total and e.tag not in INLINE and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote")), key=lambda e: e.path.count("/"))
+    best = max((e for e in weights.values() if e.weight == total and e.tag not in INLINE and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote")), key=lambda e: e.path.count("/"))
     inside: dict[int, bool] = {}
 
     def within(e) -> bool:
