@@ -161,6 +161,25 @@ def test_sections_of_unequal_length_stay():
     assert ht.main_text(f"<body><nav><a>Home</a></nav><h1>{short}</h1><div class=body><p>{long}</p></div></body>") == " ".join(f"{short} {long}".split())
 
 
+BODY = "Some text of an article, with marks; and more of it, on and on."
+
+
+@pytest.mark.parametrize("attributes", ["class='content has-sidebar'", "id='page' class='layout-sidebar-right'", "class='header'"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_keep_the_article(attributes, tag):
+    assert ht.main_text(f"<body><nav><a>Home</a></nav><div {attributes}><{tag}><p>{BODY}</p><p>{BODY}</p></{tag}></div></body>") == f"{BODY} {BODY}"
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion'>{}</section>", "<div class='post-header'>{}</div>", "<p class='alert'>{}</p>", "<figure><figcaption>{}</figcaption></figure>", "<math><mtext>{}</mtext></math>", "<p><label>{}</label></p>"])
+def test_parts_of_the_article_stay(part):
+    assert ht.main_text(f"<body><article><p>{BODY}</p>{part.format(BODY)}<p>{BODY}</p></article></body>") == " ".join([BODY] * 3)
+
+
+@pytest.mark.parametrize("attributes", ["class='sidebar'", "class='box ad'", "id='cookie-notice'", "id=comments", "class='site-footer'", "role=navigation"])
+def test_declared_parts_go(attributes):
+    assert ht.main_text(f"<body><div><p>{BODY}</p><p>{BODY}</p></div><div {attributes}><p>{BODY}</p></div></body>") == f"{BODY} {BODY}"
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>Paragraph {i}, some words.</p>" for i in range(5000))
     page = f"<html><body><nav><a>x</a></nav><article>{body}</article></body></html>"

@@ -27,14 +27,16 @@ from .common import arrow_map
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NOT_TEXT = frozenset("head title script style noscript template nav header footer aside form button select option textarea label menu dialog svg math canvas iframe object audio video figure".split())
+NOT_TEXT = frozenset("head title script style noscript template nav header footer aside form button select option textarea menu dialog svg canvas iframe object audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Words of class, id and role that name something beside the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead footer sidebar aside widget cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies disqus "
-    "discussion share sharing social newsletter subscribe subscription signup login related recommended pagination pager toolbar search contentinfo complementary".split()
+    "header masthead footer sidebar aside widget cookie cookies consent gdpr popup modal overlay comment comments reply replies disqus "
+    "share sharing social newsletter subscribe subscription signup login related recommended pagination pager toolbar search contentinfo complementary".split()
 )
+# Words that an article's own parts may have as well; they count only beside one of NAMES.
+BESIDE = frozenset("notice alert discussion site page top bottom left right bar box list section block container wrapper area".split())
 _TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -44,30 +46,54 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "weight")
+    __slots__ = ("tag", "parent", "path", "out", "named", "holds", "score", "weight")
 
-    def __init__(self, tag, parent, out):
-        self.tag, self.parent, self.out, self.weight = tag, parent, out, 0.0
+    def __init__(self, tag, parent, out, named=False):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
+        self.holds, self.score, self.weight = False, 0.0, 0.0
         self.path = tag if parent is None else f"{parent.path}/{tag}"
 
 
-def _declared(tag: str, attributes: str) -> bool:
+def _hidden(tag: str, attributes: str) -> bool:
     if tag in NOT_TEXT:
         return True
     if tag in ("html", "body", "main", "article") or not attributes:
         return False
-    if re.search(r"""\b(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none)""", attributes, re.I):
-        return True
+    return bool(re.search(r"""\b(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none)""", attributes, re.I))
+
+
+def _named(attributes: str) -> bool:
+    """Whether a whole class, id or role consists of NAMES, with BESIDE words."""
     for m in _NAME.finditer(attributes):
-        if not NAMES.isdisjoint(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(_WORDS.findall(token))
+            if words & NAMES and words <= NAMES | BESIDE:
+                return True
     return False
 
 
+def _discard(out: list[tuple[_Element, str, bool]], made: list[_Element]) -> None:
+    """Marks what lies in elements whose names declare it to be something else,
+    unless such an element holds an article or main or, on a page without these,
+    most of the page's text and marks."""
+    total, marked = 0.0, False
+    for e, t, _ in out:
+        if not e.out:
+            e.score += len(" ".join(t.split())) + len(_MARKS.findall(t))
+    for e in reversed(made):
+        if not e.out:
+            e.parent.score += e.score
+            e.parent.holds |= e.holds or e.tag in ("article", "main") and not e.named
+            total, marked = max(total, e.parent.score), marked or e.parent.holds
+    for e in made:
+        own = e.named and e.tag not in ("html", "body", "main", "article") and not e.holds and (marked or 2 * e.score <= total)
+        e.out = e.out or e.parent.out or own
+
+
 def nodes(page: str) -> list[tuple[_Element, str, bool]]:
     """(element, text, whether a block begins here) in page order."""
     root = _Element("", None, False)
-    at, here, block, out = 0, root, True, []
+    at, here, block, out, made = 0, root, True, [], []
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -105,10 +131,12 @@ def nodes(page: str) -> list[tuple[_Element, str, bool]]:
                 here = found.parent
         if tag in VOID or m[3].endswith("/") and tag not in RAW:
             continue
-        here = _Element(tag, here, here.out or _declared(tag, m[3]))
+        here = _Element(tag, here, here.out or _hidden(tag, m[3]), bool(m[3]) and _named(m[3]))
+        made.append(here)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = stop.start() if stop else n
+    _discard(out, made)
     return out
 
 
