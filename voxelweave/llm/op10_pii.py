@@ -59,7 +59,8 @@ _PATTERN = re.compile(
     r"|(?P<card>(?<!\w)(?:\d[ -]?){12,18}\d(?!\w))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
 )
-_ASCII_DIGIT_OR_AT = re.compile(r"[0-9@]")
+#: What every match of the pattern has: a digit of any script, '@', AKIA or the begin of a quoted value.
+_ANY = re.compile(r"""[\d@]|AKIA|[=:]\s*["']""")
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})(\.?)( )({_NAME})(?:( )({_NAME}))?")
 _PAIR = re.compile(rf"({_NAME}) ({_NAME})(?!\w)")
 
@@ -170,7 +171,7 @@ def _script(name: str) -> str:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(from, to, kind, canonical form) of the entities, in order."""
     out: list[tuple[int, int, str, str]] = []
-    if _ASCII_DIGIT_OR_AT.search(text):
+    if _ANY.search(text):
         for m in _PATTERN.finditer(text):
             kind, s = m.lastgroup, m[0]
             a, b = m.span()
@@ -191,7 +192,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             elif m["ip"]:
                 kind, canon = "ip", s
             else:
-                kind, canon = m.lastgroup, "".join(c for c in s if c.isdigit())
+                kind, canon = m.lastgroup, "".join(str(int(c)) for c in s if c.isdigit())
                 if kind == "card" and _luhn(canon[:-1]) != int(canon[-1]):
                     continue
                 if kind == "phone" and not 8 <= len(canon) <= 15:
@@ -234,9 +235,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _like(original: str, surrogate: str) -> str:
-    """The surrogate's digits in the places of the original's."""
+    """The surrogate's digits in the places and the script of the original's."""
     it = iter(surrogate)
-    return "".join(next(it) if c.isdigit() else c for c in original)
+    return "".join(chr(ord(c) - int(c) + int(next(it))) if c.isdigit() else c for c in original)
 
 
 def _write(kind: str, original: str, surrogate: str) -> str:
