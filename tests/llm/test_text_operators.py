@@ -315,6 +315,36 @@ def test_numbers_are_permuted():
     assert len({make("ip", f"1.2.{i}.{j}") for i in range(40) for j in range(40)}) == 1600
 
 
+@pytest.mark.parametrize("key", [pi.KEY, "another"])
+def test_given_names_stay_distinct_and_change(key):
+    make = pi.Surrogates(key)
+    for (script, gender), pool in pi.GIVEN.items():
+        got = {n: make(f"name-{script}-g-{gender}", n.lower()) for n in pool}
+        assert sorted(got.values()) == sorted(pool) and all(a != b for a, b in got.items())
+
+
+def test_remaining_collisions_are_an_error(spark, make, monkeypatch):
+    def same(key):
+        def run(batches):
+            for b in batches:
+                yield b.append_column("surrogate", b.column(1)) if b.num_columns == 3 else b
+
+        return run
+
+    monkeypatch.setattr(pi, "_redraw", same)
+    rows = make([(i, f"password=abcdefg{i}h", "en", "s", 1) for i in range(2)])
+    table = spark.createDataFrame([("secret", c, c) for c in ("abcdefg0h", "abcdefg1h")], "kind string, canon string, surrogate string")
+    monkeypatch.setattr(pi, "arrow_map", lambda df, f, schema: table if "attempt" not in schema else df.mapInArrow(f, schema))
+    with pytest.raises(ValueError, match="2 entities still collide"):
+        pi.entities(pi.Scratch(spark, "op10"), rows, rounds=1)
+
+
+def test_secrets_of_signs_change(make):
+    values = ["********", "--------", "пароль__"]
+    got = [r["text"] for r in pi.surrogates(make([(i, f'password="{v}"', "en", "s", 1) for i, v in enumerate(values)])).collect()]
+    assert len(set(got)) == 3 and not any(v in t for v in values for t in got)
+
+
 def test_collisions_are_redrawn(spark, make, monkeypatch):
     """With a surrogate space of 40 secrets for 20 entities, all stay apart."""
     old = pi.Surrogates.__call__

@@ -10,7 +10,8 @@ maps different numbers to different ones.
 Distinctness is checked over the corpus: the distinct entities with their
 surrogates form a distributed table; where two entities share a surrogate, or a
 surrogate is itself an entity of the corpus, all but the smallest entity draw
-again with the next attempt number, until none is left. Attempts other than 0
+again with the next attempt number, until none is left
+(an error after the last round). Attempts other than 0
 reach the rewriting by broadcast if they are few (counted), else by a join.
 
 Defined results: null text stays null with no entities; clean texts come back
@@ -30,6 +31,8 @@ from .common import arrow_map, Scratch
 
 KEY = "voxelweave-surrogates"
 ROUNDS = 8
+#: From this attempt on, forms with few variants give way to longer or plainer ones.
+LOOSE = 5
 #: More redrawn entities than that are joined, not broadcast.
 FEW = 200_000
 
@@ -84,6 +87,7 @@ class Surrogates:
 
     def __init__(self, key: str = KEY):
         self.key = key.encode()
+        self.following: dict[tuple[str, str], dict[str, str]] = {}
 
     def _bits(self, *what: object) -> int:
         return int.from_bytes(hmac.new(self.key, "\0".join(map(str, what)).encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
@@ -122,7 +126,8 @@ class Surrogates:
             n = self._bits("email", canon, attempt)
             host = self.letters("host", domain.split(".")[0], 0)
             tail = ("example.com", "example.org", "example.net")[self._bits("host", domain) % 3]
-            return f"{self.letters('email', local + '@' + domain, attempt)[: len(local)]}{n % 100 if len(local) < 6 else ''}@{host}.{tail}"
+            more = n % 10**9 if attempt >= LOOSE else n % 100 if len(local) < 6 else ""
+            return f"{self.letters('email', local + '@' + domain, attempt)[: len(local)]}{more}@{host}.{tail}"
         if kind == "card":
             if _luhn(canon[:-1]) == int(canon[-1]):
                 body = canon[0] + self.digits("card", canon[1:-1], attempt)
@@ -150,11 +155,18 @@ class Surrogates:
                 out = out[: len(canon)]
                 return out.upper() if canon.upper() == canon else out
             head = 4 if canon.startswith("AKIA") else 0
-            return canon[:head] + self.letters("secret", canon[head:], attempt)
+            out = canon[:head] + self.letters("secret", canon[head:], attempt)
+            if out == canon or attempt >= LOOSE:  # signs and other scripts, which letters() leaves as they are
+                out = canon[:head] + self.letters("secret", "".join(c if c.isascii() and c.isalnum() else chr(97 + self._bits("sign", canon, attempt, i) % 26) for i, c in enumerate(canon[head:])), attempt)
+            return out
         script, part, gender = kind.split("-")[1:] if kind.startswith("name-") else ("latin", "s", "")
         if part == "g":
             pool = GIVEN[script, gender]
-            return pool[self._bits(kind, canon, attempt) % len(pool)]
+            if (script, gender) not in self.following:
+                # a keyed cycle: names of the pool stay distinct and none stays itself
+                cycle = sorted(pool, key=lambda n: self._bits(kind, "cycle", n))
+                self.following[script, gender] = {a.lower(): b for a, b in zip(cycle, cycle[1:] + cycle[:1])}
+            return self.following[script, gender].get(canon) or pool[self._bits(kind, canon, attempt) % len(pool)]
         # a made-up surname, from a space large enough to keep persons apart
         n, out = self._bits(kind, canon, attempt), ""
         first, second, endings = SYLLABLES[script]
@@ -288,12 +300,14 @@ def _redraw(key: str):
 
 def entities(scratch: Scratch, docs: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
     """All distinct entities with the attempt whose surrogate no other entity
-    has and that is no entity itself. Given names come from short lists by
-    design (many people share one) and are told apart by their surnames."""
+    has and that is no entity itself; an error if some still collide after the
+    last round. Given names of the lists are permuted within their list, so they
+    stay distinct and none stays itself; others are drawn from the list and may
+    share a surrogate, as their number has no bound."""
     table = docs.select("text").transform(arrow_map, _table(key), "kind string, canon string, surrogate string").distinct()
     table = scratch.keep(table.select("kind", "canon", F.lit(0).alias("attempt"), "surrogate"))
     given = F.col("kind").rlike("^name-.*-g-")
-    for _ in range(rounds):
+    for attempt in range(rounds + 1):
         apart = table.where(~given)
         # one row per surrogate keeps it: the smallest entity
         first = Window.partitionBy("kind", "surrogate").orderBy("canon")
@@ -303,6 +317,8 @@ def entities(scratch: Scratch, docs: DataFrame, key: str = KEY, rounds: int = 20
         again = scratch.keep(lost.unionAll(itself).distinct())
         if again.isEmpty():
             break
+        if attempt == rounds:
+            raise ValueError(f"{again.count()} entities still collide after {rounds} rounds")
         redrawn = table.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         redrawn = redrawn.transform(arrow_map, _redraw(key), "kind string, canon string, attempt int, surrogate string")
         table = scratch.keep(table.join(again, ["kind", "canon"], "left_anti").unionAll(redrawn))
