@@ -159,3 +159,55 @@ def test_pack_equals_the_tokenizer(make):
             at += n
         assert at <= 2048
     assert pk.pack(make([]).select("doc_id", "text"), VOCAB).collect() == []
+
+
+def test_knapsack_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n, cap = int(rng.integers(1, 6)), int(rng.integers(5, 60))
+        size, value = rng.integers(1, cap + 1, n), rng.random(n) * (rng.random(n) > 0.2)
+        best = [0.0]
+        for c in range(1, cap + 1):
+            best.append(max([best[c - 1]] + [best[c - s] + v for s, v in zip(size, value) if s <= c]))
+        config, got = pk.knapsack(value, size, cap)
+        assert abs(got - best[cap]) < 1e-9 and abs(value[config].sum() - got) < 1e-9 and size[config].sum() <= cap
+    assert pk.knapsack(np.array([1.0, 1, 1, 1]), np.array([41, 44, 65, 85]), 128)[0] == [0, 0, 0]
+    assert pk.knapsack(np.array([1.0]), np.array([60]), 128)[0] == [0, 0]
+
+
+def _sequences(patterns):
+    return sum(m for m, _ in patterns)
+
+
+def test_program_beats_plain_packing():
+    few = {700: 30_000, 1348: 10_000, 650: 20_000, 1030: 5_000}
+    assert _sequences(pk._round(few, 2048, True)) <= 27_500 < _sequences(pk._round(few, 2048, False))
+    x, bound = pk.configurations(np.array([20_000.0, 30_000, 5_000, 10_000]), np.array([650, 700, 1030, 1348]), 2048)
+    assert 27_000 <= bound <= 27_500 <= sum(x.values()) + 1e-6 <= 1.01 * 27_500
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(500, 900, 50_000), rng.integers(300, 1100, 20_000)):
+        histogram = dict(Counter(lengths.tolist()))
+        rounded, plain = (pk._round(histogram, 2048, p) for p in (True, False))
+        assert _sequences(rounded) < _sequences(plain)
+        packed = Counter()
+        for m, content in pk.plan(histogram):
+            assert m > 0 and sum(a * b for a, b in content) <= 2048
+            for length, times in content:
+                packed[length] += m * times
+        assert packed == histogram
+
+
+def test_small_programs_against_brute_force():
+    """The fewest sequences of up to 7 pieces, by trying all."""
+
+    def fewest(pieces, room=()):
+        if not pieces:
+            return len(room)
+        p, rest = pieces[0], pieces[1:]
+        some = [fewest(rest, room[:i] + (r - p,) + room[i + 1 :]) for i, r in enumerate(room) if r >= p]
+        return min([*some, fewest(rest, (*room, 10 - p))])
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        pieces = sorted(rng.integers(1, 11, 7).tolist(), reverse=True)
+        assert _sequences(pk.plan(dict(Counter(pieces)), 10)) <= fewest(tuple(pieces)) + 1
