@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelweave.llm import op02_langid as li, op03_toxicity as tx, op05_html as ht, op06_topk as tk, op08_media as md, op10_pii as pi
 from voxelweave.llm.common import held_out
@@ -207,27 +208,48 @@ def brute_top(rows, k):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_top_k_equals_brute_force(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(tk, "BROADCAST_BYTES", -1)
+    if not broadcast:  # many groups of queries, one after the other
+        monkeypatch.setattr(tk, "BROADCAST_BYTES", 300)
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(700)]
     rows[3] = rows[5] = (3, rows[200][1])
     rows += [(1000, None), (1100, [1.0, None] * 4), (1200, [float("nan")] * 8), (1300, [float("inf")] * 8), (None, [1.0] * 8), (1400, []), (1500, [0.0] * 8), (1600, [1.0, 2.0]), (1601, [3.0, -1.0]), (300, rows[400][1])]
     rows[600:650] = [(i, rows[10][1]) for i in range(600, 650)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    got = sorted(tuple(r) for r in tk.top_k(d, "vec_id % 100 = 0" if False else __import__("pyspark.sql.functions", fromlist=["col"]).col("vec_id") % 100 == 0).collect())
+    got = sorted(tuple(r) for r in tk.top_k(d, F.col("vec_id") % 100 == 0).collect())
     assert got == brute_top(rows, 10)
 
 
-def test_top_k_small_blocks():
-    rng = np.random.default_rng(2)
-    x = rng.integers(-900, 900, (300, 6))
-    b = tk.Block(np.arange(300), x)
-    for own in range(0, 300, 17):
-        s = x @ x[own]
-        want = sorted((-int(s[j]), j) for j in range(300) if j != own)[:10]
-        assert b.top(own, x[own], 10) == [(-a, j) for a, j in want]
+@pytest.mark.parametrize("n", [20, 63, 300, 1000, 8192, 20_000])
+def test_top_k_reads_lists_until_outsiders_cannot_qualify(n):
+    """The result comes from reading lists at every size; clustered vectors stop
+    early, and a bar that other blocks have set stops earlier still."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(max(2, n // 40), 16)) * 300
+    x = np.floor(centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 16)) * 30).astype(np.int64)
+    ids = rng.permutation(n)
+    b = tk.Block(ids, x)
+    for row in range(0, n, max(1, n // 12)):
+        outside = ids != ids[row]
+        s = x[outside] @ x[row]
+        want = sorted(zip((-s).tolist(), ids[outside].tolist()))[:10]
+        b.rounds = b.read = b.resolved = 0
+        assert b.top(int(ids[row]), x[row], 10) == [(-a, j) for a, j in want]
+        assert b.rounds >= 1 and b.read <= 16 * n
+        if n >= 1000:
+            assert b.read < 16 * n * 0.95 and b.resolved <= b.step
+        read = b.read
+        assert b.top(int(ids[row]), x[row], 10, float(-want[-1][0])) == [(-a, j) for a, j in want]
+        assert b.read - read <= read
+
+
+def test_top_k_of_odd_blocks():
+    x = np.array([[3, 0, -2], [0, 0, 0], [3, 0, -2], [-5, 7, 1]])
+    b = tk.Block(np.array([4, 9, 2, 7]), x)
+    assert b.top(4, x[0], 2) == [(13, 2), (0, 9)]
+    assert b.top(4, np.zeros(3, np.int64), 2) == [(0, 2), (0, 7)]
     assert tk.Block(np.array([4]), x[:1]).top(4, x[0], 10) == []
+    assert tk.Block(np.array([4, 4]), x[:2]).top(4, x[0], 10) == []
 
 
 # media

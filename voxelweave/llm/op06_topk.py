@@ -1,16 +1,19 @@
 """Exact top-k inner products by aggregation without random access.
 
 Vectors of integers are kept in blocks; in each block every dimension has a
-sorted list of its values. For a query all lists are read from the end that
-gives the largest products, some entries at a time. A vector's partial sum plus
-the least (or the next) product of each list that has not shown it yet bounds
-its score from below (above). Reading stops when the k-th best lower bound
-exceeds what any vector outside a small set can still reach; the scores of that
-set are then resolved, and blocks' results merge by (score, vec_id).
-
-Queries meet blocks of candidates, never rows one by one: each side is packed
-into one row a block, and the query side is broadcast only if its packed size,
-which is measured, is small; else both sides are joined by block number.
+sorted list of (value, vector). A query reads all lists in step from the end that
+gives the largest products, ``STEP`` entries of each list at a time, and adds
+what it reads to the partial sums of the vectors that it meets. A vector's
+partial sum plus the least product of each list that has not shown it yet bounds
+its score from below; with the product read last instead, from above. Reading
+stops when so few vectors can still reach the k-th best lower bound that looking
+their entries up costs less than reading on: the outsiders cannot qualify, and the
+scores of the rest are resolved. Blocks' results merge by (score, vec_id); a
+query's k-th best score of earlier blocks is a lower bound for later ones.
+
+Queries meet blocks of candidates, never rows one by one. They are packed and
+measured, and broadcast to all tasks in groups of at most ``BROADCAST_BYTES``,
+one group after the other; each group reads the candidates once.
 
 Defined results: vectors null, empty, or holding null or non-finite components
 take no part, nor do null vec_ids; a query is compared with vectors of its own
@@ -28,107 +31,127 @@ from .common import Scratch, arrow_map
 
 QUERIES_A_BLOCK = 256
 ROWS_A_BLOCK = 8192
-#: The query side is broadcast up to so many bytes.
+#: Queries that are broadcast at a time, in bytes.
 BROADCAST_BYTES = 32 << 20
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (0.2, 0.5, 0.8, 0.92)
-#: Candidates left when reading stops, as multiples of k.
-RESOLVE = 100
+#: Entries of each list that are read between two looks at the bounds.
+STEP = 512
 
 
 class Block:
-    """Integer vectors (rows x dims) with a sorted list for each dimension.
-    ``place`` holds where in its dimension's list (falling) each entry stands:
-    what lists have shown down to some depth is then one comparison."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        # queries of one kind stop at like depths: begin where the last one stopped
-        self.first = self.asked = 0
-        self.columns = np.ascontiguousarray(x.T.astype(float))
-        order = np.argsort(-self.columns, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(self.columns, order, axis=1)
-        self.place = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[None, :], axis=1)
-
-    def top(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of this block for the query: lists are
-        read from the end of the largest products, deeper in each round."""
+    """Integer vectors (rows x dims) with a sorted list for each dimension."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, step: int = STEP):
+        self.ids, self.x, self.step = ids, x, min(step, max(1, len(ids) // 16))
+        columns = x.T.astype(float)
+        # lists rise: reading from the right end gives the largest entries
+        self.order = np.argsort(columns, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(columns, self.order, axis=1)
+        #: Rounds of reading, entries read and scores resolved so far.
+        self.rounds = self.read = self.resolved = 0
+
+    def top(self, own: int, q: np.ndarray, k: int, bar: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) of this block for the query, of those
+        that score ``bar`` or more."""
         n = len(self.ids)
         outside = self.ids != own
         m = min(k, int(outside.sum()))
         if m == 0:
             return []
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        dims = np.concatenate([up, down])
+        dims = np.flatnonzero(q)
         weight = q[dims].astype(float)
-        product = self.columns[dims] * weight[:, None]
-        # an entry that is not seen is at least its list's end
-        end = np.concatenate([self.sorted[up, -1], self.sorted[down, 0]]) * weight
-        left = np.flatnonzero(outside)
-        self.asked += 1
-        for nth in range(self.first if self.asked % 32 else 0, len(DEPTHS)):
-            to = int(DEPTHS[nth] * n)
-            if to < 1 or len(left) <= RESOLVE * k:
-                continue
-            seen = np.concatenate([self.place[up] < to, self.place[down] >= n - to])
-            # ... and at most the entry read last
-            front = np.concatenate([self.sorted[up, to - 1], self.sorted[down, n - to]]) * weight
-            upper = np.where(seen, product, front[:, None]).sum(0)
-            lower = np.where(seen, product, end[:, None]).sum(0)
+        up = (weight > 0)[:, None]
+        # the least product of each list: no entry that is not seen yet is below
+        end = np.where(weight > 0, self.sorted[dims, 0], self.sorted[dims, -1]) * weight
+        partial, seen = np.zeros(n), np.zeros((n, len(dims)), np.float32)
+        least = np.full(n, end.sum())
+        # more than what rounding of float32 sums can add up to
+        slack = 1e-5 * float(np.abs(self.sorted[dims][:, [0, -1]] * weight[:, None]).max(1).sum())
+        left, upto = np.flatnonzero(outside), 0
+        columns = np.arange(len(dims))[:, None]
+        while len(left) > self.step and upto < n:
+            here = np.arange(upto, min(upto + self.step, n))
+            at = np.where(up, n - 1 - here, here)
+            rows = self.order[dims[:, None], at]
+            products = self.sorted[dims[:, None], at] * weight[:, None]
+            flat = rows.ravel()
+            partial += np.bincount(flat, weights=products.ravel(), minlength=n)
+            least -= np.bincount(flat, weights=np.repeat(end, len(here)), minlength=n)
+            seen[rows, np.broadcast_to(columns, rows.shape)] = 1.0
+            front, upto = products[:, -1], upto + len(here)
+            self.rounds += 1
+            self.read += rows.size
+            lower = partial + least
             lower[~outside] = -np.inf
-            bar = np.partition(lower, n - m)[n - m]
-            left = np.flatnonzero(outside & (upper >= bar))
-            self.first = nth
-            if len(left) <= RESOLVE * k:
-                break
+            bar = max(bar, float(np.partition(lower, n - m)[n - m]))
+            upper = partial[left] + front.sum() - seen[left] @ front.astype(np.float32)
+            left = left[upper >= bar - slack]
+        self.resolved += len(left)
         score = self.x[left] @ q
         best = np.lexsort((self.ids[left], -score))[:k]
         return [(int(score[i]), int(self.ids[left[i]])) for i in best]
 
 
-def _pack(kind: str):
-    """Rows of one length -> blocks: ids and values as bytes."""
+class _Blocks:
+    """Gathers rows into blocks, one kind of block for each length of vectors."""
 
-    def run(batches):
-        import pyarrow as pa
+    def __init__(self, most: int):
+        self.most, self.held = most, {}
 
-        names = ["dims", "ids", "x"]
-        held: dict[int, tuple[list, list]] = {}
-        most = QUERIES_A_BLOCK if kind == "q" else ROWS_A_BLOCK
+    def add(self, batch):
+        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, rows = self.held.setdefault(len(v), ([], []))
+            ids.append(i)
+            rows.append(v)
+            if len(ids) == self.most:
+                yield self.out(len(v))
 
-        def out(d):
-            ids, rows = held.pop(d)
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(rows, "<i8").tobytes()], pa.binary())], names)
+    def out(self, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
+        ids, rows = self.held.pop(dims)
+        return dims, np.array(ids, "<i8"), np.array(rows, "<i8")
 
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, rows = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                rows.append(v)
-                if len(ids) == most:
-                    yield out(len(v))
-        for d in list(held):
-            yield out(d)
 
-    return run
+def _pack(batches):
+    """Rows -> blocks of queries: their length, ids and values as bytes."""
+    import pyarrow as pa
+
+    blocks = _Blocks(QUERIES_A_BLOCK)
 
+    def row(dims, ids, x):
+        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dims", "ids", "x"])
+
+    for batch in batches:
+        for block in blocks.add(batch):
+            yield row(*block)
+    for d in list(blocks.held):
+        yield row(*blocks.out(d))
+
+
+def _meet(queries, k: int):
+    """Candidate rows -> for each query the best of each block."""
 
-def _meet(k: int):
     def run(batches):
         import pyarrow as pa
 
-        names = ["query_id", "q_row", "vec_id", "score"]
-        last, block = None, None
-        for batch in batches:
-            for d, c_ids, c_x, q_block, q_ids, q_x in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if last != (c_ids, c_x):
-                    last = (c_ids, c_x)
-                    block = Block(np.frombuffer(c_ids, "<i8"), np.frombuffer(c_x, "<i8").reshape(-1, d))
-                ids, qs = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_x, "<i8").reshape(-1, d)
-                rows = [(int(i), (q_block << 20) + n, v, s) for n, (i, q) in enumerate(zip(ids, qs)) for s, v in block.top(int(i), q, k)]
+        names = ["q_block", "q_row", "query_id", "vec_id", "score"]
+        blocks, known = _Blocks(ROWS_A_BLOCK), {}
+
+        def met(dims, ids, x):
+            block = Block(ids, x)
+            for q_block, q_ids, q_x in queries.value.get(dims, []):
+                rows = []
+                for n, (own, q) in enumerate(zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_x, "<i8").reshape(-1, dims))):
+                    best = known.get((q_block, n), [])
+                    found = block.top(own, q, k, best[-1] if len(best) == k else -np.inf)
+                    known[q_block, n] = sorted([*best, *(s for s, _ in found)], reverse=True)[:k]
+                    rows += [(q_block, n, own, v, s) for s, v in found]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
+
+        for batch in batches:
+            for block in blocks.add(batch):
+                yield from met(*block)
+        for d in list(blocks.held):
+            yield from met(*blocks.out(d))
 
     return run
 
@@ -137,24 +160,29 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score for rows
     where ``is_query`` holds."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "op6")
     whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * F.lit(float(scale))))
     fit = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long"), whole.alias("v"))
-    blocks = "dims int, ids binary, x binary"
-    mine = rows.where(is_query).transform(arrow_map, _pack("q"), blocks)
-    mine = mine.select("dims", F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    mine = Scratch(spark, "op6").keep(mine)
-    size = mine.agg(F.sum(F.length("q_x") + F.length("q_ids"))).head()[0] or 0
-    theirs = rows.repartition(max(1, spark.sparkContext.defaultParallelism)).transform(arrow_map, _pack("c"), blocks)
-    if size <= BROADCAST_BYTES:
-        met = theirs.join(F.broadcast(mine), "dims")
-    else:
-        # each candidate block is dealt to every query block by its number
-        numbers = mine.groupBy("dims").agg(F.collect_list("q_block").alias("numbers"))
-        met = theirs.join(numbers, "dims").select("dims", "ids", "x", F.explode("numbers").alias("q_block")).join(mine.drop("dims"), "q_block")
-    met = met.select("dims", "ids", "x", "q_block", "q_ids", "q_x")
-    found = met.transform(arrow_map, _meet(k), "query_id long, q_row long, vec_id long, score long")
-    best = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
+    mine = rows.where(is_query).transform(arrow_map, _pack, "dims int, ids binary, x binary")
+    mine = scratch.keep(mine.withColumn("q_block", F.monotonically_increasing_id()))
+    size = mine.agg(F.sum(F.length("x") + F.length("ids"))).head()[0] or 0
+    groups = max(1, -(-int(size) // BROADCAST_BYTES))
+    # few and large files would leave cores idle; many are read as they lie
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    found = None
+    for g in range(groups):
+        some: dict[int, list] = {}
+        for r in mine.where(F.pmod(F.xxhash64("q_block"), F.lit(groups)) == g).collect():
+            some.setdefault(r["dims"], []).append((r["q_block"], bytes(r["ids"]), bytes(r["x"])))
+        known = spark.sparkContext.broadcast(some)
+        part = rows.transform(arrow_map, _meet(known, k), "q_block long, q_row int, query_id long, vec_id long, score long")
+        if groups > 1:  # one group's queries at a time
+            part = scratch.keep(part)
+            known.destroy()
+        found = part if found is None else found.unionAll(part)
+    best = Window.partitionBy("q_block", "q_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
