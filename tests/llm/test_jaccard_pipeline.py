@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelweave.llm import op04_jaccard as jc
 
@@ -138,3 +139,56 @@ def test_pipeline_stages(spark, tmp_path, make):
             assert "bob@home.org" not in text and text.endswith(" ".join(sorted(rows[1][1].split())))
     got = cp.run(spark, str(tmp_path)).collect()
     assert got and all(r["length"] <= 2048 for r in got)
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_mix_keeps_rows_that_share_an_id_apart(spark, tmp_path, make, stored):
+    """Words that the stage gives out are those that the queue takes, row for row."""
+    import corpus_pipeline as cp
+    from voxelweave.llm import op07_mix
+
+    rows = [(None, f"five words number {i} here", "en", "a", 1) for i in range(300)]
+    rows += [(7, f"same id words {i}", "en", "a", 1) for i in range(40)] + [(8, "equal row of six words altogether", "en", "b", 1)] * 30
+    rows += [(i, None if i % 9 == 0 else "w " * (i % 5), "en", ["a", "b", None][i % 3], 1) for i in range(100, 200)]
+    docs = make(rows)
+    if stored:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = cp.mix(spark, docs, str(tmp_path)).collect()
+    taken, _ = op07_mix.fair_queue(docs.select("doc_id", "text", "source"))
+    want = taken.selectExpr("sum(copies) n", "sum(taken) words").head()
+    assert len(out) == want["n"]
+    assert sum(len((r["text"] or "").split()) for r in out) == want["words"]
+    size = sum(len((r[1] or "").split()) for r in rows)
+    assert abs(want["words"] - 1.5 * size) <= 0.1 * size
+    got = {}
+    for r in out:
+        got[tuple(r)] = got.get(tuple(r), 0) + 1
+    for r in set(rows):
+        assert got.pop(r, 0) <= 2 * rows.count(r)
+    assert not got
+
+
+def test_near_duplicates_keeps_the_smallest_row_of_an_id(spark, tmp_path, make):
+    import corpus_pipeline as cp
+
+    rows = [(1, "b words of the second text here", "en", "s", 1), (1, "a words of the first text here", "fr", "s", 1), (1, "a words of the first text here", "en", "s", 1), (2, "quite another text of its own", "en", None, 1), (None, "no id", None, None, None)]
+    got = sorted(map(tuple, cp.near_duplicates(spark, make(rows), "").collect()), key=str)
+    assert got == sorted([rows[2], rows[3], rows[4]], key=str)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_nothing_odd_columns_and_long_texts(spark, make, stage):
+    import corpus_pipeline as cp
+
+    name, run = cp.STAGES[stage]
+    assert run(spark, make([]), "").collect() == []
+    rows = [(1, "the water " * 60_000, "en", "a", 1), (2, "", "en", None, 0), (None, None, None, None, None), (3, "la maison chaque eau", "fr", "b", 1), (3, "la maison chaque eau", "fr", "b", 1)]
+    docs = make(rows)
+    for c in ("size", "h", "taken", "copies", "token", "comp", "score", "lang_pred", "n_entities", "kind", "_row", "length", "copy"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = run(spark, docs, "").collect()
+    assert out
+    if stage < 4:
+        assert list(out[0].asDict()) == cp.COLUMNS
+        assert any(len(r["text"] or "") == 600_000 for r in out)

@@ -13,8 +13,9 @@ one fine cell; three scalars come to the driver.
 
 Defined results: null text has size 0; a null source is a source of its own, the
 last; sources without words have target 0; null doc_ids and repeated rows are
-documents like any other (rows that repeat a doc_id share a hash range); an
-empty table gives no rows; other columns are not read.
+documents like any other (a null doc_id is shuffled by its text; rows that repeat
+a doc_id share a hash range); an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -41,18 +42,19 @@ def targets(sizes: DataFrame, share: float = 1.5, stop: float = 2.0, weights: tu
     return t.withColumn("target", F.least("cap", F.col("level") * F.col("w"))).select("flow", "source_size", "target")
 
 
-def fair_queue(docs: DataFrame, share: float = 1.5, stop: float = 2.0, weights: tuple[int, ...] = WEIGHTS, rows_a_range: int = 20_000, seed: str = "mix") -> tuple[DataFrame, Scratch]:
+def fair_queue(docs: DataFrame, share: float = 1.5, stop: float = 2.0, weights: tuple[int, ...] = WEIGHTS, rows_a_range: int = 20_000, seed: str = "mix", key: tuple[str, ...] = ()) -> tuple[DataFrame, Scratch]:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target,
-    copies (0, 1 or 2: how often the mix takes the document), taken."""
+    copies (0, 1 or 2: how often the mix takes the document), taken, and the
+    columns ``key`` of docs, which tell rows apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "op7")
     # flow orders like the source by code points, null last
     flow = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
-    t = scratch.keep(docs.select("doc_id", "source", flow.alias("flow"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+    t = scratch.keep(docs.select("doc_id", "source", flow.alias("flow"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), F.xxhash64("text").alias("tie"), *key))
     n = t.count()
     if n == 0:
-        return t.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken")), scratch
+        return t.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"), *key), scratch
     ranges = max(64, -(-n // rows_a_range))
     t = t.withColumn("cut", F.floor(F.col("h") / F.lit(float(16**15)) * ranges).cast("long"))
     cells = t.groupBy("flow", "cut").agg(F.sum("size").alias("cell_size"))
@@ -61,10 +63,10 @@ def fair_queue(docs: DataFrame, share: float = 1.5, stop: float = 2.0, weights:
     goal = targets(cells.groupBy("flow").agg(F.sum("cell_size").alias("source_size")), share, stop, weights)
     cells = cells.join(goal, "flow").drop("cell_size")
     order = ["flow", "h", "doc_id", "size"]
-    within = Window.partitionBy("flow", "cut").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("flow", "cut").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     q = t.join(cells, ["flow", "cut"]).withColumn("end", F.col("from") + F.sum("size").over(within))
     q = q.withColumn("v1", F.try_divide("end", "target")).withColumn("v2", F.try_divide(F.col("end") + F.col("source_size"), F.col("target")))
-    q = scratch.keep(q.select("doc_id", "source", "flow", "size", "h", "source_size", "target", "v1", "v2"))
+    q = scratch.keep(q.select("doc_id", "source", "flow", "size", "h", "source_size", "target", "v1", "v2", *key))
 
     def fine(v):
         return F.floor(F.least(F.coalesce(F.col(v), F.lit(0.0)), F.lit(float(2**30))) * F.lit(float(2**30))).cast("long")
@@ -96,7 +98,7 @@ def fair_queue(docs: DataFrame, share: float = 1.5, stop: float = 2.0, weights:
 
         in1, in2 = taken("v1"), taken("v2")
     out = q.withColumn("copies", in1 + in2).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", "taken"), scratch
+    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", "taken", *key), scratch
 
 
 def op7_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ ORACLE = r"""
 with d as (
   select doc_id, case when source is null then '1' else '0' || source end as flow,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as h
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'text ' || text, '')), 1, 15))::bigint as h
   from documents),
 s as (select flow, sum(size)::bigint as source_size from d group by flow),
 w as (select *, [5e0, 2e0, 1e0][((row_number() over (order by flow) - 1) % 3 + 1)::int] as w, source_size * 2e0 as cap from s),

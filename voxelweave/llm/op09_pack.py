@@ -32,7 +32,7 @@ LIMIT = 2048
 #: more are grouped, neighbours together, each group as long as its longest.
 CLASSES = 96
 #: With more lengths than that, those under this share of the limit only fill gaps.
-SMALL = 1 / 32
+SMALL = 1 / 8
 #: Rounds of the multiplicative weights at most, and rounds between two knapsacks.
 ROUNDS, PRICE_EVERY = 40_000, 64
 #: Shares of the rounded program that are taken before it is solved anew (and
