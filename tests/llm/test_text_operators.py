@@ -181,6 +181,70 @@ def test_declared_parts_go(attributes):
     assert ht.main_text(f"<body><div><p>{BODY}</p><p>{BODY}</p></div><div {attributes}><p>{BODY}</p></div></body>") == f"{BODY} {BODY}"
 
 
+def plain_ratios(page):
+    """Fused ratios by another parser, path strings and plain sums."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.found = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.found.append(("/".join(t for t in self.stack if t != "a"), " ".join(data.split()), "a" in self.stack))
+
+    reader = Reader()
+    reader.feed(page)
+    out = {}
+    for path in {p for p, _, _ in reader.found}:
+        own = [(t, a) for p, t, a in reader.found if p == path]
+        chars, marks = sum(len(t) for t, _ in own) / len(own), sum(t.count(".") + t.count(",") for t, _ in own) / len(own)
+        linked = sum(len(t) for t, a in own if a) / sum(len(t) for t, _ in own)
+        out[path] = chars * (1 + marks) * (1 - linked)
+    return out
+
+
+def test_ratios_against_plain_sums():
+    rnd = random.Random(4)
+    for _ in range(30):
+        body = "".join(f"<{t}>{'word, ' * rnd.randint(1, 30)}end.</{t}>" if rnd.random() < 0.7 else f"<{t}><a>{'link ' * rnd.randint(1, 4)}</a></{t}>" for t in rnd.choices(["p", "h2", "section", "blockquote"], k=12))
+        page = f"<body><div>{body}</div><table>{'few words ' * rnd.randint(1, 5)}</table></body>"
+        found, made = ht.blocks(page)
+        ht.ratios(found, made)
+        got = {}
+        for b in found:
+            e, path = b.element, []
+            while e.parent is not None:
+                path.append(e.tag)
+                e = e.parent
+            got["/".join(reversed(path))] = b.own
+        want = plain_ratios(page)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 * (1 + want[p]) for p in want)
+
+
+def test_the_threshold_decides():
+    links = "<div><a>Home</a></div><div><a>All news</a></div>"
+    page = f"<body><div class=top>{links}</div><div class=story><h1>Title</h1><p>{BODY}</p><p>Of.</p><ul><li>item</ul><p>{BODY}</p></div><div class=x>Buy now.</div><div class=y>{links}</div></body>"
+    want = f"Title {BODY} Of. item {BODY}"
+    assert ht.main_text(page) == want
+    assert ht.main_text(page, -1.0) == f"Home All news {want} Buy now. Home All news"
+    assert ht.main_text(page, 1.5) == ""
+
+
+def test_long_and_broken_pages_take_linear_time():
+    for part in ("<div>x", "<b>t<br>", "<p>a</div>", "<ul><li><b>x", "<", '<a b="', "<a '", "<!--", "<script>", "&amp"):
+        ht.main_text(part * 100_000)
+    assert len(ht.main_text("<div>x" * 200_000)) == 399_999
+    assert ht.main_text("<p>one <b title='>'>two</b> <a href=\"open>three</p><p>four, <i>five") == "one two three four, five"
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>Paragraph {i}, some words.</p>" for i in range(5000))
     page = f"<html><body><nav><a>x</a></nav><article>{body}</article></body></html>"

@@ -1,34 +1,52 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes text nodes, each with the path of tags from the root to it. Every
-path gets two ratios, text length and punctuation marks for each of its nodes.
-Both are smoothed along the page with a Gaussian, fused by their product and
-compared with a threshold from the page's own spread; a path is content if most
-of its text lies in nodes above. The main text is the smallest element that
-holds all that was selected, less the parts that their tag or name declares
-to be something else (menus, forms, adverts, comments and the like).
+A page becomes blocks of text, each with the path of tags (and classes) from the
+root to its block element. Every path gets three ratios over all of its blocks:
+characters a block, punctuation marks a block, and the share of characters in
+links; fused they are (characters) x (1 + marks) x (1 - links). Ratios are then
+smoothed in two ways: along the tree, by what the blocks of the largest element
+around a path (short of the one that holds the whole page) come to, and along
+the page, by the lesser of the neighbours on both sides. A path is content if its
+smoothed ratio reaches a quarter of the page's mean, weighted by characters; a
+heading's blocks go with what follows them. The main text is the blocks of the
+content paths, in page order; nothing else of the page enters it.
+
+What HTML itself says is no text of the page (scripts, forms, navigation and the
+like) has no blocks. What a class, id or role names as an advert, comments, a
+notice and so on keeps its blocks, but its ratios count a fiftieth, unless it holds
+an article, a main, or most of the page; on a page with an article or a main,
+ratios outside of these count a quarter.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed
 tags end where their parent ends, an unclosed comment runs to the end of the
 page; pages repeat and ids may be null or tied without effect; no part of a
-page is left unread.
+page is left unread, and the work grows with its length alone.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_map
 
+#: A content path reaches this share of the page's mean ratio.
+THRESHOLD = 0.25
+#: What a path gets from the element around it, and from its neighbours.
+AROUND, BETWEEN = 0.5, 0.5
+#: What the ratios of blocks count whose element is named something else.
+NAMED = 0.02
+#: What the ratios of blocks count outside of article and main, where a page has these.
+OUTSIDE = 0.25
+
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NOT_TEXT = frozenset("head title script style noscript template nav header footer aside form button select option textarea menu dialog svg canvas iframe object audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that name something beside the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -37,8 +55,11 @@ NAMES = frozenset(
 )
 # Words that an article's own parts may have as well; they count only beside one of NAMES.
 BESIDE = frozenset("notice alert discussion site page top bottom left right bar box list section block container wrapper area".split())
-_TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_TAG = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)""")
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*["']?\s*([^\s"'>]+)""", re.I)
+_HIDDEN = re.compile(r"""\b(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -46,12 +67,22 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "named", "holds", "score", "weight")
+    """``path`` is a number that elements of like paths share."""
+
+    __slots__ = ("tag", "parent", "path", "out", "named", "link", "block", "holds", "prior", "mass", "total", "around", "inside")
+
+    def __init__(self, tag, parent, path, out=False, named=False):
+        self.tag, self.parent, self.path, self.out, self.named = tag, parent, path, out, named
+        self.link = tag == "a" or parent is not None and parent.link
+        self.block = parent.block if tag in INLINE else self
+        self.holds, self.prior, self.mass, self.total, self.around, self.inside = False, 1.0, 0.0, 0.0, 0.0, False
+
 
-    def __init__(self, tag, parent, out, named=False):
-        self.tag, self.parent, self.out, self.named = tag, parent, out, named
-        self.holds, self.score, self.weight = False, 0.0, 0.0
-        self.path = tag if parent is None else f"{parent.path}/{tag}"
+class _Block:
+    __slots__ = ("element", "parts", "linked", "text", "own", "value", "prior")
+
+    def __init__(self, element):
+        self.element, self.parts, self.linked, self.own, self.value, self.prior = element, [], 0, 0.0, 0.0, 1.0
 
 
 def _hidden(tag: str, attributes: str) -> bool:
@@ -59,7 +90,7 @@ def _hidden(tag: str, attributes: str) -> bool:
         return True
     if tag in ("html", "body", "main", "article") or not attributes:
         return False
-    return bool(re.search(r"""\b(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none)""", attributes, re.I))
+    return bool(_HIDDEN.search(attributes))
 
 
 def _named(attributes: str) -> bool:
@@ -72,144 +103,152 @@ def _named(attributes: str) -> bool:
     return False
 
 
-def _discard(out: list[tuple[_Element, str, bool]], made: list[_Element]) -> None:
-    """Marks what lies in elements whose names declare it to be something else,
-    unless such an element holds an article or main or, on a page without these,
-    most of the page's text and marks."""
-    total, marked = 0.0, False
-    for e, t, _ in out:
-        if not e.out:
-            e.score += len(" ".join(t.split())) + len(_MARKS.findall(t))
-    for e in reversed(made):
-        if not e.out:
-            e.parent.score += e.score
-            e.parent.holds |= e.holds or e.tag in ("article", "main") and not e.named
-            total, marked = max(total, e.parent.score), marked or e.parent.holds
-    for e in made:
-        own = e.named and e.tag not in ("html", "body", "main", "article") and not e.holds and (marked or 2 * e.score <= total)
-        e.out = e.out or e.parent.out or own
-
-
-def nodes(page: str) -> list[tuple[_Element, str, bool]]:
-    """(element, text, whether a block begins here) in page order."""
-    root = _Element("", None, False)
-    at, here, block, out, made = 0, root, True, [], []
-    n = len(page)
+def blocks(page: str) -> tuple[list[_Block], list[_Element]]:
+    """The blocks of text in page order and all elements, parents first."""
+    paths: dict[tuple, int] = {}
+    root = _Element("", None, 0)
+    stack, made, open_ = [root], [root], {}
+    out: list[_Block] = []
+    at, n, fresh, quotes = 0, len(page), True, True
+
+    def pop() -> None:
+        open_[stack.pop().tag] -= 1
+
     while at < n:
         m = _TAG.search(page, at)
+        attributes, stop = "", 0
+        if m and m[0] != "<!--":
+            found = _ATTRIBUTES.match(page, m.end()) if m[2] and quotes else None
+            # after a quote that is never closed, tags end at the next ">"
+            quotes = quotes and (found is not None or not m[2])
+            stop = found.end() if found else page.find(">", m.end())
+            if stop < 0:
+                m = None
+            else:
+                attributes = page[m.end() : stop]
         end = m.start() if m else n
-        if end > at:
-            out.append((here, html.unescape(page[at:end]), block))
-            block = False
+        here = stack[-1]
+        if end > at and not here.out:
+            if fresh:
+                out.append(_Block(here.block))
+            text = html.unescape(page[at:end])
+            out[-1].parts.append(text)
+            if here.link:
+                out[-1].linked += len(text.strip())
+            fresh = False
         if not m:
             break
-        at = m.end()
         if m[0] == "<!--":
-            stop = page.find("-->", at)
+            stop = page.find("-->", m.end())
             at = n if stop < 0 else stop + 3
             continue
+        at = stop + 1
         if m[2] is None:
             continue
         tag = m[2].lower()
         if tag not in INLINE:
-            block = True
+            fresh = True
         if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if open_.get(tag):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
-        if tag in _CLOSES_P or tag in _SAME:
-            close = ("p",) if tag in _CLOSES_P else _SAME[tag]
-            up, found = here, None
-            while up is not root and (up.tag in INLINE or up.tag in close):
-                if up.tag in close:
-                    found = up
-                up = up.parent
-            if found:
-                here = found.parent
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+        close = ("p",) if tag in _CLOSES_P else _SAME.get(tag, ())
+        if any(open_.get(c) for c in close):
+            up, found = len(stack) - 1, 0
+            while up and (stack[up].tag in INLINE or stack[up].tag in close):
+                found = up if stack[up].tag in close else found
+                up -= 1
+            while found and len(stack) > found:
+                pop()
+        if tag in VOID or attributes.endswith("/") and tag not in RAW:
             continue
-        here = _Element(tag, here, here.out or _hidden(tag, m[3]), bool(m[3]) and _named(m[3]))
-        made.append(here)
+        here = stack[-1]
+        label = _CLASS.search(attributes) if attributes and tag not in INLINE else None
+        named = bool(attributes) and _named(attributes)
+        step = (here.path, tag, label[1].lower() if label else "", named)
+        e = _Element(tag, here, paths.setdefault(step, len(paths) + 1), here.out or _hidden(tag, attributes), named)
+        made.append(e)
+        stack.append(e)
+        open_[tag] = open_.get(tag, 0) + 1
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = stop.start() if stop else n
-    _discard(out, made)
-    return out
-
-
-def _smooth(x: list[float]) -> list[float]:
-    """Gaussian of radius 1 along the page; ends weigh what is there."""
-    side = math.exp(-0.5)
-    out = []
-    for i, v in enumerate(x):
-        total, weight = v, 1.0
-        for j in (i - 1, i + 1):
-            if 0 <= j < len(x):
-                total += side * x[j]
-                weight += side
-        out.append(total / weight)
-    return out
-
-
-def main_text(page: str | None) -> str:
-    all_nodes = nodes(page or "")
-    live = [(e, " ".join(t.split())) for e, t, _ in all_nodes if not e.out]
-    live = [(e, t) for e, t in live if t]
-    if not live:
+    for b in out:
+        b.text = " ".join("".join(b.parts).split())
+    return [b for b in out if b.text], made
+
+
+def _priors(found: list[_Block], made: list[_Element]) -> None:
+    """Marks the elements whose names say that they are something else."""
+    for b in found:
+        b.element.mass += len(b.text)
+    total, marked = float(sum(len(b.text) for b in found)), False
+    for e in reversed(made):
+        if e.parent is not None and not e.out:
+            e.parent.mass += e.mass
+            e.parent.holds |= e.holds or e.tag in ("article", "main") and not e.named and e.mass > 0
+            marked = marked or e.parent.holds
+    for e in made[1:]:
+        own = e.named and e.tag not in ("html", "body", "main", "article") and not e.holds and (marked or 2 * e.mass <= total)
+        e.inside = e.parent.inside or e.tag in ("article", "main") and not e.named
+        e.prior = min(e.parent.prior, NAMED if own else 1.0)
+    for b in found:
+        b.prior = b.element.prior * (OUTSIDE if marked and not b.element.inside else 1.0)
+
+
+def ratios(found: list[_Block], made: list[_Element]) -> dict[int, float]:
+    """The smoothed ratio of every path; blocks get theirs as ``value``."""
+    _priors(found, made)
+    sums: dict[int, list[float]] = {}
+    for b in found:
+        s = sums.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
+        s[0] += 1
+        s[1] += len(b.text)
+        s[2] += len(_MARKS.findall(b.text))
+        s[3] += min(b.linked, len(b.text))
+    plain = {p: 1 - linked / chars for p, (_, chars, _, linked) in sums.items()}
+    fused = {p: chars / k * (1 + marks / k) * plain[p] for p, (k, chars, marks, _) in sums.items()}
+    for b in found:
+        b.own = fused[b.element.path] * b.prior
+        b.element.total += b.own * len(b.text)
+    for e in reversed(made):
+        if e.parent is not None:
+            e.parent.total += e.total
+    # the best mean of an element around a block that does not hold the whole page
+    whole = made[0].mass
+    for e in made[1:]:
+        inside = e.mass < whole or e.tag in ("article", "main")
+        e.around = max(e.parent.around, e.total / e.mass if e.mass and inside else 0.0)
+    value, times = {}, {}
+    n = len(found)
+    for i, b in enumerate(found):
+        between = min(found[i - 1].own, found[i + 1].own) if 0 < i < n - 1 else 0.0
+        p = b.element.path
+        best = max(b.own, max(AROUND * b.element.parent.around if b.element.parent else 0.0, BETWEEN * between) * plain[p] * b.prior)
+        value[p] = value.get(p, 0.0) + best
+        times[p] = times.get(p, 0) + 1
+    value = {p: v / times[p] for p, v in value.items()}
+    for b in found:
+        b.value = value[b.element.path]
+    return value
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+    found, made = blocks(page or "")
+    if not found:
         return ""
-    paths: dict[str, list[float]] = {}
-    for e, t in live:
-        p = paths.setdefault(e.path, [0.0, 0.0, 0.0])
-        p[0] += len(t)
-        p[1] += len(_MARKS.findall(t))
-        p[2] += 1
-    length = _smooth([paths[e.path][0] / paths[e.path][2] for e, _ in live])
-    marks = _smooth([paths[e.path][1] / paths[e.path][2] for e, _ in live])
-    fused = [a * (1 + b) for a, b in zip(length, marks)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    least = min(0.5 * mean, max(0.1 * mean, mean - spread))
-    above: dict[str, float] = {}
-    for (e, t), f in zip(live, fused):
-        if f >= least:
-            above[e.path] = above.get(e.path, 0.0) + len(t)
-    content = {p for p, v in above.items() if 2 * v >= paths[p][0]} or {max(above, key=above.get)}
-    # the smallest element that holds all that the paths select
-    weights: dict[int, _Element] = {}
-    total = 0.0
-    for e, t in live:
-        if e.path in content:
-            total += len(t)
-            while e is not None:
-                e.weight += len(t)
-                weights[id(e)] = e
-                e = e.parent
-    best = max((e for e in weights.values() if e.weight == total and e.tag not in INLINE and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote")), key=lambda e: e.path.count("/"))
-    inside: dict[int, bool] = {}
-
-    def within(e) -> bool:
-        chain, known = [], None
-        while e is not None and known is None:
-            known = inside.get(id(e), True if e is best else None)
-            chain.append(e)
-            e = e.parent
-        for c in chain:
-            inside[id(c)] = bool(known)
-        return bool(known)
-
-    parts = []
-    pending = False
-    for e, t, block in all_nodes:
-        pending = pending or block
-        if e.out or not within(e):
-            pending = True
-            continue
-        parts.append(" " + t if pending else t)
-        pending = False
-    return " ".join("".join(parts).split())
+    ratios(found, made)
+    mean = made[0].total / sum(len(b.text) * b.prior for b in found)
+    content, follows = [False] * len(found), False
+    for i in range(len(found) - 1, -1, -1):
+        b = found[i]
+        if b.element.tag in HEADING:
+            content[i] = follows and b.element.prior == 1.0 or b.own >= threshold * mean
+        else:
+            follows = content[i] = b.value >= threshold * mean
+    return " ".join(b.text for b, c in zip(found, content) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:
