@@ -3,16 +3,25 @@
 Detected entities get a replacement that depends on a key and the entity alone,
 so that the same entity has the same surrogate wherever it occurs, and that
 keeps type and format: digits stay digits, letters stay letters of their case,
-separators stay, card numbers and IBANs keep valid check digits, given names
-keep gender and script. Digit strings are permuted by a Feistel network, which
-maps different numbers to different ones.
+separators stay, card numbers and IBANs keep valid check digits, names keep
+gender (if known), script and hyphens. Digit strings are permuted by a Feistel
+network, which maps different numbers to different ones.
+
+Persons are found by what stands around a name: a title, a field ("Name:"), a
+phrase ("my name is"), a close or an address of a letter, an e-mail address of
+the same text that spells the name, or a common given name before it. Further
+mentions of their names in the text, whole words, are theirs too. Two capitalised
+words without such a sign are left alone, as most are no persons.
 
 Distinctness is checked over the corpus: the distinct entities with their
 surrogates form a distributed table; where two entities share a surrogate, or a
 surrogate is itself an entity of the corpus, all but the smallest entity draw
-again with the next attempt number, until none is left
-(an error after the last round). Attempts other than 0
-reach the rewriting by broadcast if they are few (counted), else by a join.
+again with the next attempt number (made-up names grow by a syllable then), until
+none is left; entities that still collide after the last round are an error.
+Common given names are permuted among themselves by a keyed cycle: they stay
+distinct and none stays itself, but a surrogate may be another person's name.
+Attempts other than 0 reach the rewriting by broadcast if they are few (counted),
+else by a join.
 
 Defined results: null text stays null with no entities; clean texts come back
 unchanged, byte for byte; null or repeated doc_ids are rows like others; columns
@@ -21,6 +30,7 @@ named n_entities or entities are replaced; whole texts are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -29,7 +39,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import arrow_map, Scratch
 
-KEY = "voxelweave-surrogates"
+#: Session setting of the key; whoever knows the key can link surrogates to guesses.
+KEY_SETTING = "spark.voxelweave.surrogates.key"
+#: The key of the registered query and the tests where the setting is absent.
+PUBLIC_KEY = "voxelweave-surrogates"
 ROUNDS = 8
 #: From this attempt on, forms with few variants give way to longer or plainer ones.
 LOOSE = 5
@@ -43,16 +56,35 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Светлана Татьяна Екатерина Юлия Дарья Полина".split(),
     ("cyrillic", "m"): "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Павел Олег Владимир Максим Роман".split(),
 }
-# Sounds of surnames by script: first letters, second letters, endings.
+# Sounds of made-up names by script: first letters, second letters,
+# endings of surnames, and endings of given names by gender (u: unknown).
 SYLLABLES = {
-    "latin": ("bcdfghjklmnprstvw", "aeiou", ("son", "ford", "well", "field", "man", "wood", "by", "ler")),
-    "cyrillic": ("бвгдзклмнпрстф", "аеиоу", ("в", "нов", "лов", "ров")),
+    "latin": ("bcdfghjklmnprstvw", "aeiou", ("son", "ford", "well", "field", "man", "wood", "by", "ler"), {"f": ("a", "ia", "ina", "elle"), "m": ("o", "an", "us", "ard"), "u": ("is", "en", "y", "el")}),
+    "cyrillic": ("бвгдзклмнпрстф", "аеиоу", ("в", "нов", "лов", "ров"), {"f": ("а", "ия", "ина"), "m": ("ан", "ий", "ор"), "u": ("и", "ели")}),
+    "greek": ("βγδκλμνπρστφ", "αειου", ("δης", "πουλος", "κης"), {"f": ("α", "ια"), "m": ("ος", "ης"), "u": ("ι", "ω")}),
 }
 # Titles and the gender they tell.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f"}
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
+# Fields, phrases and closes that a full name follows.
+FIELDS = ("Name", "name", "Full Name", "Author", "author", "Contact", "contact", "Signed", "Attn", "Kontakt", "Ansprechpartner", "Nom", "Auteur", "Nombre", "Autor", "Contacto", "Имя", "ФИО", "Автор")
+PHRASES = ("my name is", "My name is", "I am", "I'm", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "mon nom est", "Mon nom est", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "меня зовут", "Меня зовут", "written by", "Written by", "signed by", "Signed by", "Dear", "Sincerely,", "Regards,", "regards,", "Yours,", "Grüßen", "Cordialement,", "Atentamente,", "Saludos,", "уважением,")
 
 _GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
+
+
+def _letters(case: str) -> str:
+    """All letters of one case of the Latin, Greek and Cyrillic blocks."""
+    return "".join(c for c in map(chr, range(0x41, 0x530)) if getattr(c, f"is{case}")())
+
+
+_UP, _LOW = _letters("upper"), _letters("lower")
+_NAME = rf"(?:[{_UP}]['’])?[{_UP}][{_LOW}]+(?:-[{_UP}]?[{_LOW}]+)*"
+_BETWEEN = r"(?:(?:von|van|der|den|de|del|la|di|da|du|le) )*"
+_FULL = rf"({_NAME})(?: [{_UP}]\.)? {_BETWEEN}({_NAME})(?![\w])"
+_PHONE = (
+    r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+    r"|(?<![.-])0\d{1,4}[ /-]\d{3,4}[ -]\d{2,4}(?:[ -]\d{2,4})?|(?<![.-])0\d(?:[ .]\d{2}){4}|(?<![.-])0\d{2,4}/\d{5,8})(?!\w)"
+)
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*)(?P<value>\"[^\"\s]{8,}\"|'[^'\s]{8,}'|(?=[^\s\"']*\d)[^\s\"',;]{8,}))"
@@ -60,12 +92,15 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
     r"|(?P<card>(?<!\w)(?:\d[ -]?){12,18}\d(?!\w))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
+    rf"|(?P<phone>{_PHONE})"
 )
+_PHONES = re.compile(_PHONE)
 #: What every match of the pattern has: a digit of any script, '@', AKIA or the begin of a quoted value.
 _ANY = re.compile(r"""[\d@]|AKIA|[=:]\s*["']""")
-_TITLED = re.compile(rf"\b({'|'.join(TITLES)})(\.?)( )({_NAME})(?:( )({_NAME}))?")
-_PAIR = re.compile(rf"({_NAME}) ({_NAME})(?!\w)")
+_TITLED = re.compile(rf"\b({'|'.join(TITLES)})(\.?)( )(?:(?:Dr|Prof)\.? )*{_BETWEEN}({_NAME})(?:( ){_BETWEEN}({_NAME}))?")
+_CUED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(FIELDS)}) ?[:=]|{'|'.join(map(re.escape, PHRASES))})\s+{_FULL}")
+_PAIR = re.compile(rf"({_NAME})(?: [{_UP}]\.)? {_BETWEEN}({_NAME})(?!\w)")
+_CUES = tuple(sorted({f"{f}{sign}" for f in FIELDS for sign in (":", "=", " :", " =")} | set(PHRASES)))
 
 
 def _luhn(digits: str) -> int:
@@ -85,7 +120,7 @@ def _iban_ok(s: str) -> bool:
 class Surrogates:
     """Keyed replacements: ``attempt`` is 0 unless a collision was found."""
 
-    def __init__(self, key: str = KEY):
+    def __init__(self, key: str):
         self.key = key.encode()
         self.following: dict[tuple[str, str], dict[str, str]] = {}
 
@@ -159,91 +194,135 @@ class Surrogates:
             if out == canon or attempt >= LOOSE:  # signs and other scripts, which letters() leaves as they are
                 out = canon[:head] + self.letters("secret", "".join(c if c.isascii() and c.isalnum() else chr(97 + self._bits("sign", canon, attempt, i) % 26) for i, c in enumerate(canon[head:])), attempt)
             return out
-        script, part, gender = kind.split("-")[1:] if kind.startswith("name-") else ("latin", "s", "")
-        if part == "g":
-            pool = GIVEN[script, gender]
+        script, part, gender = kind.split("-")[1:]
+        if part == "p":
             if (script, gender) not in self.following:
                 # a keyed cycle: names of the pool stay distinct and none stays itself
-                cycle = sorted(pool, key=lambda n: self._bits(kind, "cycle", n))
+                cycle = sorted(GIVEN[script, gender], key=lambda n: self._bits(kind, "cycle", n))
                 self.following[script, gender] = {a.lower(): b for a, b in zip(cycle, cycle[1:] + cycle[:1])}
-            return self.following[script, gender].get(canon) or pool[self._bits(kind, canon, attempt) % len(pool)]
-        # a made-up surname, from a space large enough to keep persons apart
-        n, out = self._bits(kind, canon, attempt), ""
-        first, second, endings = SYLLABLES[script]
-        for _ in range(3):
-            out += first[n % len(first)] + second[n // 32 % len(second)]
-            n //= 1024
-        return (out + endings[n % len(endings)]).capitalize()
+            return self.following[script, gender][canon]
+        return "-".join(self._made_up(script, part, gender, canon, attempt, i) for i in range(canon.count("-") + 1))
+
+    def _made_up(self, script: str, part: str, gender: str, canon: str, attempt: int, nth: int) -> str:
+        """A made-up name; the space grows with each attempt."""
+        first, second, endings, given = SYLLABLES[script]
+        again = 0
+        while True:
+            n, out = self._bits("name", script, part, gender, canon, attempt, nth, again), ""
+            for _ in range((3 if part == "s" else 2) + attempt):
+                out += first[n % len(first)] + second[n // 32 % len(second)]
+                n //= 1024
+            ends = endings if part == "s" else given[gender]
+            out += ends[n % len(ends)]
+            if out not in _GENDER and out != canon:
+                return out.capitalize()
+            again += 1
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if name[0] >= "А" else "latin"
+    c = next((c for c in name if c.isalpha()), "a")
+    return "cyrillic" if c >= "\u0400" else "greek" if "\u0370" <= c < "\u0400" else "latin"
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(from, to, kind, canonical form) of the entities, in order."""
+def _given(name: str, gender: str) -> tuple[str, str]:
+    """Kind and canonical form of a given name."""
+    low = name.lower()
+    if low in _GENDER:
+        return f"name-{_script(name)}-p-{_GENDER[low]}", low
+    return f"name-{_script(name)}-g-{gender or 'u'}", low
+
+
+def _surname(name: str) -> tuple[str, str]:
+    return f"name-{_script(name)}-s-", name.lower()
+
+
+def _numbers(text: str) -> list[tuple[int, int, str, str]]:
+    """Entities that their own form tells: addresses, numbers, secrets."""
     out: list[tuple[int, int, str, str]] = []
-    if _ANY.search(text):
-        for m in _PATTERN.finditer(text):
-            kind, s = m.lastgroup, m[0]
-            a, b = m.span()
-            if m["secret"]:
-                kind = "secret"
-                if m["value"]:
-                    a, b = m.span("value")
-                    if text[a] in "\"'":
-                        a, b = a + 1, b - 1
-                s = text[a:b]
-                canon = s
-            elif m["email"]:
-                kind, canon = "email", s.lower()
-            elif m["iban"]:
-                kind, canon = "iban", s.replace(" ", "")
-                if not _iban_ok(s):
-                    continue
-            elif m["ip"]:
-                kind, canon = "ip", s
-            else:
-                kind, canon = m.lastgroup, "".join(str(int(c)) for c in s if c.isdigit())
-                if kind == "card" and _luhn(canon[:-1]) != int(canon[-1]):
-                    continue
-                if kind == "phone" and not 8 <= len(canon) <= 15:
+    at = 0
+    while m := _PATTERN.search(text, at):
+        kind, s = m.lastgroup, m[0]
+        a, b = m.span()
+        at = b
+        if m["secret"]:
+            kind = "secret"
+            if m["value"]:
+                a, b = m.span("value")
+                if text[a] in "\"'":
+                    a, b = a + 1, b - 1
+            canon = text[a:b]
+        elif m["email"]:
+            kind, canon = "email", s.lower()
+        elif m["iban"]:
+            kind, canon = "iban", s.replace(" ", "")
+            if not _iban_ok(s):
+                at = a + 1  # what lies inside may be another kind
+                continue
+        elif m["ip"]:
+            kind, canon = "ip", s
+        else:
+            canon = "".join(str(int(c)) for c in s if c.isdigit())
+            if kind == "card" and _luhn(canon[:-1]) != int(canon[-1]):
+                phone = _PHONES.match(text, a)
+                if not phone:
+                    at = a + 1
                     continue
-            out.append((a, b, kind, canon))
-    taken = [(a, b) for a, b, _, _ in out]
+                kind, b = "phone", phone.end()
+                canon, at = "".join(str(int(c)) for c in phone[0] if c.isdigit()), b
+            if kind == "phone" and not 8 <= len(canon) <= 15:
+                at = a + 1
+                continue
+        out.append((a, b, kind, canon))
+    return out
+
 
-    def free(a, b):
-        return all(b <= x or a >= y for x, y in taken)
+def _persons(text: str, locals_: list[str]) -> dict[str, tuple[str, str]]:
+    """Names as they stand in the text -> kind and canonical form."""
+    found: dict[str, tuple[str, str]] = {}
 
-    def person(given, surname, gender):
-        found = []
+    def add(given: str | None, surname: str, gender: str = "") -> None:
         if given:
-            a, b = given
-            g = gender or _GENDER.get(text[a:b].lower(), "")
-            if g:
-                found.append((a, b, f"name-{_script(text[a])}-g-{g}", text[a:b].lower()))
+            found.setdefault(given, _given(given, gender))
+        found.setdefault(surname, _surname(surname))
+
+    if any(t in text for t in TITLES):
+        for m in _TITLED.finditer(text):
+            if m[6] is None:
+                add(None, m[4], TITLES[m[1]])
             else:
-                found.append((a, b, f"name-{_script(text[a])}-s-", text[a:b].lower()))
-        a, b = surname
-        found.append((a, b, f"name-{_script(text[a])}-s-", text[a:b].lower()))
-        return found
-
-    for m in _TITLED.finditer(text) if any(t in text for t in TITLES) else ():
-        if m[6] is None:
-            names = person(None, m.span(4), TITLES[m[1]])
-        else:
-            names = person(m.span(4), m.span(6), TITLES[m[1]])
-        if free(*m.span()):
-            out += names
-            taken.append(m.span())
+                add(m[4], m[6], TITLES[m[1]])
+    if any(c in text for c in _CUES):
+        for m in _CUED.finditer(text):
+            if m[1] not in TITLES:
+                add(m[1], m[2])
     at = 0
     while m := _PAIR.search(text, at):
-        if m[1].lower() in _GENDER and m[1] != m[2] and m[2].lower() not in _GENDER and free(*m.span()):
-            out += person(m.span(1), m.span(2), "")
-            at = m.end()
-        else:
-            at = m.end(1)
-    return sorted(out)
+        at = m.end(1)
+        low, last = m[1].lower(), re.sub("['’]", "", m[2].lower())
+        if low in _GENDER and low != last and last not in _GENDER:
+            add(m[1], m[2])
+        elif locals_ and m[1] not in TITLES:
+            spelled = {low + x + last for x in ("", ".", "_", "-")} | {last + x + low for x in (".", "_", "-")} | {low[0] + last, f"{low[0]}.{last}"}
+            if any(x in spelled for x in locals_):
+                add(m[1], m[2])
+    return found
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """(from, to, kind, canonical form) of the entities, in order."""
+    out = _numbers(text) if _ANY.search(text) else []
+    persons = _persons(text, [re.sub(r"[\d.]+$", "", c.partition("@")[0]) for _, _, k, c in out if k == "email"])
+    if persons:
+        forms = {f: v for n, v in persons.items() for f in (n, n.upper())}
+        mentions = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))})(?![\w-])")
+        taken = [(a, b) for a, b, _, _ in out]
+        ends = [b for _, b in taken]
+        for m in mentions.finditer(text):
+            i = bisect.bisect_right(ends, m.start())
+            if i == len(taken) or taken[i][0] >= m.end():
+                out.append((*m.span(), *forms[m[0]]))
+        out.sort()
+    return out
 
 
 def _like(original: str, surrogate: str) -> str:
@@ -264,9 +343,10 @@ def _write(kind: str, original: str, surrogate: str) -> str:
 
 
 def _surrogate(make: Surrogates, kind: str, canon: str, attempt: int) -> str:
-    if kind == "phone":  # the country code stays for North American numbers
-        if len(canon) == 11 and canon[0] == "1":
-            return "1" + make("phone", canon[1:], attempt)
+    if kind == "phone" and len(canon) == 11 and canon[0] == "1":  # the country code of North American numbers stays
+        return "1" + make("phone", canon[1:], attempt)
+    if kind == "phone" and canon[0] == "0":  # so does the zero of national ones
+        return "0" + make("phone", canon[1:], attempt)
     return make(kind, canon, attempt)
 
 
@@ -298,22 +378,19 @@ def _redraw(key: str):
     return run
 
 
-def entities(scratch: Scratch, docs: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
+def entities(scratch: Scratch, docs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     """All distinct entities with the attempt whose surrogate no other entity
     has and that is no entity itself; an error if some still collide after the
-    last round. Given names of the lists are permuted within their list, so they
-    stay distinct and none stays itself; others are drawn from the list and may
-    share a surrogate, as their number has no bound."""
+    last round. Common given names are permuted, so they only have to differ."""
     table = docs.select("text").transform(arrow_map, _table(key), "kind string, canon string, surrogate string").distinct()
     table = scratch.keep(table.select("kind", "canon", F.lit(0).alias("attempt"), "surrogate"))
-    given = F.col("kind").rlike("^name-.*-g-")
+    pool = F.col("kind").rlike("^name-.*-p-")
     for attempt in range(rounds + 1):
-        apart = table.where(~given)
         # one row per surrogate keeps it: the smallest entity
         first = Window.partitionBy("kind", "surrogate").orderBy("canon")
-        lost = apart.withColumn("_n", F.row_number().over(first)).where("_n > 1").select("kind", "canon")
-        real = apart.select("kind", F.lower("canon").alias("surrogate")).distinct()
-        itself = apart.withColumn("surrogate", F.lower("surrogate")).join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")
+        lost = table.withColumn("_n", F.row_number().over(first)).where("_n > 1").select("kind", "canon")
+        real = table.where(~pool).select("kind", F.lower("canon").alias("surrogate")).distinct()
+        itself = table.where(~pool).withColumn("surrogate", F.lower("surrogate")).join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")
         again = scratch.keep(lost.unionAll(itself).distinct())
         if again.isEmpty():
             break
@@ -363,7 +440,11 @@ def _rewrite(key: str, known, keep: list[str], kinds: int):
     return run
 
 
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+
+
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """docs with its text rewritten, and the columns n_entities, entities."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "op10")
@@ -391,4 +472,4 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op10_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
