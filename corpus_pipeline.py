@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets; n_chars follows the new text. Null
     texts stay null with n_chars null; all rows stay, repeated ones too."""
-    out = op10_pii.surrogates(docs.select(*COLUMNS))
+    out = op10_pii.surrogates(docs.select(*COLUMNS), op10_pii.session_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
