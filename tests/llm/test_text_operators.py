@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -83,27 +84,46 @@ def test_decoding_restores_hidden_words(spark):
 
 
 def brute_decode(span, model):
-    """All readings of a span without runs, scored one by one."""
-    readings = [("", 0.0)]
-    for ch in span:
-        opts = [(ch, 0.0)] if ch.isalpha() else [(ch, tx._SELF)] + [(c, tx._SUBSTITUTE) for c in tx.LOOKALIKE.get(ch, "")]
-        readings = [(a + b, s + t) for a, s in readings for b, t in opts]
+    """All readings of a span, scored letter by letter."""
+    readings, before, latin = [("", 0.0)], "", bool(re.search("[a-z]", span))
+    for ch, run in itertools.groupby(span):
+        r = len(list(run))
+        if ch.isalpha() and latin and ch in tx.HOMOGLYPH:
+            opts = [(ch * r, tx._MEANT_ALIKE)] if r < 3 else [(ch, tx._SHORTER), (ch * 2, tx._SHORTER), (ch * r, tx._MEANT)]
+            opts += [(ch, -3.0)] * (r == 2) + [(tx.HOMOGLYPH[ch] * k, tx._SUBSTITUTE) for k in {1, min(r, 2)}]
+        elif ch.isalpha():
+            opts = [(ch * r, 0.0)] + [(ch, -3.0)] * (r == 2) if r < 3 else [(ch, tx._SHORTER), (ch * 2, tx._SHORTER), (ch * r, tx._MEANT)]
+        elif ch in tx.LOOKALIKE:
+            opts = [(ch * r, tx._SELF)] + [(c * k, tx._SUBSTITUTE * min(r, 2)) for c in tx.LOOKALIKE[ch] for k in range(1, min(r, 2) + 1)]
+        else:
+            opts = [(ch * r, tx._KEEP if before.isalnum() else 0.0), ("", tx._JOIN)]
+        readings, before = [(a + b, s + t) for a, s in readings for b, t in opts], ch
 
     def score(text, s):
         x = y = 0
         for c in text:
-            z = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalnum() else 0
+            z = tx.symbol(c)
             s += model[x, y, z]
             x, y = y, z
         return s + model[x, y, 0]
 
-    return max((score(*r), r[0]) for r in readings)[1]
+    return max((score(*r), r[0]) for r in readings)
 
 
 def test_viterbi_equals_brute_force(spark):
-    chars = model_of(spark, ["some idle ballot tells a story of salt and glass " * 5])
-    for span in ["b4l1o7", "s4l7", "gl4$s"[:4], "t3l1", "0f1d"]:
-        assert tx.decode(span, chars) == brute_decode(span, chars)
+    chars = model_of(spark, ["some idle ballot tells a story of salt and glass " * 5, "a plan of a b c and d for an apple " * 3, "слово и дело " * 4])
+    for span in ["b4l1o7", "s4l7", "gl4$s"[:4], "t3l1", "0f1d", "a b c", "t e l l", "i - d", "s.a.l.t", "baaaaaaaaaaaad", "teeell", "$$alt", "sаlt", "слооово", "gllаааss", "x" * 30]:
+        assert tx.decode(span, chars) == brute_decode(span, chars)[1]
+
+
+def test_gaps_are_decided_by_the_model(spark):
+    chars = model_of(spark, ["the idiot went home " * 20, "plan a b c or a b c d as a b c says " * 40])
+    assert "idiot" in tx.restore("an i d i o t here", chars, {})
+    assert "a b c" in tx.restore("plan a b c is", chars, {})
+    assert tx.spans("so i  d - i..o t it")[0][2] == "i  d - i..o t"
+    assert tx.restore("ужаааасно", chars, {}) in ("ужасно", "ужаасно")
+    long = "no" + "o" * 100_000
+    assert tx.restore(long, chars, {}) in ("no", "noo")
 
 
 def test_toxicity_of_held_out_rows_and_edges(spark, make):

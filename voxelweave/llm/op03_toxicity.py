@@ -1,11 +1,13 @@
 """Toxicity of deobfuscated text.
 
-Writers hide words behind look-alike signs (1d10t), spacing (i d i o t) and
-repetition (idiooot). A noisy channel undoes that: a span that shows such signs
-becomes a lattice of the letters each sign may stand for, and Viterbi decoding
-under a character trigram model picks the likeliest word. Letters without such
-signs have one path only and stay. The restored text is then scored by a
-logistic model over words and word beginnings of 4 to 6 letters.
+Writers hide words behind look-alike signs (1d10t), letters of another script,
+spacing (i d i o t) and repetition (idiooot). A noisy channel undoes that: a span
+that shows such signs becomes a lattice of the letters each sign may stand for,
+of gaps that part words or were put in, and of runs that were drawn out; Viterbi
+decoding under a character trigram model picks the likeliest reading. Letters
+without such signs have one path only and stay. The restored text is then scored
+by a logistic model over words and word beginnings of 4 to 6 letters. The model's
+symbols are a to z, digits, and twelve classes that other letters are hashed to.
 
 The character model counts the trigrams of all documents. Labels are learned
 from at most ``PER_LABEL`` rows of each label, none of them held out.
@@ -32,18 +34,40 @@ LOOKALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou",
 }
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = _LETTER[0xDF:0xF7] = _LETTER[0xF8:] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in LOOKALIKE if ord(c) < 256]] = True
-_DIGIT = np.zeros(256, bool)
+#: Cyrillic and Greek letters that look like Latin ones.
+HOMOGLYPH = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ο": "o", "α": "a", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "κ": "k"}
+#: Symbols of the character model: 0 no letter, 1-26 a-z, 27 digits, then classes of other letters.
+N, OTHER = 40, 28
+
+
+def symbol(c: str) -> int:
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    if c.isdigit():
+        return 27
+    return OTHER + ord(c) * 2654435761 % 2**32 * (N - OTHER) // 2**32 if c.isalpha() else 0
+
+
+#: By code point of the basic plane; what lies beyond counts as no letter.
+_PLANE = 1 << 16
+_LETTER = np.array([chr(i).isalpha() and chr(i).lower() == chr(i) for i in range(_PLANE)])
+_DIGIT = np.zeros(_PLANE, bool)
 _DIGIT[48:58] = True
-#: Symbols of the character model: 0 no letter, 1-26 a-z, 27 any other letter.
-_SYMBOL = np.zeros(256, np.int32)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[_LETTER & (np.arange(256) > 127)] = 27
-_SYMBOL[_DIGIT] = 27
-N = 28
+_SIGN = np.zeros(_PLANE, bool)
+_SIGN[[ord(c) for c in LOOKALIKE]] = True
+_LATIN = np.zeros(_PLANE, bool)
+_LATIN[97:123] = True
+_ALIKE = np.zeros(_PLANE, bool)
+_ALIKE[[ord(c) for c in HOMOGLYPH]] = True
+_SYMBOL = np.zeros(_PLANE, np.int32)
+for _c in np.flatnonzero(_LETTER | _DIGIT).tolist():
+    _SYMBOL[_c] = symbol(chr(_c))
+
+
+def _points(low: str) -> np.ndarray:
+    return np.minimum(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"), _PLANE - 1)
+
+
 _PART = 1 << 18
 
 
@@ -70,14 +94,14 @@ def _count(batches):
 
 def _add(texts: list[str], total: np.ndarray) -> None:
     if texts:
-        s = _SYMBOL[np.frombuffer("  ".join(texts).lower().encode("latin-1", "replace"), np.uint8)]
+        s = _SYMBOL[_points("  ".join(texts).lower())]
         if len(s) > 2:
             total += np.bincount(s[:-2] * (N * N) + s[1:-1] * N + s[2:], minlength=N**3)
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Log probabilities [a, b, c] of c after a, b: trigrams of the whole
-    corpus, smoothed by bigrams and single letters. 28**3 rows at most."""
+    corpus, smoothed by bigrams and single letters. N**3 rows at most."""
     rows = docs.select("text").transform(arrow_map, _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     c = np.zeros(N**3)
     for gram, n in rows:
@@ -89,9 +113,10 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(three)
 
 
-#: Channel costs: a sign for a letter, a sign for itself, a run read as one or
-#: two letters, a run that is meant.
-_SUBSTITUTE, _SELF, _SHORTER, _MEANT = -0.7, -6.0, -0.7, -4.0
+#: Channel costs: a sign for a letter, a sign for itself, a letter that looks like
+#: another and is meant, a run read as one or two letters, a run that is meant, a
+#: gap that was put in, a gap that is meant.
+_SUBSTITUTE, _SELF, _MEANT_ALIKE, _SHORTER, _MEANT, _JOIN, _KEEP = -0.7, -6.0, -3.0, -0.7, -4.0, -0.3, -2.0
 
 
 def decode(span: str, model: np.ndarray) -> str:
@@ -103,41 +128,49 @@ def decode(span: str, model: np.ndarray) -> str:
         else:
             runs.append((ch, 1))
 
-    def symbol(ch: str) -> int:
-        return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalnum() else 0
-
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ch, r in runs:
-        options: list[tuple[str, float]] = []
-        if "a" <= ch <= "z" or ch.isalpha():
+    like = HOMOGLYPH if any("a" <= c <= "z" for c in span) else {}
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for nth, (ch, r) in enumerate(runs):
+        options: list[tuple[str, int, float]] = []  # a sign, how often, cost
+        if ch.isalpha():
             if r < 3:
-                options.append((ch * r, 0.0))
+                options.append((ch, r, _MEANT_ALIKE if ch in like else 0.0))
                 if r == 2:
-                    options.append((ch, -3.0))
+                    options.append((ch, 1, -3.0))
             else:
-                options += [(ch, _SHORTER), (ch * 2, _SHORTER), (ch * r, _MEANT)]
-        else:
-            options.append((ch * r, _SELF))
-            for c in LOOKALIKE.get(ch, ""):
-                options += [(c, _SUBSTITUTE)] if r == 1 else [(c, 2 * _SUBSTITUTE), (c * 2, 2 * _SUBSTITUTE)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+                options += [(ch, 1, _SHORTER), (ch, 2, _SHORTER), (ch, r, _MEANT)]
+            if ch in like:
+                options += [(like[ch], k, _SUBSTITUTE) for k in {1, min(r, 2)}]
+        elif ch in LOOKALIKE:
+            options.append((ch, r, _SELF))
+            for c in LOOKALIKE[ch]:
+                options += [(c, 1, _SUBSTITUTE)] if r == 1 else [(c, 1, 2 * _SUBSTITUTE), (c, 2, 2 * _SUBSTITUTE)]
+        else:  # a gap; the signs of one gap are kept or go together
+            options.append((ch, r, _KEEP if runs[nth - 1][0].isalnum() else 0.0))
+            options.append(("", 0, _JOIN))
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, out) in states.items():
-            for text, cost in options:
+            for c, times, cost in options:
                 x, y, s = a, b, score + cost
-                for c in text[:8]:
+                if times:
                     z = symbol(c)
-                    s += model[x, y, z]
-                    x, y = y, z
+                    # from the third time on each adds the same
+                    s += model[x, y, z] + (model[y, z, z] if times > 1 else 0.0) + (times - 2) * model[z, z, z] * (times > 2)
+                    x, y = (y, z) if times == 1 else (z, z)
                 if (x, y) not in after or s > after[x, y][0]:
-                    after[x, y] = (s, out + text)
+                    after[x, y] = (s, (out, c * times))
         states = after
-    return max((s + model[a, b, 0], out) for (a, b), (s, out) in states.items())[1]
+    parts, best = [], max(((s + model[a, b, 0], out) for (a, b), (s, out) in states.items()), key=lambda x: x[0])[1]
+    while best:
+        parts.append(best[1])
+        best = best[0]
+    return "".join(reversed(parts))
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(from, to, what to decode) of the spans of a lower-case text that look
     obfuscated, in order."""
-    buf = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    buf = _points(text)
     n = len(buf)
     if n < 4:
         return []
@@ -151,24 +184,29 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     hit[0] = sign[0] & letter[1] & (buf[0] != 42)
     hit[1:] |= (digit[1:] | (buf[1:] == 64)) & letter[:-1]
     hit[2:] |= letter[2:] & (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2])
+    alike, latin = _ALIKE[buf], _LATIN[buf]
+    if alike.any():  # letters of two scripts beside each other
+        hit[1:] |= alike[1:] & latin[:-1] | latin[1:] & alike[:-1]
     word = letter | sign
-    alone = letter | digit
-    single = alone.copy()
+    single = letter | digit
     single[1:] &= ~word[:-1] | (buf[:-1] == 42)
     single[:-1] &= ~word[1:] | (buf[1:] == 42)
-    spaced = np.zeros(n, bool)
-    if n >= 5:
-        spaced[:-4] = single[:-4] & single[2:-2] & single[4:]
+    # three letters or more that stand alone, with gaps of one to three signs
+    alone = np.flatnonzero(single)
+    near = np.diff(alone) <= 4
+    chain = np.zeros(n, bool)
+    if len(near) > 1:
+        chain[alone[:-2][near[:-1] & near[1:]]] = True
     out, at = [], 0
-    for i in np.flatnonzero(hit | spaced).tolist():
+    for i in np.flatnonzero(hit | chain).tolist():
         if i < at:
             continue
-        if spaced[i]:
-            j = i
-            while j + 2 < n and single[j + 2]:
-                j += 2
-            out.append((i, j + 1, text[i : j + 1 : 2]))
-            at = j + 1
+        if chain[i]:
+            k = int(np.searchsorted(alone, i))
+            while k < len(near) and near[k]:
+                k += 1
+            at = int(alone[k]) + 1
+            out.append((i, at, text[i:at]))
             continue
         a = b = i
         while a > at and word[a - 1]:
