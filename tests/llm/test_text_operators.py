@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -371,6 +372,143 @@ def test_every_level_and_shots():
         md.frame_places(b"RIFFxxxxWAVE")
 
 
+def plain_jpeg(planes, sampling, quant, with_tables, restart=0):
+    """A frame by direct sums and bit strings, and the planes a reader must get.
+    planes: lists of blocks-aligned arrays; sampling: (h, v) of each."""
+    cos = [[math.cos((2 * x + 1) * u * math.pi / 16) for u in range(8)] for x in range(8)]
+    zig = md.ZIGZAG.tolist()
+    books = {k: {v: (length, code) for (length, code), v in md._codes(*md.COMMON[k]).items()} for k in md.COMMON}
+    want, coded = [], []
+    for plane in planes:
+        got, rows = np.zeros(plane.shape), {}
+        for by in range(0, plane.shape[0], 8):
+            for bx in range(0, plane.shape[1], 8):
+                f = plane[by : by + 8, bx : bx + 8].astype(float) - 128
+                full = np.array([[sum(f[y][x] * cos[y][v] * cos[x][u] for y in range(8) for x in range(8)) / 4 * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) for u in range(8)] for v in range(8)])
+                q = np.rint(full.ravel()[zig] / quant).astype(int)
+                rows[by // 8, bx // 8] = q
+                back = np.zeros(64)
+                back[zig] = q * quant
+                c = back.reshape(8, 8)
+                got[by : by + 8, bx : bx + 8] = [[sum(c[v][u] * cos[y][v] * cos[x][u] * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) for v in range(8) for u in range(8)) / 4 + 128 for x in range(8)] for y in range(8)]
+        want.append(np.clip(got, 0, 255))
+        coded.append(rows)
+
+    def bits(x):
+        n = abs(x).bit_length()
+        return n, format(x if x > 0 else x + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def word(book, v):
+        length, code = books[book][v]
+        return format(code, f"0{length}b")
+
+    out, stream, last = b"", "", [0] * len(planes)
+    h, v = planes[0].shape[1] // 8 // sampling[0][0], planes[0].shape[0] // 8 // sampling[0][1]
+
+    def flush():
+        nonlocal stream
+        stream += "1" * (-len(stream) % 8)
+        raw = bytes(int(stream[i : i + 8], 2) for i in range(0, len(stream), 8))
+        stream = ""
+        return raw.replace(b"\xff", b"\xff\0")
+
+    for unit in range(h * v):
+        if restart and unit and unit % restart == 0:
+            out += flush() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            last = [0] * len(planes)
+        y, x = divmod(unit, h)
+        for i, (sh, sv) in enumerate(sampling):
+            for dy in range(sv):
+                for dx in range(sh):
+                    q = coded[i][y * sv + dy, x * sh + dx].tolist()
+                    n, b = bits(q[0] - last[i])
+                    last[i] = q[0]
+                    stream += word((0, min(i, 1)), n) + b
+                    run = 0
+                    end = max((k for k in range(64) if q[k]), default=0)
+                    for k in range(1, end + 1):
+                        if q[k] == 0:
+                            run += 1
+                            continue
+                        while run > 15:
+                            stream += word((1, min(i, 1)), 0xF0)
+                            run -= 16
+                        n, b = bits(q[k])
+                        stream += word((1, min(i, 1)), run * 16 + n) + b
+                        run = 0
+                    if end < 63:
+                        stream += word((1, min(i, 1)), 0)
+    out += flush()
+    head = b"\xff\xd8" + md._segment(0xE0, b"AVI1") + md._segment(0xDB, b"\0" + bytes(quant[:64].tolist()))
+    head += md._segment(0xC0, bytes([8]) + planes[0].shape[0].to_bytes(2, "big") + planes[0].shape[1].to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([i + 1, sh * 16 + sv, 0]) for i, (sh, sv) in enumerate(sampling)))
+    if with_tables:
+        head += b"".join(md._segment(0xC4, bytes([16 * k[0] + k[1], *c, *vals])) for k, (c, vals) in md.COMMON.items())
+    if restart:
+        head += md._segment(0xDD, restart.to_bytes(2, "big"))
+    head += md._segment(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, 17 * min(i, 1)]) for i in range(len(planes))) + b"\0\x3f\0")
+    return head + out + b"\xff\xd9", want
+
+
+@pytest.mark.parametrize("sampling, with_tables, restart", [([(1, 1)], True, 0), ([(2, 2), (1, 1), (1, 1)], False, 0), ([(2, 1), (1, 1), (1, 1)], True, 3), ([(1, 1)] * 3, False, 2)])
+def test_frames_of_other_makers(sampling, with_tables, restart):
+    rng = np.random.default_rng(8)
+    high, wide = max(s[1] for s in sampling), max(s[0] for s in sampling)
+    planes = []
+    for h, v in sampling:
+        smooth = np.add.outer(np.linspace(20, 200, 16 * high * v // high), np.linspace(-20, 50, 24 * wide * h // wide))
+        planes.append(np.clip(smooth + rng.normal(0, 12, smooth.shape), 0, 255).astype(np.uint8))
+    quant = np.array([6 + i // 4 for i in range(64)])
+    frame, want = plain_jpeg(planes, sampling, quant, with_tables, restart)
+    got = md.decode_jpeg(frame)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a.shape == b.shape and np.abs(a - b).max() <= 0.51
+
+
+def test_media_of_other_makers_gives_clips(spark):
+    quant = np.full(64, 4)
+    frames = [plain_jpeg([np.full((16, 16), level, np.uint8)], [(1, 1)], quant, False)[0] for level in [20] + [200] * 5 + [90] * 4]
+    def chunk(name, body):
+        return name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    movi = b"movi" + b"".join(chunk(b"00dc", f) for f in frames)
+    avi = chunk(b"RIFF", b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", (100_000).to_bytes(4, "little") + bytes(52))) + chunk(b"LIST", movi))
+    rows = [(1, avi), (2, b"no file at all"), (3, None), (4, avi[: len(avi) // 2]), (5, avi.replace(b"\xff\xc0", b"\xff\xc2")), (6, b""), (7, avi[:12])]
+    got = {}
+    for r in md.clip_rows(spark.createDataFrame(rows, "doc_id long, media binary")).orderBy("doc_id", "clip").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert [(r["first_frame"], r["end_frame"], r["begins_s"], r["ends_s"]) for r in got[1]] == [(0, 1, 0.0, 0.1), (1, 6, 0.1, 0.6), (6, 10, 0.6, 1.0)]
+    assert 3 not in got
+    for i in (2, 5, 6, 7):
+        assert len(got[i]) == 1 and got[i][0]["clip"] is None and got[i][0]["error"]
+
+
+def plain_cuts(levels):
+    """Shots frame by frame, without running sums."""
+    diffs = []
+    for a, b in zip(levels, levels[1:]):
+        diffs.append(np.abs(np.bincount(a >> 4, minlength=16) - np.bincount(b >> 4, minlength=16)).sum() / (2 * levels.shape[1]))
+    found = set()
+    for _ in range(2):
+        now = set()
+        for i, d in enumerate(diffs):
+            before = [diffs[j] for j in range(max(0, i - md.WINDOW), i) if j not in found]
+            mean = sum(before) / len(before) if before else 0.0
+            dev = math.sqrt(max(0.0, sum(x * x for x in before) / len(before) - mean * mean)) if before else 0.0
+            if d > mean + md.SIGMAS * dev + 1e-9 and d >= md.FLOOR:
+                now.add(i)
+        found |= now
+    return [0, *sorted(i + 1 for i in found)]
+
+
+def test_shots_against_a_plain_loop():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        shots = [np.clip(rng.normal(rng.integers(30, 220), 12, (rng.integers(1, 25), 576)), 0, 255) for _ in range(6)]
+        levels = np.concatenate(shots).astype(np.uint8)
+        assert md.cuts(levels).tolist() == plain_cuts(levels)
+    assert md.cuts(np.array([[10] * 576] + [[200] * 576] * 5, np.uint8)).tolist() == [0, 1]
+
+
 # private data
 
 

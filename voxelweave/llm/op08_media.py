@@ -4,17 +4,21 @@ A payload of bytes becomes frames of 24 x 24 blocks, each byte the constant grey
 level of one 8 x 8 block. With a quantiser of 8 such a block is one DC
 coefficient, level - 128, so baseline JPEG keeps it exactly. Frames are coded
 (differences of DC, Huffman), put into RIFF chunks, and listed in ``idx1``.
-Reading parses the RIFF tree and the index, reads each frame's tables, and
-decodes frames side by side: step k decodes block k of all frames at once.
+Reading parses the RIFF tree and the index (without one, the chunks themselves).
+Frames of this module's own kind are decoded side by side: step k decodes block
+k of all frames at once. Frames of other makers go through a full baseline
+decoder: Huffman tables of the frame or the common ones that motion-JPEG may
+leave out, all coefficients, inverse cosine transform, several components,
+restart marks; shots are found in the luma plane.
 
 Shots end where the histogram (16 levels) of a frame differs from the last by
-more than the mean of the preceding ``WINDOW`` differences plus ``SIGMAS``
-deviations, and by at least ``FLOOR``. Clips are the frames between cuts, with
+more than the mean of the preceding ``WINDOW`` differences (of those that are no
+cuts themselves) plus ``SIGMAS`` deviations, and by at least ``FLOOR``. Clips are the frames between cuts, with
 times at ``FPS`` frames a second.
 
 Defined results: null and empty texts are one frame of bytes 255; equal texts
-give equal values; a file of other makers whose blocks hold more than DC is
-refused with ValueError; nulls in the media column give no clip rows.
+give equal values; nulls in the media column give no clip rows; a file that is no
+AVI of baseline frames of one size gives one row with null clip and the reason.
 """
 
 from __future__ import annotations
@@ -104,25 +108,220 @@ def write_avi(scans: list[bytes]) -> bytes:
     return chunk(b"RIFF", b"AVI " + header + chunk(b"LIST", movi) + chunk(b"idx1", index.tobytes()))
 
 
+def _chunks(avi: bytes, at: int, end: int):
+    """(name, where the body begins, where it ends) of the chunks of a list."""
+    while at + 8 <= end:
+        size = int.from_bytes(avi[at + 4 : at + 8], "little")
+        yield avi[at : at + 4], at + 8, min(at + 8 + size, end)
+        at += 8 + size + (size & 1)
+
+
 def frame_places(avi: bytes) -> list[tuple[int, int]]:
     """(from, to) of every frame, by the index."""
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index = 12, None, None
-    while at + 8 <= len(avi):
-        name, size = avi[at : at + 4], int.from_bytes(avi[at + 4 : at + 8], "little")
-        if name == b"LIST" and avi[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+    movi, index = None, None
+    for name, a, b in _chunks(avi, 12, len(avi)):
+        if name == b"LIST" and avi[a : a + 4] == b"movi":
+            movi = (a, b)
         elif name == b"idx1":
-            index = np.frombuffer(avi, "<u4", size // 4, at + 8).reshape(-1, 4).astype(np.int64)
-        at += 8 + size + (size & 1)
-    if movi is None or index is None:
-        raise ValueError("no frames or no index")
-    index = index[index[:, 0] == int.from_bytes(b"00dc", "little")]
-    start = movi + index[:, 2] + 8
+            index = np.frombuffer(avi, "<u4", (b - a) // 16 * 4, a).reshape(-1, 4).astype(np.int64)
+    if movi is None:
+        raise ValueError("no frames")
+    if index is None:
+        return [(a, b) for name, a, b in _chunks(avi, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
+    index = index[np.isin(index[:, 0] >> 16, [int.from_bytes(n, "little") for n in (b"dc", b"db")])]
+    if not len(index):
+        return []
+    # offsets count from the list's name, or with some makers from the file's begin
+    first = int(index[0, 2])
+    base = movi[0] if avi[movi[0] + first : movi[0] + first + 4] == int(index[0, 0]).to_bytes(4, "little") else 0
+    start = base + index[:, 2] + 8
+    if int(start[-1] + index[-1, 3]) > len(avi):
+        raise ValueError("the index points outside of the file")
     return list(zip(start.tolist(), (start + index[:, 3]).tolist()))
 
 
+def frame_rate(avi: bytes) -> float:
+    """Frames a second by the main header."""
+    at = avi.find(b"avih", 12, 4096)
+    step = int.from_bytes(avi[at + 8 : at + 12], "little") if at > 0 else 0
+    return 1e6 / step if step else float(FPS)
+
+
+def _runs(first: int, rows) -> list[int]:
+    return [r * 16 + s for r in rows for s in range(first, 11)]
+
+
+# The common Huffman tables of JPEG (how many codes of each length,
+# then the values), which motion-JPEG frames may leave out.
+COMMON = {
+    (0, 0): ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))),
+    (0, 1): ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], list(range(12))),
+    (1, 0): (
+        [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+        list(bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"))
+        + _runs(3, range(4, 8)) + _runs(3, [8]) + _runs(2, range(9, 14)) + _runs(1, range(14, 16)),
+    ),
+    (1, 1): (
+        [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+        list(bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"))
+        + _runs(3, range(4, 8)) + _runs(2, range(8, 16)),
+    ),
+}
+#: Where the k-th coefficient of the zigzag stands: diagonals, in turns up and down.
+ZIGZAG = np.array([y * 8 + x for y, x in sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])
+_COS = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
+
+
+def _codes(counts, values) -> dict[tuple[int, int], int]:
+    """(length, code) -> value."""
+    out, code, k = {}, 0, 0
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[bits, code] = values[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def decode_jpeg(frame: bytes) -> list[np.ndarray]:
+    """The planes (rows x columns, uint8) of a baseline frame's components, each
+    in its own resolution."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    tables = {k: _codes(*v) for k, v in COMMON.items()}
+    quant, parts, restart, at, size = {}, [], 0, 2, None
+    while True:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise ValueError("a frame without a scan")
+        marker, n = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        if marker == 0xFF:
+            at += 1
+            continue
+        body = frame[at + 4 : at + 2 + n]
+        at += 2 + n
+        if marker == 0xDB:
+            k = 0
+            while k < len(body):
+                wide = body[k] >> 4
+                values = np.frombuffer(body, ">u2" if wide else "u1", 64, k + 1).astype(np.int64)
+                quant[body[k] & 15] = values
+                k += 1 + 64 * (1 + wide)
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("samples of 8 bits are read")
+            size = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(body[5])]
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("only baseline frames are read")
+        elif marker == 0xC4:
+            k = 0
+            while k < len(body):
+                counts = list(body[k + 1 : k + 17])
+                tables[body[k] >> 4, body[k] & 15] = _codes(counts, list(body[k + 17 : k + 17 + sum(counts)]))
+                k += 17 + sum(counts)
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif marker == 0xDA:
+            break
+    if not parts or not size or body[0] != len(parts) or 0 in size:
+        raise ValueError("one scan of all components is read")
+    for i in range(body[0]):
+        part = next((p for p in parts if p["id"] == body[1 + 2 * i]), None)
+        if part is None or part["q"] not in quant:
+            raise ValueError("a component without tables")
+        part["dc"], part["ac"] = tables.get((0, body[2 + 2 * i] >> 4)), tables.get((1, body[2 + 2 * i] & 15))
+    high, wide = max(p["v"] for p in parts), max(p["h"] for p in parts)
+    rows, columns = -(-size[0] // (8 * high)), -(-size[1] // (8 * wide))
+    if len(parts) == 1:  # a single component is not interleaved
+        parts[0]["h"] = parts[0]["v"] = high = wide = 1
+        rows, columns = -(-size[0] // 8), -(-size[1] // 8)
+    for p in parts:
+        p["blocks"] = np.zeros((rows * p["v"], columns * p["h"], 64), np.int64)
+        p["last"] = 0
+    # pieces between restart marks, without stuffed zeros
+    scan = frame[at:]
+    stop, pieces, begin = 0, [], 0
+    while (stop := scan.find(b"\xff", stop)) >= 0 and stop + 1 < len(scan):
+        nxt = scan[stop + 1]
+        if 0xD0 <= nxt <= 0xD7 or nxt not in (0, 0xFF):
+            pieces.append(scan[begin:stop])
+            begin = stop + 2
+            if not 0xD0 <= nxt <= 0xD7:
+                break
+        stop += 2 if nxt != 0xFF else 1
+    else:
+        pieces.append(scan[begin:])
+    pieces = [p.replace(b"\xff\x00", b"\xff") for p in pieces]
+    bits = have = place = 0
+    data = pieces[0] if pieces else b""
+
+    def need(n: int) -> None:
+        nonlocal bits, have, place
+        while have < n:
+            if place >= len(data) + 8:
+                raise ValueError("a scan ends too early")
+            bits = (bits << 8 | (data[place] if place < len(data) else 0xFF)) & 0xFFFFFFFFFF
+            place, have = place + 1, have + 8
+
+    def take(n: int) -> int:
+        nonlocal have
+        need(n)
+        have -= n
+        return bits >> have & ((1 << n) - 1)
+
+    def value(table) -> int:
+        code = 0
+        for length in range(1, 17):
+            code = code << 1 | take(1)
+            if (length, code) in table:
+                return table[length, code]
+        raise ValueError("a code of no table")
+
+    def signed(n: int) -> int:
+        x = take(n) if n else 0
+        return x if not n or x >> (n - 1) else x - (1 << n) + 1
+
+    nth = 0
+    for unit in range(rows * columns):
+        if restart and unit and unit % restart == 0:
+            nth += 1
+            if nth >= len(pieces):
+                raise ValueError("a scan ends too early")
+            data, bits, have, place = pieces[nth], 0, 0, 0
+            for p in parts:
+                p["last"] = 0
+        y, x = divmod(unit, columns)
+        for p in parts:
+            if p["dc"] is None or p["ac"] is None:
+                raise ValueError("a component without tables")
+            for dy in range(p["v"]):
+                for dx in range(p["h"]):
+                    block = p["blocks"][y * p["v"] + dy, x * p["h"] + dx]
+                    p["last"] += signed(value(p["dc"]))
+                    block[0], k = p["last"], 1
+                    while k < 64:
+                        run, n = divmod(value(p["ac"]), 16)
+                        if n == 0 and run < 15:
+                            break
+                        k += run
+                        if k > 63:
+                            raise ValueError("a block of more than 64 coefficients")
+                        if n:
+                            block[k] = signed(n)
+                        k += 1
+    planes = []
+    for p in parts:
+        plain = np.zeros(p["blocks"].shape, float)
+        plain[:, :, ZIGZAG] = p["blocks"] * quant[p["q"]]
+        r, c = plain.shape[:2]
+        pixels = _COS @ plain.reshape(r, c, 8, 8) @ _COS.T
+        pixels = np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * r, 8 * c)
+        planes.append(pixels[: -(-size[0] * p["v"] // high), : -(-size[1] * p["h"] // wide)])
+    return planes
+
+
 def read_head(frame: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     """Where the scan begins, blocks, quantiser, and for every 16 bits ahead
     the DC difference and the bits that a block takes."""
@@ -189,11 +388,16 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
 
 
 def read_avi(avi: bytes) -> np.ndarray:
+    """Frames x samples: the blocks' levels of this module's own frames, else
+    the pixels of the luma plane."""
     frames = [avi[a:b] for a, b in frame_places(avi)]
-    parts = []
-    for k in range(0, len(frames), TOGETHER):
-        parts.append(decode_frames(frames[k : k + TOGETHER]))
-    return np.concatenate(parts)
+    if all(f.startswith(HEAD) for f in frames):
+        parts = [decode_frames(frames[k : k + TOGETHER]) for k in range(0, len(frames), TOGETHER)]
+        return np.concatenate(parts) if parts else np.zeros((0, FRAME), np.uint8)
+    planes = [decode_jpeg(f)[0] for f in frames]
+    if len({p.shape for p in planes}) > 1:
+        raise ValueError("frames of several sizes")
+    return np.stack([p.ravel() for p in planes])
 
 
 def payload_of(text: str | None) -> bytes:
@@ -234,20 +438,26 @@ def cuts(levels: np.ndarray) -> np.ndarray:
         return np.zeros(1, np.int64)
     hist = np.bincount((np.arange(n)[:, None] * 16 + (levels >> 4)).ravel(), minlength=16 * n).reshape(n, 16)
     d = np.abs(np.diff(hist, axis=0)).sum(1) / (2.0 * levels.shape[1])
-    s, q = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
     i = np.arange(n - 1)
     a = np.maximum(0, i - WINDOW)
-    m = np.maximum(1, i - a)
-    mean = (s[i] - s[a]) / m
-    dev = np.sqrt(np.maximum(0, (q[i] - q[a]) / m - mean * mean))
-    return np.concatenate([[0], np.flatnonzero((d > mean + SIGMAS * dev) & (d >= FLOOR) & (i > 0)) + 1])
-
-
-def clips(levels: np.ndarray) -> list[tuple[int, int, int, float, float, float]]:
+    counts, found = np.ones(n - 1, bool), np.zeros(n - 1, bool)
+    for _ in range(2):  # the second time, differences that are cuts set no standard
+        s, q, w = (np.concatenate([[0], np.cumsum(x * counts)]) for x in (d, d * d, np.ones(n - 1)))
+        m = np.maximum(1, w[i] - w[a])
+        mean = (s[i] - s[a]) / m
+        dev = np.sqrt(np.maximum(0, (q[i] - q[a]) / m - mean * mean))
+        found |= (d > mean + SIGMAS * dev + 1e-9) & (d >= FLOOR)
+        counts = ~found
+    return np.concatenate([[0], np.flatnonzero(found) + 1])
+
+
+def clips(levels: np.ndarray, fps: float = FPS) -> list[tuple[int, int, int, float, float, float]]:
     """(clip, first frame, end frame, begins at s, ends at s, mean level)."""
+    if not len(levels):
+        return []
     c = cuts(levels)
     ends = [*c[1:].tolist(), len(levels)]
-    return [(k, a, b, a / FPS, b / FPS, float(levels[a:b].mean())) for k, (a, b) in enumerate(zip(c.tolist(), ends))]
+    return [(k, a, b, a / fps, b / fps, float(levels[a:b].mean())) for k, (a, b) in enumerate(zip(c.tolist(), ends))]
 
 
 def _groups(sizes: list[int]):
@@ -276,20 +486,28 @@ def media_column(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").transform(arrow_map, run, "doc_id long, media binary")
 
 
+def _clips_of(avi: bytes) -> list[tuple]:
+    try:
+        return [(*c, None) for c in clips(read_avi(avi), frame_rate(avi))]
+    except (ValueError, IndexError, KeyError) as e:  # what broken bytes lead to
+        return [(None, None, None, None, None, None, str(e) or type(e).__name__)]
+
+
 def clip_rows(media: DataFrame) -> DataFrame:
-    """media (doc_id, media) -> one row for each clip."""
+    """media (doc_id, media) -> one row for each clip; ``error`` says why a
+    file could not be read."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "clip", "first_frame", "end_frame", "begins_s", "ends_s", "mean_level"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "clip", "first_frame", "end_frame", "begins_s", "ends_s", "mean_level", "error"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
         for batch in batches:
-            rows = [(d, *c) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if m is not None for c in clips(read_avi(m))]
+            rows = [(d, *c) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if m is not None for c in _clips_of(m)]
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return media.select("doc_id", "media").transform(arrow_map, run, "doc_id long, clip int, first_frame int, end_frame int, begins_s double, ends_s double, mean_level double")
+    return media.select("doc_id", "media").transform(arrow_map, run, "doc_id long, clip int, first_frame int, end_frame int, begins_s double, ends_s double, mean_level double, error string")
 
 
 def _digest(batches):
