@@ -2,7 +2,7 @@
 
 Vectors of integers are kept in blocks; in each block every dimension has a
 sorted list of (value, vector). A query reads all lists in step from the end that
-gives the largest products, ``STEP`` entries of each list at a time, and adds
+gives the largest products, some entries of each list at a time, and adds
 what it reads to the partial sums of the vectors that it meets. A vector's
 partial sum plus the least product of each list that has not shown it yet bounds
 its score from below; with the product read last instead, from above. Reading
@@ -33,7 +33,8 @@ QUERIES_A_BLOCK = 256
 ROWS_A_BLOCK = 8192
 #: Queries that are broadcast at a time, in bytes.
 BROADCAST_BYTES = 32 << 20
-#: Entries of each list that are read between two looks at the bounds.
+#: So many vectors are left at most when reading stops; twice as many entries of
+#: each list are read between two looks at the bounds.
 STEP = 512
 
 
@@ -41,11 +42,15 @@ class Block:
     """Integer vectors (rows x dims) with a sorted list for each dimension."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, step: int = STEP):
-        self.ids, self.x, self.step = ids, x, min(step, max(1, len(ids) // 16))
+        n = len(ids)
+        self.ids, self.x, self.step = ids, x, min(step, max(1, n // 16))
         columns = x.T.astype(float)
-        # lists rise: reading from the right end gives the largest entries
-        self.order = np.argsort(columns, axis=1, kind="stable")
+        # lists fall: ``order`` has the vectors, ``sorted`` their entries
+        self.order = np.argsort(-columns, axis=1, kind="stable")
         self.sorted = np.take_along_axis(columns, self.order, axis=1)
+        # where in its list a vector's entry stands: it is seen when reading has come so far
+        self.place = np.empty(x.shape, np.int32 if n > 32_000 else np.int16)
+        np.put_along_axis(self.place.T, self.order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
         #: Rounds of reading, entries read and scores resolved so far.
         self.rounds = self.read = self.resolved = 0
 
@@ -57,34 +62,31 @@ class Block:
         m = min(k, int(outside.sum()))
         if m == 0:
             return []
-        dims = np.flatnonzero(q)
-        weight = q[dims].astype(float)
-        up = (weight > 0)[:, None]
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        dims = np.concatenate([up, down])
+        weight = q[dims].astype(float)[:, None]
         # the least product of each list: no entry that is not seen yet is below
-        end = np.where(weight > 0, self.sorted[dims, 0], self.sorted[dims, -1]) * weight
-        partial, seen = np.zeros(n), np.zeros((n, len(dims)), np.float32)
-        least = np.full(n, end.sum())
+        end = np.concatenate([self.sorted[up, -1], self.sorted[down, 0]]) * weight[:, 0]
+        partial = np.zeros(n)
         # more than what rounding of float32 sums can add up to
-        slack = 1e-5 * float(np.abs(self.sorted[dims][:, [0, -1]] * weight[:, None]).max(1).sum())
+        slack = 1e-5 * float((np.abs(self.sorted[dims][:, [0, -1]]) * np.abs(weight)).max(1).sum())
         left, upto = np.flatnonzero(outside), 0
-        columns = np.arange(len(dims))[:, None]
+        place = np.concatenate([self.place[:, up], n - 1 - self.place[:, down]], axis=1)[left]
         while len(left) > self.step and upto < n:
-            here = np.arange(upto, min(upto + self.step, n))
-            at = np.where(up, n - 1 - here, here)
-            rows = self.order[dims[:, None], at]
-            products = self.sorted[dims[:, None], at] * weight[:, None]
-            flat = rows.ravel()
-            partial += np.bincount(flat, weights=products.ravel(), minlength=n)
-            least -= np.bincount(flat, weights=np.repeat(end, len(here)), minlength=n)
-            seen[rows, np.broadcast_to(columns, rows.shape)] = 1.0
-            front, upto = products[:, -1], upto + len(here)
+            to = min(upto + 2 * self.step, n)
+            rows = np.concatenate([self.order[up, upto:to], self.order[down, n - to : n - upto][:, ::-1]])
+            products = np.concatenate([self.sorted[up, upto:to], self.sorted[down, n - to : n - upto][:, ::-1]]) * weight
+            partial += np.bincount(rows.ravel(), weights=products.ravel(), minlength=n)
+            front, upto = products[:, -1], to
             self.rounds += 1
             self.read += rows.size
-            lower = partial + least
-            lower[~outside] = -np.inf
-            bar = max(bar, float(np.partition(lower, n - m)[n - m]))
-            upper = partial[left] + front.sum() - seen[left] @ front.astype(np.float32)
-            left = left[upper >= bar - slack]
+            # what the lists that have not shown a vector yet add at most and at least
+            unseen = (place >= upto).astype(np.float32) @ np.stack([front, end], axis=1).astype(np.float32)
+            lower = partial[left] + unseen[:, 1]
+            if len(left) >= m:
+                bar = max(bar, float(np.partition(lower, len(left) - m)[len(left) - m]) - slack)
+            stay = partial[left] + unseen[:, 0] >= bar - slack
+            left, place = left[stay], place[stay]
         self.resolved += len(left)
         score = self.x[left] @ q
         best = np.lexsort((self.ids[left], -score))[:k]
