@@ -91,10 +91,10 @@ def floor_height(points: DataFrame, size: float = 0.05) -> DataFrame:
 
 def floor_from_records(objects: DataFrame) -> DataFrame:
     """The bottom at position n / 4 of the sorted bottoms."""
+    from .components import numbered
+
     n = objects.select((F.col("z") - F.col("h") / 2).alias("bottom"), "id")
-    w = Window.orderBy("bottom", "id")
-    total = n.agg(F.count(F.lit(1)).alias("_n"))
-    return n.withColumn("_r", F.row_number().over(w) - 1).crossJoin(F.broadcast(total)).where(F.col("_r") == F.floor(F.col("_n") / 4)).select(F.col("bottom").alias("floor_z"))
+    return numbered(n, [F.col("bottom"), F.col("id")], "_r").where(F.col("_r") == n.count() // 4).select(F.col("bottom").alias("floor_z"))
 
 
 def fill_ratio(points: DataFrame, by: str, size: float = 0.1) -> DataFrame:
@@ -117,10 +117,6 @@ def yaw_histogram(normals: DataFrame, bins: int = 180) -> DataFrame:
     return n.agg(F.max_by("bin", F.struct("count", -F.col("bin"))).alias("bin")).select(((F.col("bin") + 0.5) * F.lit(90.0 / bins)).alias("yaw_deg"))
 
 
-def relative_counts(df: DataFrame, flag: Column, by: list[Column]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("k"))
-
-
 def normalize(points: DataFrame) -> DataFrame:
     """x and y less their means, z less its minimum."""
     m = points.agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"), F.min("z").alias("_z"))

@@ -24,12 +24,18 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: str | None = None
     keys = [by] if by else []
     p = keep(points.select("point_id", *axes, *keys))
     same = F.col(f"a.{by}") == F.col(f"b.{by}") if by else None
-    pairs = radius_join(p, p, eps, three_d=three_d, condition=same)
-    n = pairs.groupBy(F.col("a.point_id").alias("point_id")).agg(F.count(F.lit(1)).alias("n"))
-    core = keep(p.join(n.where(F.col("n") >= min_points).select("point_id"), "point_id", "left_semi"))
-    # cores of one fine cell are one node: its smallest core
+    # points of one fine cell are neighbours: a cell of min_points is all core,
+    # and only points of other cells count theirs
     fine = eps / (len(axes) ** 0.5)
     cells = [F.floor(F.col(c) / F.lit(fine)).cast("long") for c in axes]
+    marked = p.withColumns({f"_f{c}": e for c, e in zip(axes, cells)})
+    full = marked.groupBy(*(f"_f{c}" for c in axes), *keys).count().where(F.col("count") >= min_points).drop("count")
+    dense = marked.join(full, [*(f"_f{c}" for c in axes), *keys], "left_semi").select(*p.columns)
+    sparse = marked.join(full, [*(f"_f{c}" for c in axes), *keys], "left_anti").select(*p.columns)
+    pairs = radius_join(sparse, p, eps, three_d=three_d, condition=same)
+    n = pairs.groupBy(F.col("a.point_id").alias("point_id")).agg(F.count(F.lit(1)).alias("n"))
+    core = dense.unionByName(sparse.join(n.where(F.col("n") >= min_points).select("point_id"), "point_id", "left_semi"))
+    # cores of one fine cell are one node: its smallest core
     core = core.withColumn("node", F.min("point_id").over(Window.partitionBy(*cells, *keys)))
     core = keep(core)
     links = radius_join(core, core, eps, three_d=three_d, condition=(F.col("a.node") < F.col("b.node")) & (same if by else F.lit(True)))

@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (one machine) a temporary one."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder on one machine
+    (a local master); a cluster has no folder of one machine that all can read."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return found.rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -26,7 +31,7 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of all nodes with an edge: comp is the smallest node that
     edges reach. Large-star and small-star steps alternate until nothing
     changes; rounds grow with the logarithm of the longest path."""
@@ -36,9 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         return tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
     now = mark(e)
-    for _ in range(most):
-        if not now[0]:
-            break
+    while now[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -53,10 +56,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(tops)
 
 
-def dense_ids(df: DataFrame, label: str, into: str) -> DataFrame:
-    """0, 1, 2, ... in the order of the labels. The distinct labels, which are
-    few against the rows, are numbered and joined back."""
-    from pyspark.sql import Window
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds 0, 1, 2, ... in the order, which has no ties. Rows are dealt to
+    ranges of the order and sorted there; a row's number is its place in its range
+    and the rows of all ranges before, so no task sorts the table."""
+    t = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    t = keep(t).withColumn("_p", F.shiftright("_m", 33))
+    before, starts = 0, []
+    # one row a range
+    for part, n in t.groupBy("_p").count().orderBy("_p").collect():
+        starts.append((part, before))
+        before += n
+    s = df.sparkSession.createDataFrame(starts, "_p long, _s long")
+    return t.join(F.broadcast(s), "_p").withColumn(name, F.col("_s") + F.col("_m").bitwiseAND(2**33 - 1)).drop("_p", "_m", "_s")
 
-    ids = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn(into, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(ids, label, "left")
+
+def dense_ids(df: DataFrame, label: str, into: str) -> DataFrame:
+    """0, 1, 2, ... in the order of the labels, which are numbered and joined back."""
+    ids = numbered(df.select(label).where(F.col(label).isNotNull()).distinct(), [F.col(label)], into)
+    return df.join(ids.withColumn(into, F.col(into).cast("int")), label, "left")

@@ -7,16 +7,15 @@ inequality stays as a residual condition.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .components import keep
+
 
-def _cells(df: DataFrame, x: Column, y: Column, reach: Column, size: float, tag: str) -> DataFrame:
+def _cells(df: DataFrame, x: Column, y: Column, reach: Column, size: float | Column, tag: str) -> DataFrame:
     """One row for each cell that the square around (x, y) touches, with the
     square's lowest cell."""
-    s = F.lit(float(size))
+    s = size if isinstance(size, Column) else F.lit(float(size))
     lo = {a: F.floor((v - reach) / s).cast("long") for a, v in (("i", x), ("j", y))}
     hi = {a: F.floor((v + reach) / s).cast("long") for a, v in (("i", x), ("j", y))}
     out = df.withColumn(f"_{tag}i0", lo["i"]).withColumn(f"_{tag}j0", lo["j"])
@@ -24,11 +23,11 @@ def _cells(df: DataFrame, x: Column, y: Column, reach: Column, size: float, tag:
     return out.withColumn("_cj", F.explode(F.sequence(lo["j"], hi["j"])))
 
 
-def grid_join(left: DataFrame, right: DataFrame, reach_left: Column, reach_right: Column, condition: Column, size: float = 1.0, names: tuple[str, str] = ("a", "b"), how: str = "inner", keys: tuple[str, ...] = ()) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, reach_left: Column, reach_right: Column, condition: Column, size: float | Column = 1.0, names: tuple[str, str] = ("a", "b"), how: str = "inner", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs whose squares of half side ``reach`` around (x, y) meet and for
     which ``condition`` on a.* and b.* holds. A pair that shares many cells is
     made once, in the highest of both lowest cells. ``keys``: columns that must
-    be equal besides (a map, a scan)."""
+    be equal besides (a map, a scan, a level with its own ``size``)."""
     a, b = names
     x = _cells(left, F.col("x"), F.col("y"), reach_left, size, "a").alias(a)
     y = _cells(right, F.col("x"), F.col("y"), reach_right, size, "b").alias(b)
@@ -63,37 +62,79 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, names: tuple[s
     return x.alias(a).join(y.alias(b), on).withColumn("d2", d2)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, size: float, most_rings: int = 12) -> DataFrame:
-    """The k nearest right rows of every left row (by x, y, z): left_id,
-    right_id, d2, rank; ties go to the smaller id.
-
-    The search radius doubles for the rows that have not found k within it,
-    which alone are searched again; rows left after ``most_rings`` doublings
-    meet all of the right side, whose rows are then scanned in full."""
-    todo, found, radius = left, None, size
+def _box_distance(lo: Column, hi: Column, v: Column) -> tuple[Column, Column]:
+    """Least and greatest distance from v to the interval, per axis."""
+    return F.greatest(lo - v, v - hi, F.lit(0.0)), F.greatest(F.abs(v - lo), F.abs(v - hi))
+
+
+def _descend(left: DataFrame, right: DataFrame, k: int, left_id: str, size: float, axes: tuple[str, ...]) -> DataFrame:
+    """left_id and the cells (of ``size``) that can hold its k nearest right
+    rows. Cells of halving size are looked at level by level, from the ones
+    that cover everything: a cell stays if its near side is no farther than the
+    far side of the cells that hold k rows already. A left row keeps a few cells
+    a level, however far it lies from the right side's rows."""
+    cells = [f"_c{c}" for c in axes]
+    fine = keep(right.groupBy(*(F.floor(F.col(c) / F.lit(size)).cast("long").alias(f"_c{c}") for c in axes)).agg(F.count(F.lit(1)).alias("_n")))
+    reach = fine.agg(F.max(F.greatest(*(F.abs(F.col(c)) for c in cells)))).head()[0]
+    if reach is None:
+        return left.select(left_id, *(F.lit(0).cast("long").alias(c) for c in cells)).limit(0)
+    top = max(1, int(reach).bit_length())
+    # at the top level cells are 0 or -1 along each axis
+    pairs = left.select(left_id, *axes)
+    for c in cells:
+        pairs = pairs.withColumn(c, F.explode(F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))))
+    for level in range(top, -1, -1):
+        side = F.lit(float(size) * 2.0**level)
+        level_cells = fine.groupBy(*(F.shiftright(c, level).alias(c) for c in cells)).agg(F.sum("_n").alias("_n"))
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c in axes:
+            n, f = _box_distance(F.col(f"_c{c}") * side, (F.col(f"_c{c}") + 1) * side, F.col(c))
+            near, far = near + n * n, far + f * f
+        met = pairs.join(level_cells, cells).withColumn("_near", near).withColumn("_far", far)
+        upto = F.sum("_n").over(Window.partitionBy(left_id).orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("_upto", upto)
+        bound = F.min(F.when(F.col("_upto") >= k, F.col("_far"))).over(Window.partitionBy(left_id))
+        met = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * 1.000001 + 1e-12))
+        pairs = keep(met.select(left_id, *axes, *cells))
+        if level:
+            for c in cells:
+                pairs = pairs.withColumn(c, F.explode(F.array(2 * F.col(c), 2 * F.col(c) + 1)))
+    return pairs.select(left_id, *cells)
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, size: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """The k nearest right rows of every left row: left_id, right_id, d2, rank;
+    ties go to the smaller id; all right rows if there are fewer than k.
+
+    Most rows find k within ``size``, by one radius join; the others descend a
+    pyramid of cells of the right side. Either part is written, so that plans
+    stay short."""
     w = Window.partitionBy(left_id).orderBy("d2", right_id)
-    for _ in range(most_rings):
-        near = radius_join(todo, right, radius).select(F.col(f"a.{left_id}").alias(left_id), F.col(f"b.{right_id}").alias(right_id), "d2")
-        ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        done = ranked.groupBy(left_id).count().where(F.col("count") == k).select(left_id)
-        part = ranked.join(done, left_id, "left_semi")
-        found = part if found is None else found.unionByName(part)
-        todo = todo.join(done, left_id, "left_anti")
-        if todo.isEmpty():
-            return found
-        radius *= 2
-    near = todo.select(left_id, "x", "y", "z").alias("a").crossJoin(right.select(right_id, "x", "y", "z").alias("b"))
-    d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in ("y", "z")), (F.col("a.x") - F.col("b.x")) ** 2)
-    rest = near.select(left_id, right_id, d2.alias("d2")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return found.unionByName(rest) if found is not None else rest
-
-
-def nearest_row(left: DataFrame, right: DataFrame, left_id: str, distance: Column, order: Column, take: dict[str, Column]) -> DataFrame:
-    """For each left row the right row of least distance (ties: ``order``), the
-    right side being a small table (cells of a map, places) that is broadcast
-    behind Spark's own size check."""
-    best = F.min_by(F.struct(*(c.alias(n) for n, c in take.items())), F.struct(distance, order))
-    return left.alias("a").crossJoin(right.alias("b")).groupBy(F.col(f"a.{left_id}").alias(left_id)).agg(best.alias("_b")).select(left_id, *(F.col(f"_b.{n}").alias(n) for n in take))
+    left, right = left.select(left_id, *axes), right.select(right_id, *axes)
+    near = radius_join(left, right, size, three_d=len(axes) > 2).select(F.col(f"a.{left_id}").alias(left_id), F.col(f"b.{right_id}").alias(right_id), "d2")
+    ranked = keep(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    done = ranked.where(F.col("rank") == k).select(left_id)
+    found = ranked.join(done, left_id, "left_semi")
+    todo = keep(left.join(done, left_id, "left_anti"))
+    if todo.isEmpty():
+        return found
+    some = _descend(todo, right, k, left_id, size, axes).join(todo, left_id).alias("a")
+    b = right.withColumns({f"_c{c}": F.floor(F.col(c) / F.lit(size)).cast("long") for c in axes}).alias("b")
+    on, d2 = F.lit(True), F.lit(0.0)
+    for c in axes:
+        on, d2 = on & (F.col(f"a._c{c}") == F.col(f"b._c{c}")), d2 + (F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2
+    rest = some.join(b, on).select(F.col(f"a.{left_id}").alias(left_id), F.col(f"b.{right_id}").alias(right_id), d2.alias("d2"))
+    return found.unionByName(rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+
+
+def nearest_cell(left: DataFrame, cells: DataFrame, left_id: str, take: str) -> DataFrame:
+    """For each left row (i, j) the nearest cell by squared index distance
+    (ties: smallest i, then j): left_id, ``take`` of the cell."""
+    a = left.select(left_id, F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"))
+    # an id in the order of (i, j): indices are 32-bit
+    c = cells.select(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), (F.shiftleft(F.col("i").cast("long"), 32) + F.col("j").cast("long")).alias("_cell"), take)
+    near = knn_join(a, c.groupBy("_cell", "x", "y").agg(F.min(take).alias(take)), 1, left_id, "_cell", 4.0, ("x", "y"))
+    return near.join(c.groupBy("_cell").agg(F.min(take).alias(take)), "_cell").select(left_id, take)
 
 
 def greedy_match(pairs: DataFrame, left: str, right: str, order: str, cost: str, group: str) -> DataFrame:
@@ -151,25 +192,6 @@ def semi_edges(edges: DataFrame, nodes: DataFrame, subject: str = "subj", target
     return first.join(ids, first[target] == ids["_id"], "left_semi")
 
 
-def match_first(rows: DataFrame, tests: Callable[[], list[Column]], values: list[Column]) -> Column:
-    """CASE WHEN in the order of the tests."""
-    out = None
-    for t, v in zip(tests(), values):
-        out = F.when(t, v) if out is None else out.when(t, v)
-    return out
-
-
-def np_greedy(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Greedy row-order assignment on a matrix (for tests)."""
-    used, out = set(), []
-    for i, row in enumerate(cost):
-        best = min(((c, j) for j, c in enumerate(row) if j not in used and c < limit), default=None)
-        if best:
-            used.add(best[1])
-            out.append((i, best[1]))
-    return out
-
-
 def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 0.0, size: float = 1.0) -> DataFrame:
     """Points in none of the axis-aligned boxes (x0..z1), which are dealt to
     the cells that they touch."""

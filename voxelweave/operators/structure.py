@@ -226,7 +226,3 @@ def estimate_normals(points: DataFrame, radius: float = 0.15) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k], pa.float64()) for k in range(3))], ["point_id", "nx", "ny", "nz"])
 
     return moments(near, "point_id").mapInArrow(solve, "point_id long, nx double, ny double, nz double")
-
-
-def component_ranks(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order)))

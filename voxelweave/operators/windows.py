@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .components import numbered
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     out = df.withColumn(rank or "_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank or "_r") <= k)
@@ -21,20 +23,20 @@ def stride_sample(df: DataFrame, order: list[Column], parts: int, most: int, sta
     """Every max(1, n / parts)-th row from ``start``, at most ``most``."""
     n = df.count()
     step = max(1, n // parts)
-    r = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
+    r = numbered(df, order, "_r")
     return r.where((F.col("_r") >= start) & (F.pmod(F.col("_r") - start, F.lit(step)) == 0) & (F.col("_r") < start + most * step)).drop("_r")
 
 
 def middle_row(df: DataFrame, order: list[Column]) -> DataFrame:
     n = df.count()
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_r") == n // 2).drop("_r")
+    return numbered(df, order, "_r").where(F.col("_r") == n // 2).drop("_r")
 
 
 def even_sample(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """Rows at k positions spread evenly from first to last, per group; all rows
     of groups that have no more than k."""
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else df.agg(F.count(F.lit(1)).alias("_n"))
-    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) if by else numbered(df, order, "_r")
     r = r.join(n, by) if by else r.crossJoin(F.broadcast(n))
     # position p is taken if some t in 0..k-1 has floor(t (n-1) / (k-1)) = p
     step = (F.col("_n") - 1) / F.lit(float(max(1, k - 1)))
@@ -45,11 +47,11 @@ def even_sample(df: DataFrame, by: list[str], order: list[Column], k: int) -> Da
 
 def hashed_sample(df: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows a group in the order of a hash: the same on every run."""
-    return top_per_group(df, by, [F.xxhash64(F.lit(seed), key), F.col(key)], k)
+    return top_per_group(df, by, [F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), F.col(key)], k)
 
 
 def pages(df: DataFrame, order: list[Column], size: int) -> DataFrame:
-    return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / F.lit(size)).cast("int"))
+    return numbered(df, order, "_r").withColumn("page", F.floor(F.col("_r") / F.lit(size)).cast("int")).drop("_r")
 
 
 def low_runs(bins: DataFrame, by: str, bin_: str, low: Column, least: int = 2) -> DataFrame:

@@ -7,22 +7,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..operators.clustering import neighbours
-from ..operators.joins import nearest_row
+from ..operators.components import keep
+from ..operators.joins import grid_join, knn_join, nearest_cell
 
 
-def in_polygons(objects: DataFrame, places: DataFrame) -> DataFrame:
+def _boxes(places: DataFrame) -> DataFrame:
+    """Places with the centre and the half sides of their ring's box."""
+    side = {c: (F.array_min(F.transform("polygon", lambda p: p[c])), F.array_max(F.transform("polygon", lambda p: p[c]))) for c in "xy"}  # noqa: B023
+    return places.select("place", "ord", "polygon", *(((lo + hi) / 2).alias(c) for c, (lo, hi) in side.items()), *(((hi - lo) / 2).alias(f"h{c}") for c, (lo, hi) in side.items()))
+
+
+def in_polygons(objects: DataFrame, places: DataFrame, size: float = 4.0) -> DataFrame:
     """id -> the first place (by ord) whose ring holds the object, or null.
-    Places are few and meet every object; Spark broadcasts them by size."""
-    hit = objects.alias("a").join(places.alias("p"), G.point_in_ring(F.col("a.x"), F.col("a.y"), F.col("p.polygon")))
+    Objects meet the places whose box touches their cell."""
+    inside = (F.abs(F.col("a.x") - F.col("p.x")) <= F.col("p.hx")) & (F.abs(F.col("a.y") - F.col("p.y")) <= F.col("p.hy")) & G.point_in_ring(F.col("a.x"), F.col("a.y"), F.col("p.polygon"))
+    hit = grid_join(objects.select("id", "x", "y"), _boxes(places), F.lit(0.0), F.greatest("hx", "hy"), inside, size, ("a", "p"))
     first = hit.groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("p.place"), F.col("p.ord")).alias("place"))
     return objects.select("id").join(first, "id", "left")
 
 
-def in_or_near_polygons(objects: DataFrame, places: DataFrame) -> DataFrame:
-    """As in_polygons; objects outside of all go to the nearest ring."""
-    found = in_polygons(objects, places)
-    lost = objects.join(found.where("place is null").select("id"), "id", "left_semi")
-    near = nearest_row(lost, places, "id", G.ring_distance(F.col("a.x"), F.col("a.y"), F.col("b.polygon")), F.col("b.ord"), {"near": F.col("b.place")})
+def in_or_near_polygons(objects: DataFrame, places: DataFrame, size: float = 4.0) -> DataFrame:
+    """As in_polygons; objects outside of all go to the nearest ring (ties: by
+    ord). The nearest corner of any ring bounds how far that is, and only rings
+    whose box comes so near are measured."""
+    found = in_polygons(objects, places, size)
+    lost = objects.join(found.where("place is null").select("id"), "id", "left_semi").select("id", "x", "y")
+    corners = places.select(F.explode("polygon").alias("p")).select("p.x", "p.y").distinct().withColumn("_corner", F.xxhash64("x", "y"))
+    reach = knn_join(lost, corners, 1, "id", "_corner", size, ("x", "y")).select("id", F.sqrt("d2").alias("reach"))
+    apart = [F.greatest(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) - F.col(f"b.h{c}"), F.lit(0.0)) for c in "xy"]
+    close = F.hypot(*apart) <= F.col("a.reach") * 1.000001 + 1e-9
+    # objects far from all rings look in coarser cells, so that none touches more than nine
+    away = keep(lost.join(reach, "id").withColumn("level", F.greatest(F.ceil(F.log2(F.col("reach") / F.lit(size) + 1e-9)), F.lit(0)).cast("int")))
+    levels = [r[0] for r in away.select("level").distinct().collect()]  # of doublings: some tens at most
+    side = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    boxes = _boxes(places).withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    pairs = grid_join(away, boxes, F.col("reach") * 1.000001 + 1e-9, F.greatest("hx", "hy"), close, side, ("a", "b"), keys=("level",))
+    near = pairs.groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("b.place"), F.struct(G.ring_distance(F.col("a.x"), F.col("a.y"), F.col("b.polygon")), F.col("b.ord"))).alias("near"))
     return found.join(near, "id", "left").select("id", F.coalesce("place", "near").alias("place"))
 
 
@@ -37,8 +57,7 @@ def in_or_near_cells(objects: DataFrame, cells: DataFrame, size: float, rule: st
     distance (ties: smallest i, then j)."""
     o = objects.select("id", G.cell("x", size, rule).alias("i"), G.cell("y", size, rule).alias("j"))
     hit = o.join(cells.select("i", "j", "place"), ["i", "j"], "left")
-    di, dj = F.col("a.i") - F.col("b.i"), F.col("a.j") - F.col("b.j")
-    near = nearest_row(hit.where("place is null").select("id", "i", "j"), cells.select("i", "j", "place"), "id", di * di + dj * dj, F.struct(F.col("b.i").alias("i"), F.col("b.j").alias("j")), {"near": F.col("b.place")})
+    near = nearest_cell(hit.where("place is null").select("id", "i", "j"), cells, "id", "place").withColumnRenamed("place", "near")
     return hit.join(near, "id", "left").select("id", F.coalesce("place", "near").alias("place"))
 
 

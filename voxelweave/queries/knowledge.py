@@ -229,7 +229,3 @@ def _(v):
 
     t = v("v_object").select("id", F.array("x", "y", "z").alias("a"), F.array("l", "w", "h").alias("b"))
     return t.select("id", r(cosine(F.col("a"), F.col("b"))).alias("cosine"))
-
-
-def latest(v):
-    return J.last_wins(v("v_vote"), "obj", "ord")

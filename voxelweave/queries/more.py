@@ -101,8 +101,7 @@ def _(v):
 @query("jn26_robot_place", "select 1 as id, arg_min(place, (12-i)*(12-i)*1e6 + (45-j)*(45-j)*1e6 + i*1e3 + j) as place from v_cell")
 def _(v):
     robot = v("v_cell").sparkSession.createDataFrame([(1, 12, 45)], "id int, i int, j int")
-    di, dj = F.col("a.i") - F.col("b.i"), F.col("a.j") - F.col("b.j")
-    return J.nearest_row(robot, v("v_cell"), "id", di * di + dj * dj, F.struct(F.col("b.i").alias("i"), F.col("b.j").alias("j")), {"place": F.col("b.place")})
+    return J.nearest_cell(robot, v("v_cell"), "id", "place")
 
 
 @query("jn27_relation_targets", f"with s as ({STACK}) select concat('obj_', subject) as subject, predicate, string_agg('/World/Objects/obj_' || object, ',' order by '/World/Objects/obj_' || object) as paths from s where object % 2 = 0 group by 1, 2")
