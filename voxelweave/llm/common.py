@@ -13,10 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only
-    where that is unset (tests, one machine) a temporary folder of this machine."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where
+    that is unset, a temporary folder on one machine (tests, a local master) and
+    an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
