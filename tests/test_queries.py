@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from voxelweave.queries import base, knowledge, more, scene  # noqa: F401
+from voxelweave.queries import base, knowledge, more, scene, wide  # noqa: F401
 
 from .conftest import SF
 

@@ -113,3 +113,23 @@ def call_cost(model: Column, tokens_in: Column, tokens_out: Column, tokens_cache
         return out
 
     return (tokens_in * price(0) + tokens_out * price(1) + tokens_cached * price(2)) / F.lit(1e6)
+
+
+# The label palette's step of hue, saturation and value.
+HUE_STEP, SATURATION, VALUE = 0.6180339887, 0.65, 0.95
+
+
+def label_color(label: Column, classes: int) -> Column:
+    """{r, g, b} of a label, labels outside of 0..classes-1 counting as the
+    nearest of them: hues a golden ratio apart."""
+    k = F.least(F.greatest(label, F.lit(0)), F.lit(classes - 1))
+    h = F.pmod(k * F.lit(HUE_STEP), F.lit(1.0)) * 6
+    i = F.floor(h)
+    f, v = h - i, F.lit(VALUE)
+    p, q, t = v * (1 - F.lit(SATURATION)), v * (1 - f * SATURATION), v * (1 - (1 - f) * SATURATION)
+    sector = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
+    out = None
+    for n, rgb in enumerate(sector):
+        one = F.struct(*(c.alias(a) for c, a in zip(rgb, "rgb")))
+        out = F.when(i == n, one) if out is None else out.when(i == n, one)
+    return out

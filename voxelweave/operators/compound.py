@@ -215,3 +215,10 @@ def residual_counts(points: DataFrame, walls: DataFrame, unit: str, eps: float =
 def ring_of(cells: DataFrame) -> DataFrame:
     """Cells just outside of a set."""
     return neighbours(cells.select("i", "j"), True).distinct().join(cells.select("i", "j"), ["i", "j"], "left_anti")
+
+
+def wall_compounds(points: DataFrame, walls: DataFrame, by: str, eps: float = 0.15, hug: float = 0.25, off_wall: int = 250, span: float = 2.0) -> DataFrame:
+    """Clusters that hug a wall, but have enough points off it and are wide:
+    things that stand against the wall and were clustered with it."""
+    wide = points.groupBy(by).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    return hug_fraction(points, walls, by, eps).join(wide, by).where((F.col("hug") >= hug) & (F.col("off_wall") >= off_wall) & (F.col("span") >= span))

@@ -203,3 +203,23 @@ def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 0.0, size: f
     for c in "xyz":
         on = on & F.col(f"p.{c}").between(F.col(f"b.{c}0") - pad, F.col(f"b.{c}1") + pad)
     return p.join(b.alias("b"), on, "left_anti").drop("_i", "_j")
+
+
+def inside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 0.0, size: float = 1.0) -> DataFrame:
+    """Pairs p.*, b.* of points and the axis-aligned boxes (x0..z1) that hold
+    them, as a join on the cells that the boxes touch."""
+    s = F.lit(float(size))
+    b = boxes.withColumn("_i", F.explode(F.sequence(F.floor((F.col("x0") - pad) / s), F.floor((F.col("x1") + pad) / s))))
+    b = b.withColumn("_j", F.explode(F.sequence(F.floor((F.col("y0") - pad) / s), F.floor((F.col("y1") + pad) / s))))
+    p = points.withColumn("_i", F.floor(F.col("x") / s)).withColumn("_j", F.floor(F.col("y") / s)).alias("p")
+    on = (F.col("p._i") == F.col("b._i")) & (F.col("p._j") == F.col("b._j"))
+    for c in "xyz":
+        on = on & F.col(f"p.{c}").between(F.col(f"b.{c}0") - pad, F.col(f"b.{c}1") + pad)
+    return p.join(b.alias("b"), on)
+
+
+def renamed(rows: DataFrame, table: DataFrame, name: str, into: str) -> DataFrame:
+    """``into``: the table's word (name, into) for each row's name; without one
+    the name itself."""
+    t = table.select(F.col(name), F.col(into).alias("_to")).dropDuplicates([name])
+    return rows.join(t, name, "left").withColumn(into, F.coalesce("_to", name)).drop("_to")

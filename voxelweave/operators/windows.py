@@ -40,7 +40,7 @@ def even_sample(df: DataFrame, by: list[str], order: list[Column], k: int) -> Da
     r = r.join(n, by) if by else r.crossJoin(F.broadcast(n))
     # position p is taken if some t in 0..k-1 has floor(t (n-1) / (k-1)) = p
     step = (F.col("_n") - 1) / F.lit(float(max(1, k - 1)))
-    t = F.ceil(F.col("_r") / step)
+    t = F.ceil(F.col("_r") / step - 1e-9)
     hit = (t <= k - 1) & (F.floor(t * step + 1e-9) == F.col("_r"))
     return r.where((F.col("_n") <= k) | hit).drop("_r", "_n")
 

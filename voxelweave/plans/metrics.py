@@ -65,3 +65,13 @@ def by_condition(results: DataFrame, ok: Column, condition: str, kind: str) -> D
 
 def usage(calls: DataFrame, cost: Column, by: list[str]) -> DataFrame:
     return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *(F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "tokens_cached")), F.sum(cost).alias("cost_usd"))
+
+
+def detection_scores(truth: DataFrame, found: DataFrame, matches: DataFrame, type_: str = "type") -> DataFrame:
+    """Recall, precision and the share of right types among the matches, of
+    truth (id, type) and detections (id, type) and their matches (gt, det)."""
+    t = matches.join(truth.select(F.col("id").alias("gt"), F.lower(F.trim(type_)).alias("_a")), "gt").join(found.select(F.col("id").alias("det"), F.lower(F.trim(type_)).alias("_b")), "det")
+    c = t.agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("_a") == F.col("_b")).alias("right_type"))
+    sizes = truth.agg(F.count(F.lit(1)).alias("n_gt")).crossJoin(found.agg(F.count(F.lit(1)).alias("n_det")))
+    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return c.crossJoin(sizes).select("n_gt", "n_det", "matched", "right_type", ratio("matched", "n_gt").alias("recall"), ratio("matched", "n_det").alias("precision"), ratio("right_type", "matched").alias("type_accuracy"))

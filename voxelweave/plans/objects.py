@@ -97,3 +97,60 @@ def edit_scene(points: DataFrame, edits: DataFrame) -> DataFrame:
     moved = points.join(e.where("op = 'move'").select("inst", "dx", "dy", "dz"), "inst").withColumns(shift).select(*points.columns)
     new = points.join(e.where("op = 'insert'").select("inst", "dx", "dy", "dz", "copy_as"), "inst").withColumns(shift).withColumn("inst", F.col("copy_as")).select(*points.columns)
     return kept.unionByName(moved).unionByName(new)
+
+
+def selected(records: DataFrame, wanted: list[str], order: str, most: int | None = None, by: tuple[str, ...] = ("name", "id", "file")) -> DataFrame:
+    """Records any of whose names is wanted (none wanted: all), the first
+    ``most`` of them in order."""
+    hit = F.lit(not wanted)
+    for c in by:
+        if c in records.columns:
+            hit = hit | F.coalesce(F.col(c).cast("string").isin(*wanted), F.lit(False))
+    out = records.where(hit)
+    return out if most is None else out.orderBy(order).limit(most)
+
+
+def raw_context(records: DataFrame) -> DataFrame:
+    """What a reader without the graph gets of each record: its label and
+    geometry, no status and no flags."""
+    return records.select("name", "type", "confidence", F.col("x").alias("poseX"), F.col("y").alias("poseY"), F.struct(F.col("l").alias("length"), F.col("w").alias("width"), F.col("h").alias("height")).alias("dimensions"), "color")
+
+
+# What a record's card says of its status.
+STATUS_TEXT = {"verified": "true (VLM 4-view unanimous)", "verified_escalated": "true (escalated 12-view)", "unverified": "false → demoted at query time"}
+
+
+def cards(records: DataFrame) -> DataFrame:
+    """id -> symbolic, explicit, implicit: maps of the texts of a record's card.
+    An unverified type is shown as unknown, with the label that failed."""
+
+    def number(c: str) -> Column:
+        return F.format_string("%.2f", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+
+    def pairs(**texts: Column) -> Column:
+        return F.create_map(*(x for k, v in texts.items() for x in (F.lit(k), v)))
+
+    type_ = F.when(F.col("status") == "unverified", F.concat(F.lit("unknown (gated; was '"), F.col("type"), F.lit("')"))).otherwise(F.col("type"))
+    told = F.create_map(*(F.lit(x) for kv in STATUS_TEXT.items() for x in kv))
+    flag = lambda c: F.lower(F.coalesce(F.col(c), F.lit(False)).cast("string"))
+    return records.select(
+        "id", pairs(type=type_, name=F.col("name"), verified=F.coalesce(told[F.coalesce("status", F.lit("?"))], "status", F.lit("?"))).alias("symbolic"),
+        pairs(pose=F.concat(F.lit("x "), number("x"), F.lit("  y "), number("y"), F.lit("  z "), number("z"), F.lit(" m  (map)")), theta=F.concat(number("th"), F.lit(" rad")), dims=F.concat_ws(" x ", number("l"), number("w"), F.concat(number("h"), F.lit(" m"))), confidence=number("confidence")).alias("explicit"),
+        pairs(keyObject=flag("is_key"), movable=flag("is_movable")).alias("implicit"),
+    )
+
+
+def union_of_candidates(first: Column, extra: Column, most: int = 4, without: str = "clutter") -> Column:
+    """The first ``most`` candidates and the extra ones that are not among
+    them, in order."""
+    head = F.slice(F.filter(first, lambda c: c != without), 1, most)
+    return F.concat(head, F.filter(extra, lambda c: ~F.array_contains(head, c)))
+
+
+def recovery_jobs(targets: DataFrame, records: DataFrame, candidates_: DataFrame, extra: list[str], floor_z: float) -> DataFrame:
+    """One re-verification job for each target (kg, det, file): the record of
+    its detection, candidate labels and the four views to look at."""
+    t = targets.join(records.select(F.col("name").alias("det"), F.col("type").alias("old_type"), "z", "h"), "det").join(candidates_.select("file", "candidates"), "file", "left")
+    cands = union_of_candidates(F.coalesce("candidates", F.array().cast("array<string>")), F.array(*map(F.lit, extra)).cast("array<string>"))
+    views = F.transform(F.array(*map(F.lit, (0, 90, 180, 270))), lambda a: F.concat(F.lit("views/"), F.regexp_replace("file", r"\.ply$", ""), F.lit("/view_"), F.lpad(a.cast("string"), 3, "0"), F.lit(".png")))
+    return t.select(F.col("kg").alias("key"), "det", "old_type", cands.alias("candidates"), views.alias("views"), F.bround(F.col("z") - F.col("h") / 2 - F.lit(floor_z), 2).alias("bottom_above_floor_m"))

@@ -216,6 +216,22 @@ def segment_rooms(value: np.ndarray, res: float, door_radius: float = 0.6, min_r
     return out
 
 
+def distances(cells: DataFrame, by: str = "map_id", free_above: int = 250) -> DataFrame:
+    """cells (map_id, row, col, value) -> map_id, i (col), j (row), cells to the
+    nearest cell that is not free. A map is one task."""
+
+    def run(pdf):
+        import pandas as pd
+
+        grid = np.zeros((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), int)
+        grid[pdf["row"], pdf["col"]] = pdf["value"]
+        d = distance_transform(grid >= free_above)
+        r, c = np.nonzero(d)
+        return pd.DataFrame({by: pdf[by].iloc[0], "i": c.astype("int32"), "j": r.astype("int32"), "dist": d[r, c]})
+
+    return cells.select(by, "row", "col", "value").groupBy(by).applyInPandas(run, f"{by} {dict(cells.dtypes)[by]}, i int, j int, dist double")
+
+
 def rooms(cells: DataFrame, res: float, by: str = "map_id", **options) -> DataFrame:
     """cells (map_id, row, col, value) -> map_id, i (col), j (row), place."""
 

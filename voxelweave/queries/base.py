@@ -7,10 +7,13 @@ cells and a second epoch. A view's text is the same for Spark and DuckDB:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.components import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -38,6 +41,14 @@ VIEWS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder of the shared one; it goes when the driver's JVM ends."""
+    where = f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text})
@@ -47,6 +58,8 @@ def twin(sql: str) -> str:
     """SQL over the views it names, for DuckDB."""
     parts = [f"{n} as ({t.format(**{x: x for x in TABLES})})" for n, t in VIEWS.items() if n in sql]
     body = sql.strip()
+    if not parts:
+        return body
     if body.lower().startswith("with recursive "):
         return f"with recursive {', '.join(parts)}, {body[15:]}"
     if body.lower().startswith("with "):
@@ -72,3 +85,37 @@ SAT = """(not (abs((b.x-a.x)*cos(a.th)+(b.y-a.y)*sin(a.th)) > 0.5e0*(a.l+b.l*abs
  and not (abs((b.x-a.x)*cos(b.th)+(b.y-a.y)*sin(b.th)) > 0.5e0*(b.l+a.l*abs(cos(b.th-a.th))+a.w*abs(sin(b.th-a.th)))+1e-9)
  and not (abs((b.y-a.y)*cos(b.th)-(b.x-a.x)*sin(b.th)) > 0.5e0*(b.w+a.l*abs(sin(b.th-a.th))+a.w*abs(cos(b.th-a.th)))+1e-9))"""
 RADIUS = "0.5e0*sqrt({0}.l*{0}.l+{0}.w*{0}.w)"
+
+
+def greedy(name: str, pairs: str, kind: str = "bigint") -> str:
+    """Recursive CTEs ``name`` (k, taken, l, r, cost) over the CTE ``pairs`` (l,
+    r, ord, cost): left rows claim in their order the cheapest right row that is
+    free, ties going to the smaller one."""
+    return f"""{name}_o as (select l, row_number() over (order by min(ord), l) as k from {pairs} group by l), {name}(k, taken, l, r, cost) as (
+ select cast(0 as bigint), cast([] as {kind}[]), cast(null as bigint), cast(null as {kind}), cast(null as double)
+ union all select o.k, case when b.r is null then t.taken else list_append(t.taken, b.r) end, o.l, b.r, b.cost from {name} t join {name}_o o on o.k = t.k + 1
+ left join lateral (select p.r, p.cost from {pairs} p where p.l = o.l and not list_contains(t.taken, p.r) order by p.cost, p.r limit 1) b on true)"""
+
+
+def same_extents(a: str, b: str) -> str:
+    return " and ".join(f"abs({a}.{c}-{b}.{c}) <= greatest(0.3e0*greatest({a}.{c}, {b}.{c}), 0.15e0)" for c in "lwh")
+
+
+def anchor(row: str = "") -> str:
+    parts = " || ', ' || ".join(f"cast(cast(floor({row}{c}/0.25e0) as bigint) as varchar)" for c in ("x", "y", "z", "l", "w", "h"))
+    return f"'obj-lab-' || substr(sha1('(''lab'', ' || {parts} || ')'), 1, 10)"
+
+
+#: v_object as a graph's first revision and v_rescan as its second: claims that
+#: stayed, claims that moved, and what is left. Anchors are distinct in both as
+#: long as there are fewer than 3,000 parts.
+RESCAN = f"""with recursive n as (select {anchor()} as id, lower(trim(type)) as kind, * exclude (id) from v_object), r as (select {anchor()} as id, lower(trim(type)) as kind, * exclude (id) from v_rescan),
+ near as (select r.ord as l, n.id as r, r.ord, (r.x-n.x)*(r.x-n.x)+(r.y-n.y)*(r.y-n.y) as cost from r join n on (r.x-n.x)*(r.x-n.x)+(r.y-n.y)*(r.y-n.y)+(r.z-n.z)*(r.z-n.z) <= 0.25e0 and {same_extents('r', 'n')}),
+ {greedy('stay', 'near', 'varchar')}, stayed as (select l as rec, r as node from stay where r is not null),
+ far as (select r.ord as l, n.id as r, r.ord, (r.x-n.x)*(r.x-n.x)+(r.y-n.y)*(r.y-n.y) as cost from r join n on r.kind = n.kind and (r.x-n.x)*(r.x-n.x)+(r.y-n.y)*(r.y-n.y) <= 36e0 and {same_extents('r', 'n')}
+  where r.ord not in (select rec from stayed) and n.id not in (select node from stayed) and r.kind not in ('clutter', 'unknown', 'misc', 'object')),
+ {greedy('move', 'far', 'varchar')}, moved as (select l as rec, r as node from move where r is not null),
+ met as (select n.id, r.ord as rec, m, r.type <> n.type as d_type, (r.x <> n.x or r.y <> n.y or r.z <> n.z or r.th <> n.th) as d_pose, (r.l <> n.l or r.w <> n.w or r.h <> n.h) as d_dims
+  from (select *, false as m from stayed union all select *, true from moved) p join n on n.id = p.node join r on r.ord = p.rec),
+ rest as (select id, count(*) as times from r where ord not in (select rec from met) group by id), back as (select id from rest where id in (select id from n)), fresh as (select id, times from rest where id not in (select id from n)),
+ lost as (select id from n where id not in (select id from met) and id not in (select id from rest))"""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import joins as J
 from ..plans import graph as K, metrics, objects as O, places as P, questions as Q, relations as R, votes as V
-from .base import query
+from .base import RESCAN, query
 from .scene import NEXT, r
 
+FUSED = "with bs as (select obj, lower(trim(type)) as l, sum(confidence) as s, min(ord) as f from v_vote where not zoom and azimuth in (0, 90, 180, 270) group by 1, 2), bt as (select obj, l, s/sum(s) over (partition by obj) as share, count(*) over (partition by obj) as kinds, row_number() over (partition by obj order by round(s, 9) desc, f) as k from bs), base as (select obj, l as base_top, share as base_share, kinds = 1 as uni from bt where k = 1), fs as (select obj, lower(trim(type)) as l, sum(confidence) as s, min(ord) as f from v_vote where obj in (select obj from base where not uni) group by 1, 2), ft as (select obj, l, s/sum(s) over (partition by obj) as share, row_number() over (partition by obj order by round(s, 9) desc, f) as k from fs), fused as (select base.obj, coalesce(ft.l, base_top) as type, coalesce(ft.share, base_share) as share, base_top, not uni as escalated, case when uni then 'verified' when round_even(coalesce(ft.share, base_share), 3) < 0.6e0 then 'unverified' else 'verified_escalated' end as status from base left join ft on ft.obj = base.obj and ft.k = 1)"
 FUSE = "with s as (select obj, type, sum(confidence) as s, min(ord) as f, count(*) as n from {0} group by obj, type), k as (select obj, type, s, sum(s) over (partition by obj) as total, count(*) over (partition by obj) as kinds, sum(n) over (partition by obj) as n, row_number() over (partition by obj order by round(s, 9) desc, f) as k from s)"
 
 
@@ -24,12 +25,12 @@ def _(v):
     return V.late_fusion(v("v_vote"), escalate=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg13_late_fusion")
+@query("agg13_late_fusion", FUSED + " select obj, type, round(share, 6) as share, escalated, status from fused")
 def _(v):
     return V.late_fusion(v("v_vote")).select("obj", "type", r("share").alias("share"), "escalated", "status")
 
 
-@query("agg18_escalation")
+@query("agg18_escalation", FUSED + ", t as (select f.*, o.quality, base_top = g as base_ok, f.type = g as final_ok from fused f join (select id, case when id%3=0 then 'a' when id%3=1 then 'n' else 'r' end as g, quality from v_object) o on o.id = f.obj) select count(*) as objects, avg(case when escalated then 1e0 else 0e0 end) as trigger_rate, avg(case when base_ok then 1e0 else 0e0 end) filter (where quality = 'confirmed') as base_strict, avg(case when base_ok then 1e0 else 0e0 end) filter (where quality in ('confirmed', 'plausible')) as base_lenient, avg(case when final_ok then 1e0 else 0e0 end) filter (where quality = 'confirmed') as final_strict, avg(case when final_ok then 1e0 else 0e0 end) filter (where quality in ('confirmed', 'plausible')) as final_lenient, count(*) filter (where escalated and not base_ok and final_ok) as recoveries, count(*) filter (where escalated and base_ok and not final_ok) as regressions from t")
 def _(v):
     truth = v("v_object").select(F.col("id").alias("obj"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "n").otherwise("r").alias("gt_type"), "quality")
     return V.escalation_summary(V.late_fusion(v("v_vote")), truth)
@@ -89,7 +90,7 @@ def _records(df, extra=True):
     return df.select("ord", "name", "type", "x", "y", "z", "th", "l", "w", "h", *(c.alias(k) for k, c in cols.items()))
 
 
-@query("kg03_upsert_diff")
+@query("kg03_upsert_diff", RESCAN + " select 1 as revision, 't1' as ts, cast(0 as bigint) as updated, cast(0 as bigint) as unchanged, cast(0 as bigint) as moved, (select count(distinct id) from n) as inserted, cast(0 as bigint) as absent union all select 2, 't2', (select count(*) from met where not m and (d_type or d_pose or d_dims)) + (select count(*) from back) + (select count(*) from fresh where times > 1), (select count(*) from met where not m and not (d_type or d_pose or d_dims)), (select count(*) from met where m), (select count(*) from fresh), (select count(*) from lost)")
 def _(v):
     g = K.new_graph(v("v_object").sparkSession)
     g = K.upsert(g, _records(v("v_object")), "t1")
@@ -97,7 +98,7 @@ def _(v):
     return g.updates
 
 
-@query("kg04_history")
+@query("kg04_history", RESCAN + ", h as (select 1 as revision, 'presence' as event, 'presence' as field from n union all select 2, case when m then 'moved' else 'updated' end, 'type' from met where d_type union all select 2, case when m then 'moved' else 'updated' end, 'pose' from met where d_pose or m union all select 2, case when m then 'moved' else 'updated' end, 'dimensions' from met where d_dims union all select 2, 'presence', 'presence' from (select id from back union all select id from fresh union all select id from fresh where times > 1 union all select id from lost)) select revision, event, field, count(*) as n from h group by revision, event, field")
 def _(v):
     g = K.new_graph(v("v_object").sparkSession)
     g = K.upsert(g, _records(v("v_object")), "t1")
@@ -198,7 +199,7 @@ def _(v):
     return e.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn12_greedy_upsert_match")
+@query("jn12_greedy_upsert_match", RESCAN + " select 'stayed' as kind, count(*) as n from stayed union all select 'moved', count(*) from moved")
 def _(v):
     nodes = _records(v("v_object")).select("*", F.col("ord").cast("string").alias("id"), F.lit("present").alias("presence"))
     stayed, moved = K.match(nodes, _records(v("v_rescan")))
@@ -223,7 +224,7 @@ def _(v):
     return v("v_object").select("id", X.slug(F.col("type")).alias("slug"), X.padded_name(F.lit("t"), F.col("id") % 1000).alias("padded"), F.md5("name").alias("digest"))
 
 
-@query("fun_cosine", None)
+@query("fun_cosine", "select id, round((x*l+y*w+z*h)/(sqrt(x*x+y*y+z*z)*sqrt(l*l+w*w+h*h)), 6) as cosine from v_object")
 def _(v):
     from ..functions.vectors import cosine
 

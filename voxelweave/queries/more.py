@@ -8,10 +8,12 @@ from .. import models
 from ..functions import geometry as G, text as X
 from ..operators import aggregates as A, clustering as C, compound as M, joins as J, structure as S, windows as W
 from ..plans import exports, graph as K, metrics, objects as O, places as P, relations as R
-from .base import query
+from .base import RESCAN, greedy, query, same_extents
 from .knowledge import _records
 from .scene import NEXT, STACK, r
 
+#: The plane of least spread of every instance, solved in closed form.
+PLANE = """with c as (select inst, count(*) as n, var_pop(x) as a, covar_pop(x,y) as b, covar_pop(x,z) as c, var_pop(y) as e, covar_pop(y,z) as f, var_pop(z) as g from v_point group by inst), q as (select *, (a+e+g)/3e0 as q from c), p as (select *, sqrt(((a-q)*(a-q)+(e-q)*(e-q)+(g-q)*(g-q)+2e0*(b*b+c*c+f*f))/6e0) as p from q), t as (select *, ((a-q)*((e-q)*(g-q)-f*f)-b*(b*(g-q)-f*c)+c*(b*f-(e-q)*c))/(2e0*p*p*p) as t from p), l as (select *, q+2e0*p*cos(acos(least(1e0, greatest(-1e0, t)))/3e0+2e0*pi()/3e0) as lo from t), v as (select *, [b*f-c*(e-lo), c*b-(a-lo)*f, (a-lo)*(e-lo)-b*b] as v1, [b*(g-lo)-c*f, c*c-(a-lo)*(g-lo), (a-lo)*f-b*c] as v2, [(e-lo)*(g-lo)-f*f, f*c-b*(g-lo), b*f-(e-lo)*c] as v3 from l), s as (select *, sqrt(v1[1]*v1[1]+v1[2]*v1[2]+v1[3]*v1[3]) as s1, sqrt(v2[1]*v2[1]+v2[2]*v2[2]+v2[3]*v2[3]) as s2, sqrt(v3[1]*v3[1]+v3[2]*v3[2]+v3[3]*v3[3]) as s3 from v), plane as (select inst, n, sqrt(greatest(lo, 0e0)) as thickness, case when s1 >= s2 and s1 >= s3 then abs(v1[3])/s1 when s2 >= s3 then abs(v2[3])/s2 else abs(v3[3])/s3 end as normal_z from s)"""
 BOXES = "select id, x-l/2 as x0, x+l/2 as x1, y-w/2 as y0, y+w/2 as y1, z-h/2 as z0, z+h/2 as z1 from v_object"
 
 
@@ -25,7 +27,7 @@ def _(v):
     return v("v_object").select("id", r(ring[0]["x"]).alias("u"))
 
 
-@query("prj14_message")
+@query("prj14_message", "select cast(count(*) as int) as n from v_object")
 def _(v):
     return O.message(O.record(v("v_object"), "lab"), "2024-01-01T00:00:00Z").select(F.size("semanticObjects").alias("n"))
 
@@ -76,6 +78,9 @@ def _(v):
     return v("v_object").groupBy(X.spatial_hash(F.col("x"), F.col("y"), F.col("z")).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
+CONDITIONS = "with c as (select *, id*2 + (case when condition = 'B' then 1 else 0 end) as ord, condition || id as name from (select id, x, y, z, l, w, h, 'A' as condition from v_rescan union all select id, x+0.02e0, y, z, l, w, h, 'B' from v_rescan where id % 2 = 0))"
+
+
 def _conditions(v):
     m = F.lit("m").alias("map_id")
     a = v("v_rescan").select(m, "id", "x", "y", "z", "l", "w", "h", F.lit("A").alias("condition"))
@@ -83,12 +88,16 @@ def _conditions(v):
     return a.unionByName(b).withColumns({"name": F.concat("condition", F.col("id").cast("string")), "ord": F.col("id") * 2 + (F.col("condition") == "B").cast("long"), "n_points": F.col("id") % 50})
 
 
-@query("jn19_support")
+@query("jn19_support", CONDITIONS + f", f as (select o.id, string_agg(distinct c.condition, '+' order by c.condition) as found_in from v_object o left join c on (o.x-c.x)*(o.x-c.x)+(o.y-c.y)*(o.y-c.y)+(o.z-c.z)*(o.z-c.z) <= 0.25e0 and {same_extents('o', 'c')} group by o.id) select coalesce(found_in, '') as found_in, count(*) as n from f group by 1")
 def _(v):
     return M.support(_conditions(v), v("v_object").select("id", "x", "y", "z", "l", "w", "h")).groupBy(F.array_join("found_in", "+").alias("found_in")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn20_discoveries")
+@query("jn20_discoveries", "with recursive" + CONDITIONS[4:] + f""", u as (select * from c where not exists (select 1 from v_object o where o.id % 2 = 1 and (o.x-c.x)*(o.x-c.x)+(o.y-c.y)*(o.y-c.y)+(o.z-c.z)*(o.z-c.z) <= 0.25e0 and {same_extents('c', 'o')})),
+ p as (select a.ord as l, b.ord as r from u a join u b on a.ord > b.ord and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 0.25e0 and {same_extents('a', 'b')}), o as (select l, row_number() over (order by l) as k from (select distinct l from p)),
+ w(k, dups, l, head) as (select cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), cast(null as bigint) union all select o.k, case when b.r is null then w.dups else list_append(w.dups, o.l) end, o.l, b.r from w join o on o.k = w.k + 1 left join lateral (select min(p.r) as r from p where p.l = o.l and not list_contains(w.dups, p.r)) b on true),
+ g as (select coalesce(w.head, u.ord) as ord, string_agg(distinct u.condition, '+' order by u.condition) as conditions, arg_min(u.name, u.ord) as name, arg_min(u.x, u.ord) as x, arg_min(u.y, u.ord) as y from u left join w on w.l = u.ord group by 1)
+ select g.ord, g.name, g.conditions, min(o.id) as variant_of from g left join v_object o on o.id % 2 = 1 and (o.x-g.x)*(o.x-g.x)+(o.y-g.y)*(o.y-g.y) < 0.49e0 group by g.ord, g.name, g.conditions""")
 def _(v):
     return M.discoveries(_conditions(v), v("v_object").where("id % 2 = 1").select("id", "x", "y", "z", "l", "w", "h")).select("ord", "name", F.array_join("conditions", "+").alias("conditions"), "variant_of")
 
@@ -118,7 +127,7 @@ def _(v):
     return v("v_object").join(b, "id", "left").select("id", F.coalesce("before", F.lit("?")).alias("before"), (F.col("type") != F.coalesce("before", F.lit("?"))).alias("changed"))
 
 
-@query("agg06_plane_stats")
+@query("agg06_plane_stats", PLANE + " select inst, round(normal_z, 4) as normal_z, round(thickness, 4) as thickness from plane")
 def _(v):
     return A.plane_stats(v("v_point"), "inst").select("inst", r("normal_z", 4).alias("normal_z"), r("thickness", 4).alias("thickness"))
 
@@ -138,7 +147,7 @@ def _(v):
     return v("v_point").where("z < 0.5").select(G.cell("x", 0.25, "round").alias("i"), G.cell("y", 0.25, "round").alias("j")).distinct()
 
 
-@query("agg36_revision_states")
+@query("agg36_revision_states", RESCAN + " select (select count(*) from met where m) as moved, (select count(*) from lost) as absent, (select count(*) from fresh where times = 1) as inserted, (select count(distinct id) from (select id from met where not m and (d_type or d_pose or d_dims) union all select id from back union all select id from fresh where times > 1) where id not in (select id from met where m)) as updated")
 def _(v):
     g = K.upsert(K.new_graph(v("v_object").sparkSession), _records(v("v_object")), "t1")
     g = K.upsert(g, _records(v("v_rescan")), "t2")
@@ -167,13 +176,13 @@ def _(v):
     return W.paint(t, "okey", "inst", "k").withColumnRenamed("okey", "p")
 
 
-@query("win13_farthest")
+@query("win13_farthest", "with recursive p as (select id%4 as g, id, x, y, z from v_object), f(g, ord, id, picked) as (select g, 0, min(id), [arg_min({'x': x, 'y': y, 'z': z}, id)] from p group by g union all select f.g, f.ord + 1, b.id, list_append(f.picked, b.q) from f join lateral (select p.id, {'x': p.x, 'y': p.y, 'z': p.z} as q from p where p.g = f.g order by list_min(list_transform(f.picked, lambda s: (s.x-p.x)*(s.x-p.x)+(s.y-p.y)*(s.y-p.y)+(s.z-p.z)*(s.z-p.z))) desc, p.id limit 1) b on true where f.ord < 7) select g, id as point_id, ord from f")
 def _(v):
     p = v("v_object").select((F.col("id") % 4).alias("g"), F.col("id").alias("point_id"), "x", "y", "z")
     return W.farthest_points(p, "g", 8).select("g", "point_id", "ord")
 
 
-@query("win14_hashed_sample")
+@query("win14_hashed_sample", "select status, id from (select status, id, row_number() over (partition by status order by md5('0:' || id), id) as k from v_object) where k <= 10")
 def _(v):
     return W.hashed_sample(v("v_object"), ["status"], "id", 10).select("status", "id")
 
@@ -195,7 +204,7 @@ def _(v):
     return out.groupBy("inst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cl03_by_class")
+@query("cl03_by_class", "with recursive p as (select id, id%3 as label, x, y, z from v_object), g as (select a.id a, b.id b from p a join p b on a.label = b.label and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 1.5e0*1.5e0), k as (select a from g group by a having count(*) >= 3), l as (select a, b from g where a in (select a from k) and b in (select a from k)), w(n, t) as (select a, a from k union select w.n, l.b from w join l on l.a = w.t), c as (select n, min(t) as c from w group by n), r as (select c, dense_rank() over (order by c) - 1 as inst from (select distinct c from c)), bo as (select g.a, arg_min(c.c, c.n) as c from g join c on c.n = g.b where g.a not in (select a from k) group by g.a) select p.label, cast(coalesce(r.inst, -1) as int) as inst, count(*) as n from p left join (select n, c from c union all select a, c from bo) x on x.n = p.id left join r on r.c = x.c group by 1, 2")
 def _(v):
     p = v("v_object").select(F.col("id").alias("point_id"), (F.col("id") % 3).alias("label"), "x", "y", "z")
     return C.cluster_instances(p, "label", 1.5, 3).groupBy("label", "inst").agg(F.count(F.lit(1)).alias("n"))
@@ -230,7 +239,7 @@ def _(v):
     return P.slic_places(v("v_cell").select(F.lit("m").alias("map_id"), "i", "j"), 6, 0.25).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("kg07_feedback")
+@query("kg07_feedback", "select 'owner' as event, field, count(*) as n from (select 'presence' as field from v_object where name = 'obj_3' union all select 'type' from v_object where (name = 'obj_4' and type <> 'sofa') or (name = 'obj_5' and type <> 'desk') union all select 'status' from v_object where name in ('obj_4', 'obj_5')) group by field")
 def _(v):
     spark = v("v_object").sparkSession
     g = K.upsert(K.new_graph(spark), _records(v("v_object")), "t1")
@@ -259,6 +268,6 @@ def _(v):
     return t.select("subject", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"))
 
 
-@query("agg22_flag_rates")
+@query("agg22_flag_rates", "with c as (select count(*) filter (where status = 'unverified' and quality = 'unknown') as tp, count(*) filter (where status = 'unverified' and quality <> 'unknown') as fp, count(*) filter (where status <> 'unverified' and quality = 'unknown') as fn from v_object) select tp, fp, fn, tp*1e0/greatest(tp+fp, 1) as precision, tp*1e0/greatest(tp+fn, 1) as recall from c")
 def _(v):
     return metrics.flags(v("v_object"), F.col("status") == "unverified", F.col("quality") == "unknown")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, text as X
 from ..operators import aggregates as A, clustering as C, joins as J, structure as S, windows as W
 from ..plans import exports, metrics, objects as O, places as P, relations as R
-from .base import RADIUS, SAT, query
+from .base import RADIUS, SAT, anchor, greedy, query
 
 GAP = f"(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) - ({RADIUS.format('a')}+{RADIUS.format('b')}))"
 NEXT = f"""select a.id as subject, b.id as object, round(greatest({GAP}, 0e0), 4) as gap_m from v_object a join v_object b on a.id < b.id
@@ -122,7 +122,7 @@ def _(v):
     return A.center_shift(v("v_point").select("inst", "x", "y", "z")).groupBy("inst").agg(F.round(F.min("x"), 6).alias("x0"), F.round(F.min("z"), 6).alias("z0"))
 
 
-@query("kg02_anchor_id")
+@query("kg02_anchor_id", f"select id, {anchor()} as anchor from v_object")
 def _(v):
     return v("v_object").select("id", X.anchor_id(F.lit("lab"), *(F.col(c) for c in ("x", "y", "z", "l", "w", "h"))).alias("anchor"))
 
@@ -180,9 +180,9 @@ def _(v):
     return P.in_cells(v("v_object"), v("v_cell"), 0.5, "round")
 
 
-@query("jn08_near_cells", "with o as (select id, cast(floor(x/0.5e0) as bigint) i, cast(floor(y/0.5e0) as bigint) j from v_object where id % 20 = 0) select o.id, arg_min(c.place, (o.i-c.i)*(o.i-c.i)*100000000+(o.j-c.j)*(o.j-c.j)*100000000+c.i*1000+c.j) as place from o, v_cell c group by o.id")
+@query("jn08_near_cells", "with o as (select id, cast(floor(x/0.5e0) as bigint) i, cast(floor(y/0.5e0) as bigint) j from v_object) select o.id, arg_min(c.place, (o.i-c.i)*(o.i-c.i)*100000000+(o.j-c.j)*(o.j-c.j)*100000000+c.i*1000+c.j) as place from o, v_cell c group by o.id")
 def _(v):
-    return P.in_or_near_cells(v("v_object").where("id % 20 = 0"), v("v_cell"), 0.5)
+    return P.in_or_near_cells(v("v_object"), v("v_cell"), 0.5)
 
 
 RINGS = [(1, 1, [(0, 0), (20, 0), (20, 20), (0, 20)]), (2, 2, [(10, 10), (35, 15), (30, 40), (5, 30)]), (3, 3, [(40, 0), (50, 0), (45, 30)])]
@@ -201,15 +201,15 @@ def _(v):
     return P.in_polygons(v("v_object"), _rings(v))
 
 
-@query("jn06_near_polygons")
+@query("jn06_near_polygons", f"with e(place, ord, px, py, qx, qy) as (values {EDGES}), t as (select o.id, e.*, x, y, greatest(0e0, least(1e0, ((x-px)*(qx-px)+(y-py)*(qy-py))/((qx-px)*(qx-px)+(qy-py)*(qy-py)))) as t from v_object o, e), h as (select id, place, min(ord) as ord, sum(case when (py > y) <> (qy > y) and x < (qx-px)*(y-py)/(qy-py)+px then 1 else 0 end) % 2 = 1 as inside, min(sqrt((px+t*(qx-px)-x)*(px+t*(qx-px)-x)+(py+t*(qy-py)-y)*(py+t*(qy-py)-y))) as d from t group by id, place) select id, coalesce(arg_min(place, ord) filter (where inside), arg_min(place, d)) as place from h group by id")
 def _(v):
     return P.in_or_near_polygons(v("v_object"), _rings(v))
 
 
-@query("jn09_knn", "with d as (select a.id, b.id as other, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) as d2 from v_object a, v_object b where a.id % 10 = 0), k as (select *, row_number() over (partition by id order by d2, other) as rank from d) select id, other, cast(rank as int) as rank from k where rank <= 4")
+@query("jn09_knn", "with d as (select a.id, b.id as other, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) as d2 from v_object a, v_object b), k as (select *, row_number() over (partition by id order by d2, other) as rank from d) select id, other, cast(rank as int) as rank from k where rank <= 4")
 def _(v):
     o = v("v_object")
-    return J.knn_join(o.where("id % 10 = 0").select("id", "x", "y", "z"), o.select(F.col("id").alias("other"), "x", "y", "z"), 4, "id", "other", 1.0).select("id", "other", "rank")
+    return J.knn_join(o.select("id", "x", "y", "z"), o.select(F.col("id").alias("other"), "x", "y", "z"), 4, "id", "other", 1.0).select("id", "other", "rank")
 
 
 @query("jn09_radius", "select a.id, count(*) as n from v_object a join v_object b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 1.44e0 group by a.id")
@@ -224,7 +224,7 @@ def _(v):
     return t.where("a.id = b.id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn14_detection_match")
+@query("jn14_detection_match", f"with recursive c as (select a.id as l, b.id as r, a.ord, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as cost from v_object a join v_rescan b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 1e0), {greedy('w', 'c')} select l as gt, r as det, round(cost, 6) as d2 from w where r is not null")
 def _(v):
     m = F.lit("m").alias("map_id")
     return metrics.detection_match(v("v_object").select(m, "id", "ord", "x", "y"), v("v_rescan").select(m, "id", "x", "y"), 1.0).select("gt", "det", r("d2").alias("d2"))
@@ -301,7 +301,7 @@ def _(v):
     return metrics.accuracy(v("v_object"), F.col("id") % 5 == (F.col("id") * 7) % 6).select(r("accuracy").alias("accuracy"))
 
 
-@query("agg19_outcomes")
+@query("agg19_outcomes", "with p as (select cast(floor(x/3e0) as int) as c, inst%10 as g from v_point), sz as (select g, count(*) as tot from p group by g), cs as (select c, count(*) as cn from p where c >= 0 group by c having count(*) >= 20), ov as (select c, g, count(*) as n from p where c >= 0 group by c, g), o as (select ov.c, ov.g, n, cn, tot, n >= 0.2e0*tot as big from ov join cs on cs.c = ov.c join sz on sz.g = ov.g), b as (select *, count(*) filter (where big) over (partition by c) as bigs_of_c, count(*) filter (where big) over (partition by g) as bigs, row_number() over (partition by g order by n desc, c) as k from o) select sz.g, case when b.g is null then 'missing' when bigs >= 2 then 'split' when bigs_of_c - cast(big as int) > 0 then 'merged' when n*1e0/(b.tot+cn-n) >= 0.5e0 then 'recovered' else 'missing' end as outcome, round(n*1e0/(b.tot+cn-n), 6) as iou from sz left join b on b.g = sz.g and k = 1")
 def _(v):
     p = v("v_point").select(F.floor(F.col("x") / 3.0).cast("int").alias("c"), (F.col("inst") % 10).alias("g"))
     return metrics.outcomes(p, "c", "g", 20).select("g", "outcome", r("iou").alias("iou"))
@@ -364,11 +364,11 @@ def _(v):
     return W.key_objects(m, "place", F.col("is_key"), F.col("type").contains("tin"), F.col("confidence"), F.col("id")).select("place", "id")
 
 
-@query("win04_dense_ids", "select inst, cast(dense_rank() over (order by inst) - 1 as int) as new from (select distinct inst from v_point where inst % 3 = 0)")
+@query("win04_dense_ids", "select inst, cast(dense_rank() over (order by inst) - 1 as int) as new from (select distinct inst from v_point)")
 def _(v):
     from ..operators.components import dense_ids
 
-    return dense_ids(v("v_point").where("inst % 3 = 0").select("inst").distinct(), "inst", "new")
+    return dense_ids(v("v_point").select("inst").distinct(), "inst", "new")
 
 
 @query("win05_low_runs", "with b as (select inst, cast(floor(z/0.05e0) as bigint) as bin, count(*) as n from v_point group by 1, 2), e as (select inst, min(bin) lo, max(bin) hi from b group by inst), g as (select inst, bin, bin - row_number() over (partition by inst order by bin) as k from b where n <= 9) select g.inst, min(bin) as first, max(bin) as last, count(*) as length from g join e on g.inst = e.inst group by g.inst, k having count(*) >= 2 and min(bin) > min(lo) and max(bin) < min(hi)")
@@ -414,14 +414,14 @@ def _(v):
     return c("verified").intersect(c("unverified")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set03_dilation", "select distinct c.i + o.a as i, c.j + p.a as j from v_cell c, (values (-1), (0), (1)) o(a), (values (-1), (0), (1)) p(a) where c.place = 2")
+@query("set03_dilation", "select distinct c.i + o.a as i, c.j + p.a as j from v_cell c, (values (-1), (0), (1)) o(a), (values (-1), (0), (1)) p(a)")
 def _(v):
-    return C.dilate(v("v_cell").where("place = 2"), 1, diagonal=True)
+    return C.dilate(v("v_cell"), 1, diagonal=True)
 
 
-@query("gr06_erosion", "with c as (select i, j from v_cell where place = 5) select i, j from (select c.i, c.j, count(*) n from c join c d on abs(c.i-d.i)+abs(c.j-d.j) <= 1 group by c.i, c.j) where n = 5")
+@query("gr06_erosion", "with c as (select i, j from v_cell) select i, j from (select c.i, c.j, count(*) n from c join c d on abs(c.i-d.i)+abs(c.j-d.j) <= 1 group by c.i, c.j) where n = 5")
 def _(v):
-    return C.erode(v("v_cell").where("place = 5"))
+    return C.erode(v("v_cell"))
 
 
 @query("gr09_place_scoped", f"with n as ({NEXT}), m as (select o.id, c.place from v_object o join v_cell c on c.i = cast(floor(o.x/0.5e0) as int) and c.j = cast(floor(o.y/0.5e0) as int)) select n.subject, n.object from n join m a on a.id = n.subject join m b on b.id = n.object where a.place = b.place")
@@ -433,9 +433,9 @@ def _(v):
 # clustering
 
 
-@query("cl12_components", "with recursive c as (select distinct cast(floor(x/1e0) as int) i, cast(floor(y/1e0) as int) j from v_object where id % 3 = 0), n as (select *, i*1000+j as k from c), w(k, t) as (select k, k from n union select w.k, b.k from w join n a on a.k = w.t join n b on abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1) select k, min(t) as comp from w group by k")
+@query("cl12_components", "with recursive c as (select distinct cast(floor(x/1e0) as int) i, cast(floor(y/1e0) as int) j from v_object), n as (select *, i*1000+j as k from c), w(k, t) as (select k, k from n union select w.k, b.k from w join n a on a.k = w.t join n b on abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1) select k, min(t) as comp from w group by k")
 def _(v):
-    c = v("v_object").where("id % 3 = 0").select(G.cell("x", 1.0).alias("i"), G.cell("y", 1.0).alias("j"))
+    c = v("v_object").select(G.cell("x", 1.0).alias("i"), G.cell("y", 1.0).alias("j"))
     t = C.cell_components(c, True)
     low = t.groupBy("comp").agg(F.min(F.col("i") * 1000 + F.col("j")).alias("m"))
     return t.join(low, "comp").select((F.col("i") * 1000 + F.col("j")).alias("k"), F.col("m").alias("comp"))

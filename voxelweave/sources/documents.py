@@ -61,6 +61,65 @@ def parameters(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return t.select(*(F.regexp_extract("value", rf"(?m)^\s*{re.escape(n)}\s*:\s*([-+0-9.eE]+)", 1).try_cast("double").alias(n) for n in names))
 
 
+def parse_config(text: str) -> dict:
+    """Mappings, lists and scalars of a YAML document in block style, with
+    flow lists; comments are left out. Anchors, tags and folded texts are not
+    read."""
+
+    def scalar(v: str):
+        v = v.strip()
+        if v[:1] in "'\"" and v[-1:] == v[:1] and len(v) > 1:
+            return v[1:-1]
+        if v.startswith("[") and v.endswith("]"):
+            return [scalar(x) for x in v[1:-1].split(",") if x.strip()]
+        if v.lower() in ("true", "false"):
+            return v.lower() == "true"
+        if v.lower() in ("", "null", "~"):
+            return None
+        for kind in (int, float):
+            try:
+                return kind(v)
+            except ValueError:
+                continue
+        return v
+
+    lines = []
+    for line in text.splitlines():
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip() if not re.search(r"['\"][^'\"]*#", line) else line.rstrip()
+        if bare.strip() and bare.strip() != "---":
+            lines.append((len(bare) - len(bare.lstrip()), bare.strip()))
+
+    def block(at: int, depth: int):
+        if lines[at][1].startswith("- ") or lines[at][1] == "-":
+            out = []
+            while at < len(lines) and lines[at][0] == depth and lines[at][1][:1] == "-":
+                item = lines[at][1][1:].strip()
+                if item:
+                    out.append(scalar(item))
+                    at += 1
+                else:
+                    value, at = block(at + 1, lines[at + 1][0])
+                    out.append(value)
+            return out, at
+        out = {}
+        while at < len(lines) and lines[at][0] == depth:
+            key, _, value = lines[at][1].partition(":")
+            at += 1
+            if value.strip():
+                out[scalar(key)] = scalar(value)
+            elif at < len(lines) and (lines[at][0] > depth or lines[at][0] == depth and lines[at][1][:1] == "-"):
+                out[scalar(key)], at = block(at, lines[at][0])
+            else:
+                out[scalar(key)] = None
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    return parse_config(spark.read.text(path, wholetext=True).head()[0])
+
+
 def edit_spec(spark: SparkSession, path: str) -> DataFrame:
     """remove / move / insert / occlude of a synthetic re-scan as rows."""
     part = "array<struct<name:string,copy_of:string,axis:string,fraction:double,dx:double,dy:double,dz:double>>"

@@ -69,8 +69,9 @@ def parse_ply(data: bytes) -> list[tuple[float, ...]]:
     return [tuple(float(r[i]) for i in at) + tuple(float(r[i]) / scale if i is not None else 0.0 for i in rgb) for r in rows]
 
 
-def load_ply(spark: SparkSession, path: str) -> DataFrame:
-    """One file a row, decoded where it is read; a file's points are in order."""
+def decode_ply(files: DataFrame) -> DataFrame:
+    """files (path, content) -> points, decoded where a file is read; a file's
+    points are in order."""
 
     def run(batches):
         import pyarrow as pa
@@ -83,7 +84,38 @@ def load_ply(spark: SparkSession, path: str) -> DataFrame:
                     part = rows[k : k + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(part), pa.string()), pa.array(range(k, k + len(part)), pa.int64()), *(pa.array([r[i] for r in part], pa.float64()) for i in range(6))], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def load_ply(spark: SparkSession, path: str) -> DataFrame:
+    return decode_ply(spark.read.format("binaryFile").load(path))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file through Hadoop's file systems, so that stores other than the
+    local disk work."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def load_transform(spark: SparkSession, path: str, name: str | None = None) -> list[list[float]]:
+    """A small matrix of an .npy file, or of an .npz archive by its name (the
+    first without one)."""
+    import io
+
+    import numpy as np
+
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").head()[0])
+    got = np.load(io.BytesIO(data), allow_pickle=False)
+    if not isinstance(got, np.ndarray):
+        got = got[name or sorted(got.files)[0]]
+    if got.size > 4096:
+        raise ValueError("a transform has few entries")
+    return np.atleast_2d(got).astype(float).tolist()
 
 
 def ply_bytes(rows: list[tuple[float, ...]]) -> bytes:
