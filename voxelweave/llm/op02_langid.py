@@ -10,7 +10,8 @@ product. N-grams are hashed into 2**15 cells, so the model's size is fixed for a
 number of languages.
 
 The fit takes at most ``PER_LANG`` texts a language (those of the smallest hash)
-and ``LANDMARKS`` of them; their presence bits, 4 KB a text, come to the driver.
+and ``LANDMARKS`` of them, at most ``TEXTS_IN_ALL`` and ``LANDMARKS_IN_ALL`` over all
+languages; their presence bits, 4 KB a text, come to the driver.
 
 Defined results: null text, text without a letter, or no labelled row to learn
 from: ``und`` with score 0. Long texts count whole. Repeated and null doc_ids
@@ -28,6 +29,8 @@ BITS = 15
 ORDERS = 4
 PER_LANG = 200
 LANDMARKS = 60  # a language
+#: Texts and landmarks of all languages together: with many languages each has fewer.
+TEXTS_IN_ALL, LANDMARKS_IN_ALL = 24_000, 1_200
 RIDGE = 1e-3
 _PART = 1 << 18
 
@@ -65,23 +68,28 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     # hashes are drawn first, at most per_lang a language, so only their texts move
+    known = max(1, rows.select("lang").distinct().count())
+    per_lang, landmarks = max(2, min(per_lang, TEXTS_IN_ALL // known)), max(1, min(landmarks, LANDMARKS_IN_ALL // known))
     drawn = bounded_sample(rows.select("lang", "_h"), "lang", "_h", per_lang)
-    bounded = rows.select("lang").distinct().count() * per_lang <= 1_000_000
-    sample = rows.join(F.broadcast(drawn.distinct()) if bounded else drawn.distinct(), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    sample = rows.join(F.broadcast(drawn.distinct()) if known * per_lang <= 2 * TEXTS_IN_ALL else drawn.distinct(), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
     sample = sample.select("lang", "text").transform(arrow_map, _bits, "lang string, bits binary")
     got = sorted((r[0], bytes(r[1])) for r in sample.collect())
     if not got:
         return [], np.zeros((1 << BITS, 0), np.float32)
     names = sorted({lang for lang, _ in got})
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in got]).astype(np.float32)
     y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang, _ in got])
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     nth = np.zeros(len(got), int)
     for n in names:
         own = [i for i, (lang, _) in enumerate(got) if lang == n]
         nth[own] = np.arange(len(own))
-    marks = x[nth < landmarks]
-    kernel = (x @ marks.T).astype(float)
+
+    def rows_of(some) -> np.ndarray:
+        x = np.stack([np.unpackbits(np.frombuffer(got[i][1], np.uint8)) for i in some]).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    marks = rows_of(np.flatnonzero(nth < landmarks))
+    # a block of texts at a time: the driver holds packed bits and the landmarks
+    kernel = np.concatenate([rows_of(range(at, min(at + 256, len(got)))) @ marks.T for at in range(0, len(got), 256)]).astype(float)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     keep = values > 1e-6 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])

@@ -15,11 +15,11 @@ components, and only nodes of one list that are still in different components
 meet each other, with the multi-match count, length and position filters
 applied. Large families of near copies whose members mostly do not link are
 described by their difference to the family's hub, from which the overlap of
-any two members follows exactly; members meet in blocks, and a block returns a
-spanning forest of its links. Every pair that could join two components is so
+any two members follows exactly; members that are not in the hub's component yet
+meet all others in blocks, and a block returns a spanning forest of its links. Every pair that could join two components is so
 examined, and components equal those of the complete join.
 
-Frequent tokens' lists are salted in the star round. Long texts are hashed
+Frequent tokens' lists are salted in both rounds. Long texts are hashed
 whole. Sketch and prefix lengths are bounded by parameters; postings, links and
 components stay distributed.
 
@@ -246,7 +246,8 @@ def _common(lists: list[list[int]]) -> np.ndarray:
 
 def _block(percent: int):
     """Members of one or two blocks of a family -> a spanning forest of the
-    links between different components."""
+    links between different components. ``side``: one block is of members that
+    the hub's component has already."""
 
     def run(table):
         import pyarrow as pa
@@ -257,7 +258,10 @@ def _block(percent: int):
         less = np.array([len(x) for x in lacks])
         both = hub - less[:, None] - less[None, :] + _common(lacks) + _common(extra)
         ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (comp[:, None] != comp[None, :])
-        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+        if table.column("side")[0].as_py():
+            rest = table.column("rest").to_numpy(zero_copy_only=False)
+            ok &= rest[:, None] != rest[None, :]
+        elif table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
             ok &= block[:, None] != block[None, :]
         parent: dict[int, int] = {}
 
@@ -278,12 +282,27 @@ def _block(percent: int):
 
 
 def family_links(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
-    """members (node, comp, pivot, n, hub_n, lacks, extra) -> links (a, b)."""
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
-    m = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    return m.groupBy("pivot", "lo", "hi").applyInArrow(_block(percent), "a long, b long")
+    """members (node, comp, pivot, hub_comp, n, hub_n, lacks, extra) -> links (a,
+    b). Members that are in the hub's component already meet only those that are
+    not, so a family whose members all link to its hub costs nothing."""
+    m = members.withColumn("rest", F.col("comp") != F.col("hub_comp"))
+
+    def blocks(flag):
+        return F.ceil(F.count_if(flag) / FAMILY_BLOCK).cast("int")
+
+    sizes = m.groupBy("pivot").agg(blocks(F.col("rest")).alias("open"), blocks(~F.col("rest")).alias("done")).where("open > 0")
+    m = m.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("open")).otherwise(F.col("done"))).cast("int"))
+
+    def upto(n):
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda i: i < F.col(n))
+
+    def meeting(side, lo, hi):
+        return F.struct(F.lit(side).alias("side"), lo.alias("lo"), hi.alias("hi"))
+
+    own = F.col("block")
+    met = F.when(F.col("rest"), F.concat(F.transform(upto("open"), lambda o: meeting(False, F.least(own, o), F.greatest(own, o))), F.transform(upto("done"), lambda o: meeting(True, own, o)))).otherwise(F.transform(upto("open"), lambda o: meeting(True, o, own)))
+    m = m.withColumn("_met", F.explode(met)).select("*", "_met.*").drop("_met")
+    return m.groupBy("pivot", "side", "lo", "hi").applyInArrow(_block(percent), "a long, b long")
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -372,21 +391,26 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = scratch.keep(components(scratch, links))
     comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
     members = first.where("lacks is not null").select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("nb").alias("hub_n"), "lacks", "extra").dropDuplicates(["node"])
-    members = scratch.keep(members.join(found, "node", "left").select("node", comp, "pivot", "n", "hub_n", "lacks", "extra"))
+    hubs = found.select(F.col("node").alias("pivot"), F.col("comp").alias("hub_comp"))
+    members = members.join(found, "node", "left").join(hubs, "pivot", "left")
+    members = scratch.keep(members.select("node", comp, "pivot", F.coalesce("hub_comp", "pivot").alias("hub_comp"), "n", "hub_n", "lacks", "extra"))
     within = scratch.keep(family_links(scratch, members, percent))
     # lists that still hold several components
     posts = posts.join(found, "node", "left").join(members.select("node", "pivot"), "node", "left").select("token", "node", "n", "pos", "m", "level", comp, "pivot")
-    open_ = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    posts = scratch.keep(posts.join(open_, "token", "left_semi"))
-    x, y = posts.alias("x"), posts.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
+    # long lists are cut by salts: the one side's rows go to one salt, the other's to all
+    salts = F.least(F.ceil(F.count(F.lit(1)) / SALT_FROM), F.lit(1024)).cast("int").alias("salts")
+    open_ = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), salts).where("lo <> hi").select("token", "salts")
+    posts = scratch.keep(posts.join(open_, "token"))
+    x = posts.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("x")
+    y = posts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     length = F.col("x.n") * 100 >= F.col("y.n") * percent
     level = F.greatest("x.level", "y.level") <= F.least("x.m", "y.m")
     overlap = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
     position = overlap * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     meet = x.join(y, apart & order & length & level & position)
-    cand = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
+    cand = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m").select("a", "b")
     tested = stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     cand = cand.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(tested, ["lo", "hi"], "left_anti").select("a", "b", F.lit(False).alias("family"))
     second = verify(scratch, cand, docs, k, percent).where("linked").select("a", "b").unionAll(within)
