@@ -8,7 +8,7 @@ from voxelweave.queries import base, knowledge, more, scene, wide  # noqa: F401
 
 from .conftest import SF
 
-SLOW = {"jn09_knn", "cl12_components", "jn08_near_cells"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
