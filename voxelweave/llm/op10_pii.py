@@ -100,7 +100,22 @@ _ANY = re.compile(r"""[\d@]|AKIA|[=:]\s*["']""")
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})(\.?)( )(?:(?:Dr|Prof)\.? )*{_BETWEEN}({_NAME})(?:( ){_BETWEEN}({_NAME}))?")
 _CUED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(FIELDS)}) ?[:=]|{'|'.join(map(re.escape, PHRASES))})\s+{_FULL}")
 _PAIR = re.compile(rf"({_NAME})(?: [{_UP}]\.)? {_BETWEEN}({_NAME})(?!\w)")
-_CUES = tuple(sorted({f"{f}{sign}" for f in FIELDS for sign in (":", "=", " :", " =")} | set(PHRASES)))
+
+
+def _signs():
+    """One automaton over what a person may be found by: titles, fields,
+    phrases, common given names."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for kind, words in (("title", TITLES), ("cue", (*FIELDS, *PHRASES)), ("given", (n for names in GIVEN.values() for n in names))):
+        for w in words:
+            auto.add_word(w, {kind, *auto.get(w, ())})
+    auto.make_automaton()
+    return auto
+
+
+_SIGNS = _signs()
 
 
 def _luhn(digits: str) -> int:
@@ -285,17 +300,18 @@ def _persons(text: str, locals_: list[str]) -> dict[str, tuple[str, str]]:
             found.setdefault(given, _given(given, gender))
         found.setdefault(surname, _surname(surname))
 
-    if any(t in text for t in TITLES):
+    signs = set().union(*(k for _, k in _SIGNS.iter(text)))
+    if "title" in signs:
         for m in _TITLED.finditer(text):
             if m[6] is None:
                 add(None, m[4], TITLES[m[1]])
             else:
                 add(m[4], m[6], TITLES[m[1]])
-    if any(c in text for c in _CUES):
+    if "cue" in signs:
         for m in _CUED.finditer(text):
             if m[1] not in TITLES:
                 add(m[1], m[2])
-    at = 0
+    at = 0 if "given" in signs or locals_ else len(text)
     while m := _PAIR.search(text, at):
         at = m.end(1)
         low, last = m[1].lower(), re.sub("['’]", "", m[2].lower())
