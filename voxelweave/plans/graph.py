@@ -8,6 +8,7 @@ nodes.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import anchor_id
 from ..operators.components import keep
 from ..operators.joins import greedy_match, last_wins, radius_join, semi_edges
+from ..sources.points import write_bytes
 
 # Labels that carry no identity.
 GENERIC = ("clutter", "unknown", "misc", "object")
@@ -41,6 +43,48 @@ def new_graph(spark: SparkSession) -> Graph:
     )
 
 
+#: After so many revisions the log's parts are written as one table.
+COMPACT_EVERY = 32
+
+
+def appended(log: DataFrame, rows: DataFrame, revision: int) -> DataFrame:
+    """The log with new rows, which alone are written; its parts are joined into
+    one table now and then, so that plans stay short."""
+    out = log.unionByName(keep(rows))
+    return keep(out) if revision % COMPACT_EVERY == 0 else out
+
+
+def save(graph: Graph, folder: str, batch: int = -1) -> None:
+    """Writes the graph's state and the log's new rows, then a pointer to them,
+    in this order: a crash in between leaves the last state valid."""
+    spark = graph.nodes.sparkSession
+    at = f"{folder}/revision-{graph.revision}"
+    before = load(spark, folder)
+    since = before[0].revision if before else 0
+    graph.nodes.write.mode("overwrite").parquet(f"{at}/nodes")
+    graph.edges.write.mode("overwrite").parquet(f"{at}/edges")
+    graph.updates.write.mode("overwrite").parquet(f"{at}/updates")
+    graph.history.where(F.col("revision") > since).write.mode("overwrite").parquet(f"{at}/log")
+    logs = [*(before[2] if before else []), *([f"{at}/log"] if graph.revision > since else [])]
+    pointer = json.dumps({"revision": graph.revision, "batch": batch, "at": at, "logs": logs})
+    write_bytes(spark, f"{folder}/pointer-{graph.revision:08d}-{batch + 1:08d}.json", pointer.encode())
+
+
+def load(spark: SparkSession, folder: str) -> tuple[Graph, int, list[str]] | None:
+    """(graph, last batch, log folders) of the latest pointer; None without one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+    pointers = [n for n in names if n.startswith("pointer-")]
+    if not pointers:
+        return None
+    p = json.loads(spark.read.text(f"{folder}/{pointers[-1]}", wholetext=True).head()[0])
+    empty = new_graph(spark)
+    read = lambda where, like: spark.read.schema(like.schema).parquet(*where)
+    history = read(p["logs"], empty.history) if p["logs"] else empty.history
+    return Graph(read([f"{p['at']}/nodes"], empty.nodes), history, read([f"{p['at']}/edges"], empty.edges), read([f"{p['at']}/updates"], empty.updates), p["revision"]), p["batch"], p["logs"]
+
+
 def _extents(a: str, b: str) -> Column:
     out = F.lit(True)
     for c in "lwh":
@@ -134,7 +178,7 @@ def upsert(graph: Graph, records: DataFrame, timestamp: str, edges: DataFrame |
     revived_ids = back.select("id")
     again = fresh.where("times > 1").select("id")
     log = log.unionByName(presence(revived_ids.unionAll(again), "absent", "present")).unionByName(presence(fresh.select("id"), None, "present")).unionByName(presence(lost, "present", "absent"))
-    history = keep(graph.history.unionByName(log))
+    history = appended(graph.history, log, rev)
     classes = met.select(kind.alias("kind")).unionAll(back.select(F.lit("updated").alias("kind"))).unionAll(again.select(F.lit("updated"))).unionAll(fresh.select(F.lit("inserted"))).unionAll(lost.select(F.lit("absent")))
     diff = classes.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("updated", "unchanged", "moved", "inserted", "absent"))).select(F.lit(rev).alias("revision"), F.lit(timestamp).alias("ts"), "*")
     new_edges = graph.edges if edges is None else resolve_edges(edges, new_nodes, rev)
@@ -208,7 +252,7 @@ def feedback(graph: Graph, refuted: DataFrame, corrected: DataFrame, adopted: Da
         d = both.where(F.col(f"o.{f}") != F.col(f"n.{f}")).select(F.col("o.id").alias("node_id"), F.lit(rev).alias("revision"), F.lit(timestamp).alias("ts"), F.lit("owner").alias("event"), F.lit(f).alias("field"), _json("o", f).alias("old_json"), _json("n", f).alias("new_json"))
         rows = d if rows is None else rows.unionByName(d)
     edges = semi_edges(graph.edges, new.where("presence = 'present'"))
-    return Graph(new, keep(graph.history.unionByName(rows)), keep(edges.withColumn("revision", F.lit(rev))), graph.updates, rev)
+    return Graph(new, appended(graph.history, rows, rev), keep(edges.withColumn("revision", F.lit(rev))), graph.updates, rev)
 
 
 def adjudicate(first: Column, second: Column, owner: Column, share: Column, least: float = 0.6) -> Column:

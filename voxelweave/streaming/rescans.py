@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.graph import Graph, upsert
+from ..plans.graph import Graph, load, save, upsert
 
 
 class GraphStream:
     """Applies every micro-batch as one revision a time stamp, in order of the
-    stamps. A batch that is delivered again (after a crash) changes nothing:
-    the batch number is remembered with the graph."""
+    stamps. With a ``folder``, the graph and the number of the batch that made it
+    are written after each batch and read at the start: a batch that is delivered
+    again after a crash changes nothing, and a restart goes on from the last
+    revision."""
 
-    def __init__(self, graph: Graph, on_revision: Callable[[Graph], None] | None = None):
-        self.graph, self.on_revision, self.last_batch = graph, on_revision, -1
+    def __init__(self, graph: Graph, on_revision: Callable[[Graph], None] | None = None, folder: str | None = None):
+        self.graph, self.on_revision, self.last_batch, self.folder = graph, on_revision, -1, folder
+        if folder and (found := load(graph.nodes.sparkSession, folder)):
+            self.graph, self.last_batch, _ = found
 
     def apply(self, batch: DataFrame, number: int) -> None:
         if number <= self.last_batch:
@@ -27,6 +31,8 @@ class GraphStream:
             if self.on_revision:
                 self.on_revision(self.graph)
         self.last_batch = number
+        if self.folder:
+            save(self.graph, self.folder, number)
 
     def start(self, scans: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         w = scans.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
@@ -45,15 +51,18 @@ def resumable(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def watch(spark, folder: str, schema, rebuild: Callable[[DataFrame], None], checkpoint: str, every: str = "3 seconds", once: bool = False) -> StreamingQuery:
-    """Calls rebuild with what changed in a folder; a failing rebuild is left
-    to the next change."""
+def watch(spark, folder: str, schema, rebuild: Callable[[DataFrame], None], checkpoint: str, every: str = "3 seconds", once: bool = False, tries: int = 3) -> StreamingQuery:
+    """Calls rebuild with what changed in a folder. A failing rebuild is tried
+    again; after the last try the query ends with its error and the change is
+    not committed, so that the next start begins with it."""
 
     def run(batch: DataFrame, _: int) -> None:
-        try:
-            rebuild(batch)
-        except Exception as e:  # noqa: BLE001
-            print(f"rebuild failed: {e}")
+        for k in range(tries):
+            try:
+                return rebuild(batch)
+            except Exception:
+                if k + 1 == tries:
+                    raise
 
     w = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
