@@ -192,3 +192,48 @@ def test_stages_on_nothing_odd_columns_and_long_texts(spark, make, stage):
     if stage < 4:
         assert list(out[0].asDict()) == cp.COLUMNS
         assert any(len(r["text"] or "") == 600_000 for r in out)
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path, make):
+    """All stages by brute force, SQL and the tokenizer: the pieces of the last."""
+    import zlib
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from voxelweave.llm import op07_mix, op10_pii
+
+    rnd = random.Random(11)
+    words = {"en": "the water house every thing other with from that river stone".split(), "fr": "le maison eau chaque autre dans avec une être rivière pierre".split()}
+    rows = [(i, " ".join(rnd.choice(words[l]) for _ in range(rnd.randint(6, 60))), l, ["a", "b", None][i % 3], 1) for i in range(150) for l in [("en", "fr")[i % 2]]]
+    rows += [(500 + i, rows[i][1] + (" stone" if i % 2 else ""), rows[i][2], "a", 1) for i in range(30)]
+    rows += [(600, None, "en", "a", 0), (601, "77 88", "en", "b", 1), (602, "write to bob@home.org, " + rows[3][1] + " more of it", "fr", "b", 1), (603, "the water " * 3000, "en", "a", 1)]
+    make(rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    heads = {d for d, _, c in brute([(r[0], r[1]) for r in kept], 5, 80) if d == c}
+    kept = [r for r in kept if r[0] in heads]
+    make_up, texts = op10_pii.Surrogates(op10_pii.PUBLIC_KEY), {}
+    for d, t, *_ in kept:
+        at, out = 0, ""
+        for a, b, kind, canon in op10_pii.find(t):
+            out, at = out + t[at:a] + op10_pii._write(kind, t[a:b], op10_pii._surrogate(make_up, kind, canon, 0)), b
+        texts[d] = out + t[at:]
+    assert texts[602] != dict((r[0], r[1]) for r in kept)[602]
+    make([(d, texts[d], l, s, 1) for d, _, l, s, _ in kept]).write.parquet(f"{tmp_path}/three")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/three/*.parquet'")
+    copies = {d: taken // size for d, size, taken in con.sql(f"select doc_id, size, taken from ({op07_mix.ORACLE})").fetchall()}
+    tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for d, n in copies.items():
+        ids = tok.encode(texts[d], add_special_tokens=False).ids + [0]
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            want[d, k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())] += n
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == +want
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        assert [a for a, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048

@@ -62,6 +62,51 @@ def test_language_without_labels(make):
         assert [(r["lang_pred"], r["score"]) for r in li.identify(docs, li.fit(docs)).collect()] == [("und", 0.0)] * len(rows)
 
 
+def plain_grams(text):
+    """Cells of all n-grams of a text, one by one."""
+    m, out = 2**32 - 1, set()
+    for n in range(1, li.ORDERS + 1):
+        for i in range(len(text) - n + 1):
+            h = 0
+            for k, c in enumerate(text[i : i + n].lower()):
+                h = ord(c) * 0x9E3779B1 & m if k == 0 else (((h ^ h >> 15) * 0x85EBCA77) + ord(c) * 0x9E3779B1) & m
+            out.add(((h ^ h >> 16) * 0xC2B2AE3D & m) >> (32 - li.BITS))
+    return out
+
+
+def test_scores_equal_the_plain_kernel(make):
+    """Kernels by set intersections and an unfolded Nyström ridge."""
+    rows = corpus(70)
+    names, folded = li.fit(make(rows))
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    sets = [plain_grams(r[1]) for r in train]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(kernel)
+    keep = values > 1e-6 * values.max()
+    nystrom = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.hstack([kernel @ nystrom, np.ones((len(sets), 1))])
+    y = np.array([[1.0 if r[2] == n else -1.0 for n in names] for r in train])
+    beta = np.linalg.solve(phi.T @ phi + li.RIDGE * len(sets) * np.eye(phi.shape[1]), phi.T @ y)
+    for text in ["the water and a house", "la maison avec une eau", "mixed le and the", "x"]:
+        g = plain_grams(text)
+        k = np.array([len(g & s) / np.sqrt(len(g) * len(s)) for s in sets])
+        want = np.append(k @ nystrom, 1.0) @ beta
+        flags = np.zeros(1 << li.BITS, bool)
+        li.presence(text, flags)
+        assert set(np.flatnonzero(flags).tolist()) == g
+        assert np.abs(flags @ folded[:-1] / np.sqrt(len(g)) + folded[-1] - want).max() < 2e-3
+
+
+def test_many_languages_share_the_sample(make, monkeypatch):
+    monkeypatch.setattr(li, "TEXTS_IN_ALL", 30)
+    monkeypatch.setattr(li, "LANDMARKS_IN_ALL", 10)
+    rows = [(i, f"{chr(97 + i % 10) * 3} {chr(98 + i % 10) * 4} {i}", f"l{i % 10}", "s", 1) for i in range(300)]
+    names, folded = li.fit(make(rows))
+    assert len(names) == 10 and folded.shape == ((1 << li.BITS) + 1, 10)
+    got = li.identify(make(rows), (names, folded)).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
+
+
 def test_held_out_follows_crc(spark):
     got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
@@ -584,6 +629,7 @@ PERSONS = [
     ("call 020 7946 0958 or 01 23 45 67 89 or 030/1234567", ["020 7946 0958", "01 23 45 67 89", "030/1234567"]),
     ("GB00 1234 5678 9012 020 7946 0958", ["020 7946 0958"]),
     ("4111 1111 1111 1112 and 12.05.2024", []),
+    ("+1 (608) 555-2280 37.92.178.161 and 4495589438270767 42.73.240.87", ["+1 (608) 555-2280", "37.92.178.161", "4495589438270767", "42.73.240.87"]),
 ]
 
 

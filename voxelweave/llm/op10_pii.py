@@ -83,7 +83,7 @@ _BETWEEN = r"(?:(?:von|van|der|den|de|del|la|di|da|du|le) )*"
 _FULL = rf"({_NAME})(?: [{_UP}]\.)? {_BETWEEN}({_NAME})(?![\w])"
 _PHONE = (
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
-    r"|(?<![.-])0\d{1,4}[ /-]\d{3,4}[ -]\d{2,4}(?:[ -]\d{2,4})?|(?<![.-])0\d(?:[ .]\d{2}){4}|(?<![.-])0\d{2,4}/\d{5,8})(?!\w)"
+    r"|(?<![.-])0\d{1,4}[ /-]\d{3,4}[ -]\d{2,4}(?:[ -]\d{2,4})?|(?<![.-])0\d(?:[ .]\d{2}){4}|(?<![.-])0\d{2,4}/\d{5,8})(?!\w|\.\d)"
 )
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -91,7 +91,7 @@ _PATTERN = re.compile(
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
-    r"|(?P<card>(?<!\w)(?:\d[ -]?){12,18}\d(?!\w))"
+    r"|(?P<card>(?<!\w)(?:\d[ -]?){12,18}\d(?!\w|\.\d))"
     rf"|(?P<phone>{_PHONE})"
 )
 _PHONES = re.compile(_PHONE)
