@@ -91,3 +91,55 @@ def test_outliers_and_normals(spark):
     assert S.outliers(p, k=6, size=0.3).where("point_id = 200").count() == 0
     n = S.estimate_normals(p.where("point_id < 200"), 0.3).agg(F.min(F.abs("nz"))).head()[0]
     assert n > 0.99
+
+
+def room(rng, n):
+    u = lambda lo, hi, k: rng.uniform(lo, hi, k)
+    flat = lambda z, k: np.column_stack([u(0, 6, k), u(0, 4, k), np.full(k, z)])
+    parts = {
+        "floor": flat(0.0, 3 * n), "ceiling": flat(3.0, 2 * n),
+        "X-": np.column_stack([np.zeros(2 * n), u(0, 4, 2 * n), u(0, 3, 2 * n)]), "X+": np.column_stack([np.full(2 * n, 6.0), u(0, 4, 2 * n), u(0, 3, 2 * n)]),
+        "table": np.column_stack([u(2, 4, n), u(1, 3, n), np.full(n, 0.75)]), "screen": np.column_stack([np.full(n, 3.0), u(1, 3, n), u(0.8, 2, n)]),
+    }
+    return {k: p + rng.normal(0, 0.003, p.shape) for k, p in parts.items()}
+
+
+def test_slicing_leaves_furniture(spark):
+    parts = room(np.random.default_rng(7), 600)
+    p = frame(spark, list(enumerate(parts.values())))
+    got, cuts = S.slice_structure(p, least=400)
+    left = {r["inst"]: r["n"] for r in got.groupBy("inst").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = list(parts)
+    assert {r for r, _ in cuts} >= {"floor", "ceiling", "wall X-", "wall X+"}
+    for k in ("floor", "ceiling", "X-", "X+"):
+        assert left.get(names.index(k), 0) < 0.05 * len(parts[k]), k
+    for k in ("table", "screen"):
+        assert left[names.index(k)] > 0.95 * len(parts[k]), k
+
+
+def test_plane_roles():
+    low, high = np.zeros(3), np.array([6.0, 4, 3])
+    cases = [((0, 0, 1), (3, 2, 2.9), "ceiling"), ((0, 0, -1), (3, 2, 0.1), "floor"), ((1, 0, 0), (0.2, 2, 1), "wall X-"), ((0, 1, 0), (3, 3.9, 1), "wall Y+"), ((1, 0.1, 0), (3, 2, 1), "inner"), ((0.6, 0, 0.8), (3, 2, 1), "slanted")]
+    for n, c, want in cases:
+        n = np.array(n, float)
+        assert S.plane_role(n / np.linalg.norm(n), np.array(c, float), low, high, 0.12) == want
+
+
+def test_icp_finds_the_transform(spark):
+    rng = np.random.default_rng(8)
+    walls = [np.column_stack([rng.uniform(0, 2, 500), rng.uniform(0, 2, 500), np.zeros(500)]), np.column_stack([np.zeros(500), rng.uniform(0, 2, 500), rng.uniform(0, 2, 500)]), np.column_stack([rng.uniform(0, 2, 500), np.zeros(500), rng.uniform(0, 2, 500)])]
+    fixed = np.concatenate(walls)
+    a, shift = 0.03, np.array([0.02, -0.03, 0.015])
+    turn = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+    moving = (fixed - shift) @ turn  # turn.T of the shifted points
+    t, share, rmse = S.icp(frame(spark, [(0, moving)]), frame(spark, [(0, fixed)]), 0.15, rounds=12, normal_radius=0.2)
+    assert share > 0.9 and np.abs(t[:3, :3] - turn).max() < 0.005 and np.abs(t[:3, 3] - shift).max() < 0.01
+
+
+def test_a_bank_of_panels_is_cut_at_its_gaps(spark):
+    rng = np.random.default_rng(9)
+    one = lambda a, b: np.column_stack([rng.uniform(a, b, 900), rng.normal(0, 0.02, 900), rng.uniform(0, 2, 900)])
+    p = frame(spark, [(1, np.concatenate([one(0, 0.6), one(0.72, 1.3), one(1.42, 2.0)]))])
+    got = M.panel_columns(p, "inst").join(p.select("point_id", "x"), "point_id").groupBy("column").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(r["n"] for r in got) == [900] * 3
+    assert sorted((round(r["a"], 1), round(r["b"], 1)) for r in got) == [(0.0, 0.6), (0.7, 1.3), (1.4, 2.0)]

@@ -33,9 +33,10 @@ def test_twin(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.SQL) - {"kg03_upsert_diff", "kg04_history"}))
+@pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.SQL)))
 def test_runs(spark, name):
-    assert base.QUERIES[name](spark, SF).columns
+    df = base.QUERIES[name](spark, SF)
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):

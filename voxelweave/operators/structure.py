@@ -76,6 +76,106 @@ def remove_structure(points: DataFrame, dist: float = 0.05, least_share: float =
     return left, planes
 
 
+# Normals above the first are horizontal planes, below the second
+# vertical ones; a repeated floor lies within the third of the room's low end.
+LEVEL, UPRIGHT, FLOOR_BAND = 0.9, 0.2, 0.10
+
+
+def plane_role(normal: np.ndarray, centroid: np.ndarray, low: np.ndarray, high: np.ndarray, edge: float) -> str:
+    """What a plane of a room is: ceiling, floor, wall X+ X- Y+ Y-, inner (a
+    vertical plane away from the room's edge) or slanted."""
+    if abs(normal[2]) > LEVEL:
+        return "ceiling" if centroid[2] > (low[2] + high[2]) / 2 else "floor"
+    if abs(normal[2]) >= UPRIGHT:
+        return "slanted"
+    axis = int(np.argmax(np.abs(normal[:2])))
+    band = (high[axis] - low[axis]) * edge
+    if low[axis] + band <= centroid[axis] <= high[axis] - band:
+        return "inner"
+    return f"wall {'XY'[axis]}{'+' if centroid[axis] > (low[axis] + high[axis]) / 2 else '-'}"
+
+
+def slice_structure(points: DataFrame, dist: float = 0.03, wall_margin: float = 0.02, floor_margin: float = 0.02, wall_margins: dict[str, float] | None = None, most: int = 20, least: int = 150_000, edge: float = 0.12, seed: int = 0, hypotheses: int = 200) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Cuts floor, outer walls and ceiling off a room. The largest plane of what
+    is left decides each round: a ceiling's points go; the first floor and the
+    first wall of each side cut away all that is not ``margin`` inside of them; a
+    second floor near the room's low end goes; every other plane (inner or
+    slanted, a table's top, what leans at a wall) is put aside and returned with
+    the rest. Returns the points and (role, points taken away) of each cut."""
+    ends = points.agg(*(F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in "xyz")).head()
+    if ends["x"] is None:
+        return points, []
+    low, high = (np.array([ends[c][k] for c in "xyz"]) for k in (0, 1))
+    left, aside, cuts = points, None, []
+    for k in range(most):
+        n = left.count()
+        if n < least:
+            break
+        normal, d, inliers = ransac_plane(left, dist, hypotheses, seed + k)
+        if inliers < least:
+            break
+        on = distance_to(normal, d) < dist
+        centre = left.where(on).agg(*(F.avg(c) for c in "xyz")).head()
+        role = plane_role(normal, np.array(centre, float), low, high, edge)
+        first = role not in {r for r, _ in cuts}
+        if role == "ceiling" or role == "floor" and not first and centre[2] < low[2] + FLOOR_BAND:
+            gone = on
+        elif role in ("inner", "slanted") or not first:
+            part = keep(left.where(on))
+            aside = part if aside is None else aside.unionByName(part)
+            left = keep(left.where(~on))
+            continue
+        else:
+            margin = floor_margin if role == "floor" else (wall_margins or {}).get(role[-2:], wall_margin)
+            side = 1.0 if float((low + high) / 2 @ normal) + d >= 0 else -1.0
+            inside = F.col("x") * float(normal[0]) + F.col("y") * float(normal[1]) + F.col("z") * float(normal[2]) + F.lit(float(d))
+            gone = inside * side < margin
+        left = keep(left.where(~gone))
+        cuts.append((role, n - left.count()))
+    return (left if aside is None else left.unionByName(aside)), cuts
+
+
+def icp(moving: DataFrame, fixed: DataFrame, reach: float, start: np.ndarray | None = None, rounds: int = 30, normal_radius: float | None = None) -> tuple[np.ndarray, float, float]:
+    """(4 x 4 transform, share of matched points, root mean square distance) that
+    lays ``moving`` (point_id, x, y, z) onto ``fixed``, from a rough ``start``:
+    point-to-plane steps. Each joins points with the nearest fixed point within
+    reach and adds up the normal equations; 28 sums a step come to the driver."""
+    from ..functions.geometry import rigid
+    from .joins import radius_join
+
+    base = keep(fixed.select("point_id", "x", "y", "z"))
+    flat = keep(base.join(estimate_normals(base, normal_radius or 2 * reach), "point_id"))
+    src = keep(moving.select("point_id", "x", "y", "z"))
+    total, t, share, rmse = max(src.count(), 1), np.eye(4) if start is None else np.array(start, float), 0.0, 0.0
+    for _ in range(rounds):
+        x, y, z = rigid(t.tolist(), F.col("x"), F.col("y"), F.col("z"))
+        now = src.select("point_id", x.alias("x"), y.alias("y"), z.alias("z"))
+        best = radius_join(now, flat, reach).groupBy(F.col("a.point_id").alias("point_id")).agg(F.min_by(F.struct("a.x", "a.y", "a.z", F.col("b.x").alias("qx"), F.col("b.y").alias("qy"), F.col("b.z").alias("qz"), "b.nx", "b.ny", "b.nz", "d2"), F.struct("d2", "b.point_id")).alias("m")).select("m.*")
+        px, py, pz, nx, ny, nz = (F.col(c) for c in ("x", "y", "z", "nx", "ny", "nz"))
+        row = [py * nz - pz * ny, pz * nx - px * nz, px * ny - py * nx, nx, ny, nz]
+        off = (px - F.col("qx")) * nx + (py - F.col("qy")) * ny + (pz - F.col("qz")) * nz
+        sums = [F.sum(row[i] * row[j]) for i in range(6) for j in range(i, 6)] + [F.sum(r * off) for r in row]
+        got = best.agg(F.count(F.lit(1)), F.sum("d2"), *sums).head()
+        if got[0] < 6:
+            break
+        a, at = np.zeros((6, 6)), 2
+        for i in range(6):
+            for j in range(i, 6):
+                a[i, j] = a[j, i] = got[at]
+                at += 1
+        step = np.linalg.lstsq(a, -np.array(got[at:], float), rcond=None)[0]
+        angle = float(np.linalg.norm(step[:3]))
+        k = step[:3] / angle if angle > 1e-15 else np.zeros(3)
+        cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+        move = np.eye(4)
+        move[:3, :3] += np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
+        move[:3, 3] = step[3:]
+        t, share, rmse = move @ t, got[0] / total, float(np.sqrt(got[1] / got[0]))
+        if np.abs(step).max() < 1e-7:
+            break
+    return t, share, rmse
+
+
 def ceiling_cut(points: DataFrame, percentile: float = 0.01, height: float = 2.4) -> DataFrame:
     """Drops what is higher above the low percentile of z than ``height``."""
     low = points.agg(F.percentile("z", F.lit(percentile)).alias("_lo"))

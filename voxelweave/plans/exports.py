@@ -62,3 +62,11 @@ def usda(objects: DataFrame, relations: DataFrame, places: DataFrame, stage: str
 def envelope_rows(df: DataFrame) -> DataFrame:
     """One JSON document a row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("text"))
+
+
+def inspected(objects: DataFrame, names: list[str], keys: tuple[str, ...] = ("id", "name", "type", "status", "confidence")) -> DataFrame:
+    """What a viewer shows of selected objects: name, key, value in the order of
+    the keys; absent values are left out."""
+    rows = F.array(*(F.struct(F.lit(n).alias("nth"), F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for n, k in enumerate(keys)))
+    picked = objects.where(F.col("name").isin(*names)).select(F.col("name").alias("object"), F.explode(rows).alias("r"))
+    return picked.where("r.value is not null").select("object", "r.nth", "r.key", "r.value")

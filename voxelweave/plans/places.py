@@ -216,6 +216,19 @@ def segment_rooms(value: np.ndarray, res: float, door_radius: float = 0.6, min_r
     return out
 
 
+def smoothed(cells: DataFrame, sigma: float = 4.0, reach: int | None = None) -> DataFrame:
+    """cells (i, j, place) with the place that weighs most around each: votes of
+    the cells within reach, by a Gaussian of their distance (ties: the smaller
+    place)."""
+    n = reach or max(1, round(3 * sigma))
+    steps = F.sequence(F.lit(-n), F.lit(n))
+    votes = cells.select("i", "j", "place").withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
+    weight = F.exp(-(F.col("a") * F.col("a") + F.col("b") * F.col("b")) / F.lit(2.0 * sigma * sigma))
+    votes = votes.groupBy((F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j"), "place").agg(F.sum(weight).alias("w"))
+    best = votes.join(cells.select("i", "j"), ["i", "j"], "left_semi").groupBy("i", "j")
+    return best.agg(F.max_by("place", F.struct(F.round("w", 9), -F.col("place"))).alias("place"))
+
+
 def distances(cells: DataFrame, by: str = "map_id", free_above: int = 250) -> DataFrame:
     """cells (map_id, row, col, value) -> map_id, i (col), j (row), cells to the
     nearest cell that is not free. A map is one task."""

@@ -97,6 +97,20 @@ def greedy(name: str, pairs: str, kind: str = "bigint") -> str:
  left join lateral (select p.r, p.cost from {pairs} p where p.l = o.l and not list_contains(t.taken, p.r) order by p.cost, p.r limit 1) b on true)"""
 
 
+def density(name: str, rows: str, eps: float, least: int, axes: str = "xyz", by: str = "") -> str:
+    """Recursive CTEs for density clustering of the CTE ``rows`` (id, x, y, z):
+    ``name`` (id, inst), -1 for noise, clusters numbered by their smallest core, a
+    border point with its smallest core."""
+    d2 = "+".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in axes)
+    same = f"a.{by} = b.{by} and " if by else ""
+    n = name
+    return f"""{n}_g as (select a.id a, b.id b from {rows} a join {rows} b on {same}{d2} <= {eps}e0*{eps}e0), {n}_k as (select a from {n}_g group by a having count(*) >= {least}),
+ {n}_l as (select a, b from {n}_g where a in (select a from {n}_k) and b in (select a from {n}_k)), {n}_w(n, t) as (select a, a from {n}_k union select w.n, l.b from {n}_w w join {n}_l l on l.a = w.t),
+ {n}_c as (select n, min(t) as c from {n}_w group by n), {n}_r as (select c, dense_rank() over (order by c) - 1 as inst from (select distinct c from {n}_c)),
+ {n}_b as (select g.a, arg_min(c.c, c.n) as c from {n}_g g join {n}_c c on c.n = g.b where g.a not in (select a from {n}_k) group by g.a),
+ {n} as (select p.id, cast(coalesce(r.inst, -1) as int) as inst from {rows} p left join (select n, c from {n}_c union all select a, c from {n}_b) x on x.n = p.id left join {n}_r r on r.c = x.c)"""
+
+
 def same_extents(a: str, b: str) -> str:
     return " and ".join(f"abs({a}.{c}-{b}.{c}) <= greatest(0.3e0*greatest({a}.{c}, {b}.{c}), 0.15e0)" for c in "lwh")
 

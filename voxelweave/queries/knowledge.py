@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import joins as J
 from ..plans import graph as K, metrics, objects as O, places as P, questions as Q, relations as R, votes as V
 from .base import RESCAN, query
-from .scene import NEXT, r
+from .scene import NEXT, STACK, r
 
 FUSED = "with bs as (select obj, lower(trim(type)) as l, sum(confidence) as s, min(ord) as f from v_vote where not zoom and azimuth in (0, 90, 180, 270) group by 1, 2), bt as (select obj, l, s/sum(s) over (partition by obj) as share, count(*) over (partition by obj) as kinds, row_number() over (partition by obj order by round(s, 9) desc, f) as k from bs), base as (select obj, l as base_top, share as base_share, kinds = 1 as uni from bt where k = 1), fs as (select obj, lower(trim(type)) as l, sum(confidence) as s, min(ord) as f from v_vote where obj in (select obj from base where not uni) group by 1, 2), ft as (select obj, l, s/sum(s) over (partition by obj) as share, row_number() over (partition by obj order by round(s, 9) desc, f) as k from fs), fused as (select base.obj, coalesce(ft.l, base_top) as type, coalesce(ft.share, base_share) as share, base_top, not uni as escalated, case when uni then 'verified' when round_even(coalesce(ft.share, base_share), 3) < 0.6e0 then 'unverified' else 'verified_escalated' end as status from base left join ft on ft.obj = base.obj and ft.k = 1)"
 FUSE = "with s as (select obj, type, sum(confidence) as s, min(ord) as f, count(*) as n from {0} group by obj, type), k as (select obj, type, s, sum(s) over (partition by obj) as total, count(*) over (partition by obj) as kinds, sum(n) over (partition by obj) as n, row_number() over (partition by obj order by round(s, 9) desc, f) as k from s)"
@@ -117,9 +117,9 @@ def _(v):
     return K.replace_by_id(v("v_object").select("id", "type"), v("v_rescan").where("id % 2 = 0").select("id", F.lit("new").alias("type")))
 
 
-@query("qry01_count", "select type, count(*) as n from v_object group by type having bool_and(quality = 'confirmed') and type not in ('clutter', 'display', 'tv', 'monitor', 'keyboard', 'shelf', 'ladder', 'panel', 'wall panel', 'stair')")
+@query("qry01_count", "select type, count(*) as n from (select type, case when type like 'standard%' then 'confirmed' else quality end as quality from v_object) group by type having bool_and(quality = 'confirmed') and type not in ('clutter', 'display', 'tv', 'monitor', 'keyboard', 'shelf', 'ladder', 'panel', 'wall panel', 'stair')")
 def _(v):
-    return Q.type_counts(v("v_object"))
+    return Q.type_counts(v("v_object").withColumn("quality", F.when(F.col("type").startswith("standard"), "confirmed").otherwise(F.col("quality"))))
 
 
 @query("qry02_existence", "select t.type, exists (select 1 from v_object o where o.type = t.type) as present from (values ('sofa'), ('promo burnished copper'), ('small plated steel')) t(type)")
@@ -174,7 +174,23 @@ def _(v):
     return Q.near_middle(v("v_object"))
 
 
-@query("qry_generate")
+GENERATED = f"""with nx as ({NEXT}), st as ({STACK}), o as (select *, row_number() over (order by ord) - 1 as r, count(*) over () as n from v_object),
+ m as (select * from o where r = cast(floor(n/2) as bigint)),
+ rel as (select a.name as subject, p as predicate, b.name as object from (select subject, 'isNextTo' as p, object from nx union all select subject, predicate, object from st) e join v_object a on a.id = e.subject join v_object b on b.id = e.object),
+ t as (select subject, predicate, string_agg(object, ',' order by object) as objects from rel group by subject, predicate)
+ select 'symbolic' as type, 'yesno' as kind, a as topic, 'no' as gt from (values (0, 'sofa'), (1, 'refrigerator'), (2, 'bicycle'), (3, 'printer')) x(k, a)
+ union all (select 'explicit', 'name', 'tallest', name from v_object order by h desc, ord limit 1) union all (select 'explicit', 'name', 'largest', name from v_object order by l*w desc, ord limit 1)
+ union all select 'explicit', 'number', name, cast(round_even(h, 2) as varchar) from o where r % greatest(1, cast(floor(n/6) as bigint)) = 0 and r < 6*greatest(1, cast(floor(n/6) as bigint))
+ union all select 'explicit', 'xy', name, round_even(x, 2) || ', ' || round_even(y, 2) from o where r >= 1 and (r-1) % greatest(1, cast(floor(n/4) as bigint)) = 0 and r < 1 + 4*greatest(1, cast(floor(n/4) as bigint))
+ union all select 'implicit', 'yesno', name, case when is_movable then 'yes' else 'no' end from (select *, row_number() over (partition by is_movable order by ord) as k from v_object where is_movable is not null) where k <= 4
+ union all select 'implicit', 'set', 'keyObjects', string_agg(name, ',' order by name) from v_object where is_key
+ union all (select 'scene', 'set', subject, objects from t where predicate = 'isNextTo' order by subject limit 4) union all (select 'scene', 'set', subject, objects from t where predicate <> 'isNextTo' order by subject, predicate limit 4)
+ union all select 'scene', 'set', 'middle', coalesce(string_agg(o.name, ',' order by o.name), 'none') from m left join v_object o on o.id <> m.id and sqrt((o.x-m.x)*(o.x-m.x)+(o.y-m.y)*(o.y-m.y)) <= 1.5e0
+ union all select 'trap', 'trap', 'unicorn', g from (values ('no-or-abstain'), ('0-or-abstain')) y(g)"""
+
+
+# no type of the test tables is confirmed throughout, so no count is asked
+@query("qry_generate", GENERATED)
 def _(v):
     names = v("v_object").select("id", "name")
     e = R.relations(v("v_object")).join(names.withColumnsRenamed({"id": "subject", "name": "s"}), "subject").join(names.withColumnsRenamed({"id": "object", "name": "o"}), "object").select(F.col("s").alias("subject"), "predicate", F.col("o").alias("object"))

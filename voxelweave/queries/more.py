@@ -8,7 +8,7 @@ from .. import models
 from ..functions import geometry as G, text as X
 from ..operators import aggregates as A, clustering as C, compound as M, joins as J, structure as S, windows as W
 from ..plans import exports, graph as K, metrics, objects as O, places as P, relations as R
-from .base import RESCAN, greedy, query, same_extents
+from .base import RESCAN, density, query, same_extents
 from .knowledge import _records
 from .scene import NEXT, STACK, r
 
@@ -32,7 +32,7 @@ def _(v):
     return O.message(O.record(v("v_object"), "lab"), "2024-01-01T00:00:00Z").select(F.size("semanticObjects").alias("n"))
 
 
-@query("prj19_depth_grid")
+@query("prj19_depth_grid", "with c as (select inst, avg(x) as ax, avg(y) as ay, avg(z) as az from v_point group by inst), t as (select p.inst, x-ax as x, y-ay as y, z-az as z from v_point p join c on c.inst = p.inst), f as (select inst, greatest(sqrt(max(x*x+y*y+z*z)), 1e-12) as far from t group by inst), u as (select t.inst, x/far as x, y/far as y, z/far as z from t join f on f.inst = t.inst), v(view, a, e) as (values (0, 0e0, 0e0), (1, radians(90e0), 0e0), (2, radians(45e0), radians(30e0))), i as (select inst, view, least(15, greatest(0, floor(((z*cos(e)-(x*cos(a)+y*sin(a))*sin(e))+1)/2*16))) as r, least(15, greatest(0, floor(((y*cos(a)-x*sin(a))+1)/2*16))) as c from u, v) select inst, view, count(distinct r*100+c) as cells from i group by inst, view")
 def _(v):
     t = A.unit_sphere(v("v_point").select("inst", "x", "y", "z"), "inst")
     return A.depth_grid(t, [(0, 0), (90, 0), (45, 30)], 16).groupBy("inst", "view").agg(F.count(F.lit(1)).alias("cells"))
@@ -46,7 +46,19 @@ def _(v):
 
 @query("flt07_ceiling_remnants")
 def _(v):
-    return S.ceiling_remnants(points(v), points(v), min_above_floor=0.1, min_points=5)
+    # every fifth object a strip under a ceiling's edge, the others shelves; a ceiling and a floor
+    o, k = v("v_object").select("id"), F.col("id")
+    across, along = (k * 37 % 101) / 50.0, (k * 13 % 61) / 61.0
+    place = F.floor(k % 10).cast("int")
+    strip = place % 5 == 0
+    p = o.select(
+        k.alias("point_id"), place.alias("inst"), (place * 10 + across).alias("x"), F.when(strip, 1 + along / 1000).otherwise(along).alias("y"),
+        F.when(strip, 2.2 + along * 0.3).otherwise(1.7 + across / 40).alias("z"),
+    )
+    span = o.select(k.alias("point_id"), F.lit(-1).alias("inst"), (place * 10 + across * 1.2 - 0.2).alias("x"), (0.6 + along * 0.8).alias("y"))
+    ceiling, floor = span.where("point_id % 2 = 0").withColumn("z", F.lit(2.6)), span.withColumn("z", (F.col("point_id") * 13 % 61) / 6100.0)
+    t = S.ceiling_remnants(p, p.unionByName(ceiling).unionByName(floor).unionByName(floor), min_points=10)
+    return t.select("inst", "n_points", "ceiling_layer_frac", "above_floor", "ceiling_pts_above")
 
 
 @query("flt08_wall_filter")
@@ -164,7 +176,7 @@ def _(v):
     return v("v_object").orderBy(F.col("l").desc(), F.col("w").desc(), "id").limit(12).select("name")
 
 
-@query("win11_novelty")
+@query("win11_novelty", "with recursive m as (select obj%5 as g, obj as m, max(confidence) as s, list(distinct ord%40) as p from v_vote group by 1, 2), o as (select *, row_number() over (partition by g order by s desc, m) as k from m), w(g, k, seen, m, n_new, ok) as (select distinct g, cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), cast(0 as bigint), false from m union all select o.g, o.k, case when len(list_filter(o.p, lambda x: not list_contains(w.seen, x)))*1e0/len(o.p) >= 0.5e0 then list_concat(w.seen, list_filter(o.p, lambda x: not list_contains(w.seen, x))) else w.seen end, o.m, len(list_filter(o.p, lambda x: not list_contains(w.seen, x))), len(list_filter(o.p, lambda x: not list_contains(w.seen, x)))*1e0/len(o.p) >= 0.5e0 from w join o on o.g = w.g and o.k = w.k + 1) select g, m, n_new from w where ok")
 def _(v):
     t = v("v_vote").select((F.col("obj") % 5).alias("g"), F.col("obj").alias("m"), F.col("confidence").alias("s"), (F.col("ord") % 40).alias("p"))
     return W.greedy_novelty(t, "g", "m", "s", "p", 0.5).select("g", "m", "n_new")
@@ -197,17 +209,22 @@ def _(v):
     return v("v_object").join(v("v_rescan"), "id", "left_anti").select("id")
 
 
-@query("cl02_split")
+@query("cl02_split", f"""with recursive p as (select id, x, y, z from v_object), {density('base', 'p', 1.5, 3)},
+ foot as (select b.inst from base b join p on p.id = b.id where b.inst >= 0 group by b.inst having greatest(max(x)-min(x), max(y)-min(y)) > 2e0), wide as (select p.*, b.inst as base from p join base b on b.id = p.id where b.inst in (select inst from foot)),
+ {density('sub', 'wide', 1.5, 4, 'xyz', 'base')}, good as (select w.base, s.inst as part from sub s join wide w on w.id = s.id where s.inst >= 0 group by 1, 2 having count(*) >= 4), split as (select base from good group by base having count(*) >= 2),
+ final as (select b.id, b.inst, case when b.inst < 0 then null when b.inst in (select base from split) then (select g.part from good g join sub s on s.inst = g.part where s.id = b.id and g.base = b.inst) else 0 end as part from base b),
+ num as (select inst, part, dense_rank() over (order by inst, part) - 1 as n from (select distinct inst, part from final where part is not null))
+ select cast(coalesce(n.n, -1) as int) as inst, count(*) as n from final f left join num n on n.inst = f.inst and n.part = f.part group by 1""")
 def _(v):
     p = v("v_object").select(F.col("id").alias("point_id"), "x", "y", "z")
-    out, n = C.dbscan_split(p, 1.2, 3, 2.0, 0.9, 3)
+    out, n = C.dbscan_split(p, 1.5, 3, 2.0, 1.5, 4)
     return out.groupBy("inst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cl03_by_class", "with recursive p as (select id, id%3 as label, x, y, z from v_object), g as (select a.id a, b.id b from p a join p b on a.label = b.label and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 1.5e0*1.5e0), k as (select a from g group by a having count(*) >= 3), l as (select a, b from g where a in (select a from k) and b in (select a from k)), w(n, t) as (select a, a from k union select w.n, l.b from w join l on l.a = w.t), c as (select n, min(t) as c from w group by n), r as (select c, dense_rank() over (order by c) - 1 as inst from (select distinct c from c)), bo as (select g.a, arg_min(c.c, c.n) as c from g join c on c.n = g.b where g.a not in (select a from k) group by g.a) select p.label, cast(coalesce(r.inst, -1) as int) as inst, count(*) as n from p left join (select n, c from c union all select a, c from bo) x on x.n = p.id left join r on r.c = x.c group by 1, 2")
+@query("cl03_by_class", f"with recursive p as (select id, id%3 as label, x, y, z from v_object), {density('d', 'p', 2.0, 3, 'xyz', 'label')} select p.label, d.inst, count(*) as n from d join p on p.id = d.id group by 1, 2")
 def _(v):
     p = v("v_object").select(F.col("id").alias("point_id"), (F.col("id") % 3).alias("label"), "x", "y", "z")
-    return C.cluster_instances(p, "label", 1.5, 3).groupBy("label", "inst").agg(F.count(F.lit(1)).alias("n"))
+    return C.cluster_instances(p, "label", 2.0, 3).groupBy("label", "inst").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cl08_baseline")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, text as X
 from ..operators import aggregates as A, clustering as C, joins as J, structure as S, windows as W
 from ..plans import exports, metrics, objects as O, places as P, relations as R
-from .base import RADIUS, SAT, anchor, greedy, query
+from .base import RADIUS, SAT, anchor, density, greedy, query
 
 GAP = f"(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) - ({RADIUS.format('a')}+{RADIUS.format('b')}))"
 NEXT = f"""select a.id as subject, b.id as object, round(greatest({GAP}, 0e0), 4) as gap_m from v_object a join v_object b on a.id < b.id
@@ -151,9 +151,10 @@ def _(v):
     return S.in_cells(v("v_object"), v("v_cell"), 0.5, "floor", inside=False).select("id")
 
 
-@query("flt09_diffuse_gate", "with c as (select distinct inst, floor(x/0.1e0) i, floor(y/0.1e0) j from v_point), b as (select inst, count(*) n, (max(i)-min(i)+1)*(max(j)-min(j)+1) k from c group by inst) select inst, round(n/k, 6) as fill from b where n/k < 0.9e0 and k*0.01e0 > 0.5e0")
+@query("flt09_diffuse_gate", "with c as (select distinct inst, floor(x*5e0/0.1e0) i, floor(y*5e0/0.1e0) j from v_point), b as (select inst, count(*) n, (max(i)-min(i)+1)*(max(j)-min(j)+1) k from c group by inst) select inst, round(n/k, 6) as fill from b where n/k < 0.3e0 and k*0.01e0 > 5e0")
 def _(v):
-    return A.fill_ratio(v("v_point"), "inst").where((F.col("fill") < 0.9) & (F.col("area") > 0.5)).select("inst", r("fill").alias("fill"))
+    wide = v("v_point").withColumns({"x": F.col("x") * 5, "y": F.col("y") * 5})
+    return A.fill_ratio(wide, "inst").where((F.col("fill") < 0.3) & (F.col("area") > 5)).select("inst", r("fill").alias("fill"))
 
 
 @query("flt12_gates", "select presence = 'present' as here, status like 'verified%' as sure, count(*) as n from v_object group by 1, 2")
@@ -400,9 +401,7 @@ def _(v):
 
 @query("win16_quantile_cut", "select p.inst, count(*) as n from v_point p join (select inst, quantile_cont(x, 0.6) as cut from v_point group by inst) c on p.inst = c.inst where p.x <= c.cut + 1e-12 group by p.inst")
 def _(v):
-    p = v("v_point")
-    cut = p.groupBy("inst").agg((F.percentile("x", F.lit(0.6)) + 1e-12).alias("c"))
-    return p.join(cut, "inst").where("x <= c").groupBy("inst").agg(F.count(F.lit(1)).alias("n"))
+    return W.quantile_cut(v("v_point"), "inst", "x", 0.4).groupBy("inst").agg(F.count(F.lit(1)).alias("n"))
 
 
 # sets
@@ -441,10 +440,11 @@ def _(v):
     return t.join(low, "comp").select((F.col("i") * 1000 + F.col("j")).alias("k"), F.col("m").alias("comp"))
 
 
-@query("cl01_dbscan", "with recursive p as (select id, x, y, z from v_object), g as (select a.id a, b.id b from p a join p b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.9e0*0.9e0), k as (select a from g group by a having count(*) >= 3), l as (select a, b from g where a in (select a from k) and b in (select a from k)), w(n, t) as (select a, a from k union select w.n, l.b from w join l on l.a = w.t), c as (select n, min(t) as c from w group by n), r as (select c, dense_rank() over (order by c) - 1 as inst from (select distinct c from c)), bo as (select g.a, arg_min(c.c, c.n) as c from g join c on c.n = g.b where g.a not in (select a from k) group by g.a) select p.id as point_id, cast(coalesce(r.inst, -1) as int) as inst from p left join (select n, c from c union all select a, c from bo) x on x.n = p.id left join r on r.c = x.c")
+# at these settings the test tables hold some hundred clusters
+@query("cl01_dbscan", f"with recursive p as (select id, x, y, z from v_object), {density('d', 'p', 1.5, 4)} select id as point_id, inst from d")
 def _(v):
     p = v("v_object").select(F.col("id").alias("point_id"), "x", "y", "z")
-    return C.dbscan(p, 0.9, 3).select("point_id", "inst")
+    return C.dbscan(p, 1.5, 4).select("point_id", "inst")
 
 
 @query("cl05_ransac_plane")
@@ -454,7 +454,7 @@ def _(v):
     return p.sparkSession.createDataFrame([(round(abs(float(n[2])), 4), k)], "normal_z double, inliers long")
 
 
-@query("snk07_cypher")
+@query("snk07_cypher", f"with n as ({NEXT}) select 'MATCH (n) DETACH DELETE n;' as text union all select 'MERGE (n:Object {{id: \"' || id || '\"}}) SET n += {{name: \"' || name || '\", type: \"' || type || '\", mapId: \"lab\", x: ' || x || ', y: ' || y || ', z: ' || z || ', confidence: ' || confidence || ', status: \"' || status || '\", presence: \"' || presence || '\", i_isMovable: true}};' from v_object union all select 'MATCH (a {{id: \"' || subject || '\"}}), (b {{id: \"' || object || '\"}}) MERGE (a)-[:ISNEXTTO]->(b);' from n")
 def _(v):
     o = v("v_object").select(F.col("id").cast("string").alias("id"), "name", "type", F.lit("lab").alias("map_id"), "x", "y", "z", "confidence", "status", "presence", F.lit('{"isMovable":"true"}').alias("implicit"))
     e = R.next_to(v("v_object")).select(F.col("subject").cast("string").alias("subj"), F.col("predicate").alias("pred"), F.col("object").cast("string").alias("obj"))
@@ -469,6 +469,6 @@ def _(v):
     return exports.usda(o, e, o.limit(0).select("name")).select("text")
 
 
-@query("udf5_requests")
+@query("udf5_requests", "with b as (select *, round_even(z-h/2-0e0, 2) as bottom from v_object) select id, '{\"id\":' || id || ',\"type\":\"' || type || '\",\"dimensions\":{\"l\":' || l || ',\"w\":' || w || ',\"h\":' || h || '},\"mounting\":{\"bottom_above_floor_m\":' || bottom || ',\"note\":\"' || case when bottom > 2e0 then 'mounted near the ceiling' when bottom > 0.5e0 then 'elevated above the floor' else 'on or near the floor' end || '\"},\"allowed_types\":[\"chair\",\"table\"]}' as request from b")
 def _(v):
     return O.verification_request(v("v_object"), ["chair", "table"], 0.0)

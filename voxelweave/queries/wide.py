@@ -18,10 +18,10 @@ from ..operators.components import keep
 from ..plans import exports, graph as K, metrics, objects as O, places as P, questions as Q, relations as R, votes as V
 from ..sources import documents as D, points as D3
 from ..streaming import rescans
-from .base import QUERIES, RESCAN, SQL, folder, greedy, query
+from .base import QUERIES, RESCAN, SQL, density, folder, greedy, query, twin, view
 from .knowledge import FUSE, _records
 from .more import BOXES, PLANE
-from .scene import NEXT, r
+from .scene import EDGES, NEXT, _rings, r
 
 
 def session(v):
@@ -433,10 +433,10 @@ def _(v):
 # clustering, rasters
 
 
-@query("cl04_flat_dbscan", "with recursive p as (select id, x, y from v_object), g as (select a.id a, b.id b from p a join p b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 0.7e0*0.7e0), k as (select a from g group by a having count(*) >= 3), l as (select a, b from g where a in (select a from k) and b in (select a from k)), w(n, t) as (select a, a from k union select w.n, l.b from w join l on l.a = w.t), c as (select n, min(t) as c from w group by n), r as (select c, dense_rank() over (order by c) - 1 as inst from (select distinct c from c)), bo as (select g.a, arg_min(c.c, c.n) as c from g join c on c.n = g.b where g.a not in (select a from k) group by g.a) select p.id as point_id, cast(coalesce(r.inst, -1) as int) as inst from p left join (select n, c from c union all select a, c from bo) x on x.n = p.id left join r on r.c = x.c")
+@query("cl04_flat_dbscan", f"with recursive p as (select id, x, y from v_object), {density('d', 'p', 0.7, 2, 'xy')} select id as point_id, inst from d")
 def _(v):
     p = v("v_object").select(F.col("id").alias("point_id"), "x", "y", "z")
-    return C.dbscan(p, 0.7, 3, three_d=False).select("point_id", "inst")
+    return C.dbscan(p, 0.7, 2, three_d=False).select("point_id", "inst")
 
 
 @query("cl11_square_up", f"with b as ({BOXES}) select p.id as point_id, arg_min(b.id, b.id) as unit from v_rescan p join b on p.id % 3 = b.id % 3 and p.x between x0-0.06e0 and x1+0.06e0 and p.y between y0-0.06e0 and y1+0.06e0 and p.z between z0-0.05e0 and z1+0.05e0 group by p.id")
@@ -453,6 +453,27 @@ def _(v):
     return P.distances(free.where("not (row = 39 and col = 59)").unionByName(corner)).select("i", "j", r("dist").alias("dist"))
 
 
+@query("agg38_smoothed", "with w as (select a.range-3 as a, b.range-3 as b from range(7) a, range(7) b), v as (select c.i+w.a as i, c.j+w.b as j, c.place, sum(exp(-(w.a*w.a+w.b*w.b)/(2e0*1.5e0*1.5e0))) as s from v_cell c, w group by 1, 2, 3) select i, j, arg_max(place, round(s, 9)*1000e0 - place*1e-7) as place from v where (i, j) in (select (i, j) from v_cell) group by i, j")
+def _(v):
+    return P.smoothed(v("v_cell"), 1.5, 3)
+
+
+@query("snk16_inspected", "select name as object, n as nth, k as key, val as value from (select name, 0 as n, 'id' as k, cast(id as varchar) as val from v_object union all select name, 1, 'name', name from v_object union all select name, 2, 'type', type from v_object union all select name, 3, 'is_movable', cast(is_movable as varchar) from v_object) where name in ('obj_5', 'obj_6') and val is not null")
+def _(v):
+    return exports.inspected(v("v_object"), ["obj_5", "obj_6"], ("id", "name", "type", "is_movable"))
+
+
+@query("gr08_completed", f"with e(place, ord, px, py, qx, qy) as (values {EDGES}), o as (select i*100+j as id, i+0.5e0 as x, j+0.5e0 as y from v_cell), t as (select o.id, e.*, x, y, greatest(0e0, least(1e0, ((x-px)*(qx-px)+(y-py)*(qy-py))/((qx-px)*(qx-px)+(qy-py)*(qy-py)))) as t from o, e), h as (select id, place, min(ord) as ord, sum(case when (py > y) <> (qy > y) and x < (qx-px)*(y-py)/(qy-py)+px then 1 else 0 end) % 2 = 1 as inside, min(sqrt((px+t*(qx-px)-x)*(px+t*(qx-px)-x)+(py+t*(qy-py)-y)*(py+t*(qy-py)-y))) as d from t group by id, place) select id, coalesce(arg_min(place, ord) filter (where inside), arg_min(place, d)) as place from h group by id")
+def _(v):
+    centres = v("v_cell").select((F.col("i") * 100 + F.col("j")).alias("id"), (F.col("i") + 0.5).alias("x"), (F.col("j") + 0.5).alias("y"))
+    return P.in_or_near_polygons(centres, _rings(v))
+
+
+@query("gr06_ring", "with c as (select i, j from v_cell), a as (select distinct c.i + o.a as i, c.j + p.a as j from c, (values (-1), (0), (1)) o(a), (values (-1), (0), (1)) p(a)) select i, j from a where (i, j) not in (select (i, j) from c)")
+def _(v):
+    return M.ring_of(v("v_cell"))
+
+
 # the graph
 
 
@@ -548,3 +569,28 @@ def str03_resumed(spark: SparkSession, sf_dir: str):
 
 QUERIES["str02_unseen"], SQL["str02_unseen"] = str02_unseen, "select distinct user_id, event_type from events"
 QUERIES["str03_resumed"], SQL["str03_resumed"] = str03_resumed, "select event_type, count(*) as n, count(distinct event_id) as ids from events group by event_type"
+
+
+def str01_rescans(spark: SparkSession, sf_dir: str):
+    """Two scans as a stream: the graph's updates, read back from its folder."""
+    where = folder(spark)
+    one, two = (_records(view(spark, sf_dir, n)).withColumn("ts", F.lit(t)) for n, t in (("v_object", "t1"), ("v_rescan", "t2")))
+    one.unionByName(two).write.parquet(f"{where}/in")
+    scans = spark.readStream.schema(one.schema).parquet(f"{where}/in")
+    for _ in range(2):  # the second start finds nothing new
+        rescans.GraphStream(K.new_graph(spark), folder=f"{where}/graph").start(scans, f"{where}/state", once=True).awaitTermination()
+    return K.load(spark, f"{where}/graph")[0].updates
+
+
+def str04_watched(spark: SparkSession, sf_dir: str):
+    """Files that come into a folder are rebuilt once each."""
+    where = folder(spark)
+    o = view(spark, sf_dir, "v_object").select("id", "type")
+    for part in range(2):
+        o.where(F.col("id") % 2 == part).write.mode("append").json(f"{where}/in")
+        rescans.watch(spark, f"{where}/in", "id long, type string", lambda df: df.write.mode("append").parquet(f"{where}/out"), f"{where}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{where}/out").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["str01_rescans"], SQL["str01_rescans"] = str01_rescans, SQL["kg03_upsert_diff"]
+QUERIES["str04_watched"], SQL["str04_watched"] = str04_watched, twin("select type, count(*) as n from v_object group by type")
