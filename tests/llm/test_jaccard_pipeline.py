@@ -209,7 +209,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path, make):
     words = {"en": "the water house every thing other with from that river stone".split(), "fr": "le maison eau chaque autre dans avec une être rivière pierre".split()}
     rows = [(i, " ".join(rnd.choice(words[l]) for _ in range(rnd.randint(6, 60))), l, ["a", "b", None][i % 3], 1) for i in range(150) for l in [("en", "fr")[i % 2]]]
     rows += [(500 + i, rows[i][1] + (" stone" if i % 2 else ""), rows[i][2], "a", 1) for i in range(30)]
-    rows += [(600, None, "en", "a", 0), (601, "77 88", "en", "b", 1), (602, "write to bob@home.org, " + rows[3][1] + " more of it", "fr", "b", 1), (603, "the water " * 3000, "en", "a", 1)]
+    rows += [(600, None, "en", "a", 0), (601, "77 88", "en", "b", 1), (602, "write to bob@home.org, " + " ".join(rnd.choice(words["fr"]) for _ in range(40)), "fr", "b", 1), (603, "the water " * 3000, "en", "a", 1)]
     make(rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     kept = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
     heads = {d for d, _, c in brute([(r[0], r[1]) for r in kept], 5, 80) if d == c}
