@@ -7,6 +7,8 @@ inequality stays as a residual condition.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import keep
@@ -23,14 +25,37 @@ def _cells(df: DataFrame, x: Column, y: Column, reach: Column, size: float | Col
     return out.withColumn("_cj", F.explode(F.sequence(lo["j"], hi["j"])))
 
 
-def grid_join(left: DataFrame, right: DataFrame, reach_left: Column, reach_right: Column, condition: Column, size: float | Column = 1.0, names: tuple[str, str] = ("a", "b"), how: str = "inner", keys: tuple[str, ...] = ()) -> DataFrame:
+#: So many ids of equal rows stand in one row at most.
+TOGETHER = 512
+
+
+def classes(df: DataFrame, shape: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Rows that are equal in ``shape`` as one: shape, _ids (their ``carry``
+    columns as an array of structs), at most TOGETHER in a row. A join of such
+    rows tests a pair of shapes once, however often it occurs."""
+    w = Window.partitionBy(*shape).orderBy(*carry)
+    t = df.select(*dict.fromkeys([*shape, *carry]), F.floor((F.row_number().over(w) - 1) / TOGETHER).alias("_part"))
+    return t.groupBy(*shape, "_part").agg(F.collect_list(F.struct(*(F.col(c).alias(f"_{c}") for c in carry))).alias("_ids")).drop("_part")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Dealt by the columns into a fixed number of parts: few class rows make many
+    pairs, so that Spark must not put small parts together."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def grid_join(left: DataFrame, right: DataFrame, reach_left: Column, reach_right: Column, condition: Column, size: float | Column = 1.0, names: tuple[str, str] = ("a", "b"), how: str = "inner", keys: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
     """Pairs whose squares of half side ``reach`` around (x, y) meet and for
     which ``condition`` on a.* and b.* holds. A pair that shares many cells is
     made once, in the highest of both lowest cells. ``keys``: columns that must
-    be equal besides (a map, a scan, a level with its own ``size``)."""
+    be equal besides (a map, a scan, a level with its own ``size``). ``dealt``: see
+    spread()."""
     a, b = names
-    x = _cells(left, F.col("x"), F.col("y"), reach_left, size, "a").alias(a)
-    y = _cells(right, F.col("x"), F.col("y"), reach_right, size, "b").alias(b)
+    x = _cells(left, F.col("x"), F.col("y"), reach_left, size, "a")
+    y = _cells(right, F.col("x"), F.col("y"), reach_right, size, "b")
+    if dealt:
+        x, y = spread(x, "_ci", "_cj", *keys), spread(y, "_ci", "_cj", *keys)
+    x, y = x.alias(a), y.alias(b)
     on = (F.col(f"{a}._ci") == F.col(f"{b}._ci")) & (F.col(f"{a}._cj") == F.col(f"{b}._cj"))
     for k in keys:
         on = on & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
@@ -38,6 +63,11 @@ def grid_join(left: DataFrame, right: DataFrame, reach_left: Column, reach_right
     return x.join(y, on & once & condition, how)
 
 
+def expanded(pairs: DataFrame, *columns: str) -> DataFrame:
+    """The rows behind pairs of classes (_aids, _bids): columns, _a, _b."""
+    return pairs.select(*columns, F.explode("_aids").alias("_a"), "_bids").select(*columns, "_a", F.explode("_bids").alias("_b"))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, names: tuple[str, str] = ("a", "b"), three_d: bool = True, condition: Column | None = None) -> DataFrame:
     """Pairs within a radius: cells of the radius' size, the right side once in
     its own cell, the left side in it and the cells around."""
@@ -62,6 +92,15 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, names: tuple[s
     return x.alias(a).join(y.alias(b), on).withColumn("d2", d2)
 
 
+def radius_counts(left: DataFrame, right: DataFrame, radius: float, into: str = "n") -> DataFrame:
+    """Left rows with the number of right rows within a radius, if there are
+    any; places are joined, not rows."""
+    axes = ["x", "y", "z"]
+    near = radius_join(left.select(*axes).distinct(), right.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n")), radius)
+    per = near.groupBy(*(F.col(f"a.{c}").alias(c) for c in axes)).agg(F.sum("b._n").alias(into))
+    return left.join(per, axes)
+
+
 def _box_distance(lo: Column, hi: Column, v: Column) -> tuple[Column, Column]:
     """Least and greatest distance from v to the interval, per axis."""
     return F.greatest(lo - v, v - hi, F.lit(0.0)), F.greatest(F.abs(v - lo), F.abs(v - hi))
