@@ -24,3 +24,9 @@ def test_relation_counts_over_copies(spark):
     n = 600  # more than stand in one class row
     got = dict(R.relations(boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45)], n)).groupBy("predicate").count().collect())
     assert got == {"isNextTo": 2 * n * (n - 1) // 2, "isOn": n * n}
+
+
+def test_radius_counts_of_many_equal_rows(spark):
+    d = boxes(spark, [(0.0, 0.0, 0.0), (0.5, 0.0, 0.0), (9.0, 0.0, 0.0)], 30_000)  # 2.7 thousand million pairs
+    got = J.radius_counts(d, d, 1.0).groupBy("x", "n").count().collect()
+    assert sorted(map(tuple, got)) == [(0.0, 60_000, 30_000), (0.5, 60_000, 30_000), (9.0, 30_000, 30_000)]
