@@ -30,3 +30,28 @@ def test_radius_counts_of_many_equal_rows(spark):
     d = boxes(spark, [(0.0, 0.0, 0.0), (0.5, 0.0, 0.0), (9.0, 0.0, 0.0)], 30_000)  # 2.7 thousand million pairs
     got = J.radius_counts(d, d, 1.0).groupBy("x", "n").count().collect()
     assert sorted(map(tuple, got)) == [(0.0, 60_000, 30_000), (0.5, 60_000, 30_000), (9.0, 30_000, 30_000)]
+
+
+def joined_rows(df):
+    """Rows that the joins of a plan made."""
+    df.write.format("noop").mode("overwrite").save()
+    got, todo = [], [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while todo:
+        p = todo.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            todo.append(p.executedPlan())
+            continue
+        if "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+            continue
+        if "Join" in p.nodeName():
+            got.append(p.metrics().get("numOutputRows").get().value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return got
+
+
+def test_next_to_joins_classes(spark):
+    t = R.next_to(boxes(spark, [(0.0, 0.0, 0.0), (0.4, 0.0, 0.0)], 100))
+    assert t.count() == 200 * 199 // 2 and t.where("subject >= object").isEmpty()
+    assert joined_rows(t) == [4]
