@@ -55,3 +55,9 @@ def test_next_to_joins_classes(spark):
     t = R.next_to(boxes(spark, [(0.0, 0.0, 0.0), (0.4, 0.0, 0.0)], 100))
     assert t.count() == 200 * 199 // 2 and t.where("subject >= object").isEmpty()
     assert joined_rows(t) == [4]
+
+
+def test_stacked_joins_classes(spark):
+    t = R.stacked(boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45), (0.0, 0.1, 2.0)], 50))
+    assert {tuple(r) for r in t.groupBy("predicate").count().collect()} == {("isOn", 2500), ("isAboveOf", 5000)}
+    assert joined_rows(t) == [3]
