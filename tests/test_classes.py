@@ -61,3 +61,9 @@ def test_stacked_joins_classes(spark):
     t = R.stacked(boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45), (0.0, 0.1, 2.0)], 50))
     assert {tuple(r) for r in t.groupBy("predicate").count().collect()} == {("isOn", 2500), ("isAboveOf", 5000)}
     assert joined_rows(t) == [3]
+
+
+def test_facing_joins_classes(spark):
+    t = R.facing(boxes(spark, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0)], 60), 1.2)
+    assert {tuple(r) for r in t.groupBy("predicate").count().collect()} == {("isInFrontOf", 2 * 60 * 59 + 3600), ("isBehindOf", 3600)}
+    assert joined_rows(t) == [4]
