@@ -67,3 +67,9 @@ def test_facing_joins_classes(spark):
     t = R.facing(boxes(spark, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0)], 60), 1.2)
     assert {tuple(r) for r in t.groupBy("predicate").count().collect()} == {("isInFrontOf", 2 * 60 * 59 + 3600), ("isBehindOf", 3600)}
     assert joined_rows(t) == [4]
+
+
+def test_stacked_targets_equal_lists_of_stacked(spark):
+    d = boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45), (0.0, 0.1, 2.0)], 520)
+    want = R.stacked(d).groupBy("subject", "predicate").agg(F.array_sort(F.collect_list("object")).alias("objects"))
+    assert R.stacked_targets(d).exceptAll(want).isEmpty() and R.stacked_targets(d).count() == want.count() == 2 * 520
