@@ -73,3 +73,9 @@ def test_stacked_targets_equal_lists_of_stacked(spark):
     d = boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45), (0.0, 0.1, 2.0)], 520)
     want = R.stacked(d).groupBy("subject", "predicate").agg(F.array_sort(F.collect_list("object")).alias("objects"))
     assert R.stacked_targets(d).exceptAll(want).isEmpty() and R.stacked_targets(d).count() == want.count() == 2 * 520
+
+
+def test_counts_in_equal_boxes(spark):
+    p = spark.createDataFrame([(0.1, 0.1, 0.1)] * 20_000 + [(5.0, 5.0, 5.0)], "x double, y double, z double")
+    b = spark.range(20_000).selectExpr("id", "0d as x0", "1d as x1", "0d as y0", "1d as y1", "0d as z0", "1d as z1")  # 400 million pairs
+    assert [tuple(r) for r in J.inside_counts(p, b, 0.3, 0.3).groupBy("n").count().collect()] == [(20_000, 20_000)]

@@ -257,6 +257,15 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 0.0, size: fl
     return p.join(b.alias("b"), on)
 
 
+def inside_counts(points: DataFrame, boxes: DataFrame, pad: float = 0.0, size: float = 1.0, into: str = "n") -> DataFrame:
+    """Boxes with the number of points that they hold, if any; equal boxes and
+    equal points meet once."""
+    sides = ["x0", "x1", "y0", "y1", "z0", "z1"]
+    p = points.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("_n"))
+    hit = inside_boxes(p, boxes.select(*sides).distinct(), pad, size)
+    return boxes.join(hit.groupBy(*(F.col(f"b.{c}").alias(c) for c in sides)).agg(F.sum("p._n").alias(into)), sides)
+
+
 def renamed(rows: DataFrame, table: DataFrame, name: str, into: str) -> DataFrame:
     """``into``: the table's word (name, into) for each row's name; without one
     the name itself."""
