@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxelweave.operators import joins as J
-from voxelweave.plans import relations as R
+from voxelweave.plans import graph as K, questions as Q, relations as R
 
 BOX = "id long, x double, y double, z double, th double, l double, w double, h double"
 
@@ -79,3 +79,12 @@ def test_counts_in_equal_boxes(spark):
     p = spark.createDataFrame([(0.1, 0.1, 0.1)] * 20_000 + [(5.0, 5.0, 5.0)], "x double, y double, z double")
     b = spark.range(20_000).selectExpr("id", "0d as x0", "1d as x1", "0d as y0", "1d as y1", "0d as z0", "1d as z1")  # 400 million pairs
     assert [tuple(r) for r in J.inside_counts(p, b, 0.3, 0.3).groupBy("n").count().collect()] == [(20_000, 20_000)]
+
+
+def test_resolved_objects_give_the_edges_of_names(spark):
+    d = boxes(spark, [(0.0, 0.0, 0.0), (0.4, 0.0, 0.0)], 3)
+    o = d.withColumns({"name": F.concat(F.lit("n"), (F.col("id") % 5).cast("string")), "ord": F.col("id"), "presence": F.when(F.col("id") == 3, "absent").otherwise("present")})
+    names = R.next_to(o, label="name")
+    want = K.resolve_edges(names, o, 1).select("subj", "obj")
+    got = R.next_to(K.resolved(o, o, "node"), label="node").select("subject", "object")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0

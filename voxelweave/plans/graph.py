@@ -185,9 +185,19 @@ def upsert(graph: Graph, records: DataFrame, timestamp: str, edges: DataFrame |
     return Graph(new_nodes, history, keep(new_edges), keep(graph.updates.unionByName(diff)), rev)
 
 
+def _ids(nodes: DataFrame) -> DataFrame:
+    return last_wins(nodes.where("presence = 'present'").select("name", "id", "ord"), "name", "ord").select("name", "id")
+
+
+def resolved(objects: DataFrame, nodes: DataFrame, into: str) -> DataFrame:
+    """Objects whose name is that of a present node, with its id: relations
+    among them are edges that resolve_edges gives."""
+    return objects.join(_ids(nodes).withColumnRenamed("id", into), "name")
+
+
 def resolve_edges(edges: DataFrame, nodes: DataFrame, revision: int) -> DataFrame:
     """Names -> ids of present nodes; of nodes that share a name the last."""
-    ids = last_wins(nodes.where("presence = 'present'").select("name", "id", "ord"), "name", "ord").select("name", "id")
+    ids = _ids(nodes)
     s, o = ids.select(F.col("name").alias("subject"), F.col("id").alias("subj")), ids.select(F.col("name").alias("object"), F.col("id").alias("obj"))
     return edges.join(s, "subject").join(o, "object").select("subj", F.col("predicate").alias("pred"), "obj", F.lit(revision).alias("revision"))
 
