@@ -88,3 +88,9 @@ def test_resolved_objects_give_the_edges_of_names(spark):
     want = K.resolve_edges(names, o, 1).select("subj", "obj")
     got = R.next_to(K.resolved(o, o, "node"), label="node").select("subject", "object")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+
+
+def test_first_targets(spark):
+    t = R.relations(boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45)], 12))
+    for kinds in (["isNextTo"], ["isOn", "isAboveOf"]):
+        assert Q.first_targets(t, kinds, 4).collect() and sorted(Q.first_targets(t, kinds, 4).collect()) == Q.targets(t, kinds).orderBy("subject", "predicate").limit(4).collect()

@@ -55,6 +55,14 @@ def targets(relations: DataFrame, predicates: list[str]) -> DataFrame:
     return relations.where(F.col("predicate").isin(*predicates)).groupBy("subject", "predicate").agg(F.array_sort(F.collect_list("object")).alias("objects"))
 
 
+def first_targets(relations: DataFrame, predicates: list[str], most: int) -> DataFrame:
+    """The first rows of targets() by subject and predicate. Lists are made for
+    these alone."""
+    rows = relations.where(F.col("predicate").isin(*predicates)).select("subject", "predicate", "object")
+    first = rows.select("subject", "predicate").distinct().orderBy("subject", "predicate").limit(most)
+    return targets(rows.join(F.broadcast(first), ["subject", "predicate"], "left_semi"), predicates)
+
+
 def within(objects: DataFrame, x: float, y: float, radius: float) -> DataFrame:
     return objects.where((F.col("x") - x) ** 2 + (F.col("y") - y) ** 2 <= radius * radius)
 
@@ -92,9 +100,9 @@ def generate(objects: DataFrame, relations: DataFrame, traps: list[str]) -> Data
     out = out.unionAll(q(stride_sample(objects, [F.col("ord")], 4, 4, start=1), "explicit", "xy", F.col("name"), xy))
     out = out.unionAll(q(movable(objects), "implicit", "yesno", F.col("name"), F.col("answer")))
     out = out.unionAll(q(key_names(objects).where(F.size("names") > 0), "implicit", "set", F.lit("keyObjects"), F.array_join("names", ",")))
-    t = targets(relations, ["isNextTo"]).orderBy("subject").limit(4)
+    t = first_targets(relations, ["isNextTo"], 4)
     out = out.unionAll(q(t, "scene", "set", F.col("subject"), F.array_join("objects", ",")))
-    t = targets(relations, ["isOn", "isAboveOf"]).orderBy("subject", "predicate").limit(4)
+    t = first_targets(relations, ["isOn", "isAboveOf"], 4)
     out = out.unionAll(q(t, "scene", "set", F.col("subject"), F.array_join("objects", ",")))
     near = near_middle(objects).agg(F.array_sort(F.collect_list("name")).alias("n")).select(F.when(F.size("n") == 0, "none").otherwise(F.array_join("n", ",")).alias("gt"))
     out = out.unionAll(q(near, "scene", "set", F.lit("middle"), F.col("gt")))
