@@ -279,10 +279,7 @@ def _(v):
 
 @query("qry10_on_top", f"with s as ({STACK}) select subject, string_agg(cast(object as varchar), ',' order by object) as objects from s group by subject, predicate")
 def _(v):
-    from ..plans import questions as Q
-
-    t = Q.targets(R.stacked(v("v_object")), ["isOn", "isAboveOf"])
-    return t.select("subject", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"))
+    return R.stacked_targets(v("v_object"), each=lambda o: F.array_join(o.cast("array<string>"), ",")).select("subject", "objects")
 
 
 @query("agg22_flag_rates", "with c as (select count(*) filter (where status = 'unverified' and quality = 'unknown') as tp, count(*) filter (where status = 'unverified' and quality <> 'unknown') as fp, count(*) filter (where status <> 'unverified' and quality = 'unknown') as fn from v_object) select tp, fp, fn, tp*1e0/greatest(tp+fp, 1) as precision, tp*1e0/greatest(tp+fn, 1) as recall from c")
