@@ -16,3 +16,11 @@ def test_checkpoint_keys_do_not_meet_the_view(spark, tmp_path):
     d = parts(spark, tmp_path, [1, 10, 100_010])
     got = sorted((r["id"], r["status"]) for r in base.QUERIES["src10_checkpoint"](spark, d).collect())
     assert got == [(1, "verified_escalated"), (10, "unverified"), (100_010, "again"), (100_010, "unverified"), (200_010, "again")]
+
+
+def test_every_earlier_record_of_one_content(spark):
+    now = spark.createDataFrame([(1, "a"), (2, "b")], "id long, content string")
+    before = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "content string, ord long, status string")
+    rows = lambda order: sorted(map(tuple, O.carry_over(now, before, "content", order, ["status"]).collect()), key=str)
+    assert rows(None) == [(1, "a", "x", True), (1, "a", "y", True), (2, "b", None, False)]
+    assert rows("ord") == [(1, "a", "y", True), (2, "b", None, False)]

@@ -80,10 +80,14 @@ def candidates(names: DataFrame, order: str, name: str) -> DataFrame:
     return first.where("k <> ''").drop("k")
 
 
-def carry_over(now: DataFrame, before: DataFrame, content: str, order: str, verdicts: list[str]) -> DataFrame:
-    """Verdicts of the last earlier record with the same content hash; the rest
-    have carriedOver = false and are verified anew."""
-    prev = before.groupBy(F.md5(content).alias("_h")).agg(F.max_by(F.struct(*verdicts), order).alias("_v"))
+def carry_over(now: DataFrame, before: DataFrame, content: str, order: str | None, verdicts: list[str]) -> DataFrame:
+    """Verdicts of the last earlier record with the same content hash (without
+    an ``order``: of each such record, in a row of its own); the rest have
+    carriedOver = false and are verified anew."""
+    if order:
+        prev = before.groupBy(F.md5(content).alias("_h")).agg(F.max_by(F.struct(*verdicts), order).alias("_v"))
+    else:
+        prev = before.select(F.md5(content).alias("_h"), F.struct(*verdicts).alias("_v"))
     t = now.withColumn("_h", F.md5(content)).join(prev, "_h", "left")
     return t.select(*[c for c in now.columns if c not in verdicts], *(F.col(f"_v.{v}").alias(v) for v in verdicts), F.col("_v").isNotNull().alias("carriedOver"))
 
