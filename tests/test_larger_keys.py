@@ -24,3 +24,12 @@ def test_every_earlier_record_of_one_content(spark):
     rows = lambda order: sorted(map(tuple, O.carry_over(now, before, "content", order, ["status"]).collect()), key=str)
     assert rows(None) == [(1, "a", "x", True), (1, "a", "y", True), (2, "b", None, False)]
     assert rows("ord") == [(1, "a", "y", True), (2, "b", None, False)]
+
+
+def test_strict_scan_keeps_records_of_one_anchor(spark):
+    o = spark.createDataFrame([(1, "p", 0.01), (2, "q", 0.02)], "ord long, name string, x double")
+    o = o.select("*", *(F.lit(v).alias(c) for c, v in {"y": 0.0, "z": 0.0, "th": 0.0, "l": 0.5, "w": 0.5, "h": 0.5, "type": "t", "color": "red", "confidence": 0.5, "status": "verified", "implicit": "{}", "map_id": "lab"}.items()))
+    e = spark.createDataFrame([("p", "isNextTo", "q")], "subject string, predicate string, object string")
+    g = K.upsert(K.new_graph(spark), o, "t1", e, strict=True)
+    assert g.nodes.count() == 2 and g.edges.count() == 1
+    assert K.upsert(K.new_graph(spark), o, "t1", e).nodes.count() == 1

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import anchor_id
 from ..operators.components import keep
@@ -135,7 +135,8 @@ def upsert(graph: Graph, records: DataFrame, timestamp: str, edges: DataFrame |
     absent. A record that is left over and whose anchor equals that of a node
     revives it, even a present one, unless ``strict``, which gives it a new
     suffixed id. Of left-over records with one anchor the first is inserted and
-    the last one's label stands. ``edges`` (subject, predicate, object by name)
+    the last one's label stands; if ``strict``, the first has the anchor and each
+    other one is a node with a suffixed id. ``edges`` (subject, predicate, object by name)
     replace the old ones; None keeps them; names without a present node drop
     out. name_of nodes is never changed by a match."""
     rev = graph.revision + 1
@@ -153,7 +154,9 @@ def upsert(graph: Graph, records: DataFrame, timestamp: str, edges: DataFrame |
     left = left.withColumn("id", anchor_id(F.col("map_id"), *(F.col(c) for c in ("x", "y", "z", "l", "w", "h"))))
     if strict:
         taken = nodes.where("presence = 'present'").select("id").distinct().withColumn("_t", F.lit(True))
-        left = left.join(taken, "id", "left").withColumn("id", F.when(F.col("_t"), F.concat("id", F.lit(f"-{rev}-"), F.col("ord").cast("string"))).otherwise(F.col("id"))).drop("_t")
+        again = F.row_number().over(Window.partitionBy("id").orderBy("ord")) > 1
+        left = left.withColumn("_again", again).join(taken, "id", "left").withColumn("_t", F.coalesce("_t", F.lit(False)) | F.col("_again")).drop("_again")
+        left = left.withColumn("id", F.when(F.col("_t"), F.concat("id", F.lit(f"-{rev}-"), F.col("ord").cast("string"))).otherwise(F.col("id"))).drop("_t")
     g = left.groupBy("id").agg(F.min_by(F.struct(*left.columns), "ord").alias("first"), F.max_by(F.struct("type", "confidence", "status", "implicit"), "ord").alias("last"), F.count(F.lit(1)).alias("times"))
     g = keep(g)
     relabel = ("type", "confidence", "status", "implicit")
