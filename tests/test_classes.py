@@ -1,9 +1,11 @@
 """Many equal objects: joins work on classes and lose no row."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from voxelweave.operators import joins as J
-from voxelweave.plans import graph as K, questions as Q, relations as R
+from voxelweave.plans import graph as K, metrics, questions as Q, relations as R
 
 BOX = "id long, x double, y double, z double, th double, l double, w double, h double"
 
@@ -94,3 +96,26 @@ def test_first_targets(spark):
     t = R.relations(boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45)], 12))
     for kinds in (["isNextTo"], ["isOn", "isAboveOf"]):
         assert Q.first_targets(t, kinds, 4).collect() and sorted(Q.first_targets(t, kinds, 4).collect()) == Q.targets(t, kinds).orderBy("subject", "predicate").limit(4).collect()
+
+
+def test_greedy_claims_equal_greedy_match(spark):
+    rng = random.Random(5)
+    rows = lambda n, k: [("m" if rng.random() < 0.7 else "o", f"{k}{i:03d}", i * 7 % n, float(rng.randrange(4)), float(rng.randrange(4)), 0.0) for i in range(n)]
+    a = spark.createDataFrame(rows(90, "l"), "g string, l string, ord int, x double, y double, z double")
+    b = spark.createDataFrame(rows(70, "r"), "g string, r string, ord int, x double, y double, z double").drop("ord")
+    near = lambda x, y: J.radius_join(x, y, 2.0, condition=F.col("a.g") == F.col("b.g"))
+    pairs = near(a, b).select("a.g", "a.l", "b.r", "a.ord", "d2")
+    want = J.greedy_match(pairs, "l", "r", "ord", "d2", "g")
+    got = J.greedy_claims(a, b, near, "l", "r", "ord", "d2", "g", ["x", "y", "z"], ["x", "y", "z"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 40
+    twice = b.unionAll(b.withColumn("x", F.col("x") + 1.0))  # one right row at two places
+    want = J.greedy_match(near(a, twice).select("a.g", "a.l", "b.r", "a.ord", "d2"), "l", "r", "ord", "d2", "g")
+    got = J.greedy_claims(a, twice, near, "l", "r", "ord", "d2", "g", ["x", "y", "z"], ["x", "y", "z"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_claims_of_many_equal_rows(spark):
+    m = F.lit("m").alias("map_id")
+    d = boxes(spark, [(0.0, 0.0, 0.0), (0.5, 0.0, 0.0)], 4_000)  # 64 million pairs
+    got = metrics.detection_match(d.select(m, "id", F.col("id").alias("ord"), "x", "y"), d.select(m, "id", "x", "y"), 1.0)
+    assert got.where("gt = det and d2 = 0").count() == got.count() == 8_000

@@ -7,8 +7,10 @@ inequality stays as a residual condition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import groupby
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import keep
@@ -200,6 +202,100 @@ def greedy_match(pairs: DataFrame, left: str, right: str, order: str, cost: str,
     return pairs.select(group, left, right, order, cost).groupBy(group).applyInArrow(claim, schema)
 
 
+def _numbers(column):
+    """Codes of the values in their order, and the values."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    d = column.combine_chunks().dictionary_encode()
+    d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+    at = pc.array_sort_indices(d.dictionary)
+    rank = np.empty(len(at), np.int64)
+    rank[at.to_numpy()] = np.arange(len(at))
+    return rank[d.indices.to_numpy(zero_copy_only=False)] if len(at) else np.empty(0, np.int64), d.dictionary.take(at)
+
+
+def _claimed(pairs, rows):
+    """Claims of one group. pairs: _l, _r (classes), _cost; rows: _class, and of
+    left rows _order and _left, of right rows _right. Returns left values, right
+    values and costs."""
+    import pyarrow.compute as pc
+
+    of_left = pc.is_valid(rows.column("_left"))
+    lefts, rights = rows.filter(of_left), rows.filter(pc.invert(of_left))
+    by = np.lexsort((pairs.column("_cost").to_numpy(), pairs.column("_l").to_numpy()))
+    pl, pr, cost = (pairs.column(c).to_numpy()[by] for c in ("_l", "_r", "_cost"))
+    del by
+    kinds, start = np.unique(pl, return_index=True)
+    head = dict(zip(kinds.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(pl)])))
+    # free right rows of every class, the smallest last
+    code, names = _numbers(rights.column("_right"))
+    klass = rights.column("_class").to_numpy()
+    by = np.lexsort((-code, klass))
+    kinds, start = np.unique(klass[by], return_index=True)
+    free = {k: list(own) for k, own in zip(kinds.tolist(), np.split(code[by], start[1:]))} if len(by) else {}
+    taken = bytearray(len(names))
+
+    def least(k: int) -> int:
+        """The smallest free right row of a class, or -1."""
+        own = free.get(k, ())
+        while own and taken[own[-1]]:
+            own.pop()
+        return own[-1] if own else -1
+
+    who, owners = _numbers(lefts.column("_left"))
+    order, _ = _numbers(lefts.column("_order"))
+    by = np.lexsort((who, order))
+    turns = zip(order[by].tolist(), who[by].tolist(), lefts.column("_class").to_numpy()[by].tolist())
+    done, out = bytearray(len(owners)), ([], [], [])
+    for (_, w), own in groupby(turns, lambda t: t[:2]):
+        best = None
+        for _, _, k in own if not done[w] else ():
+            at, end = head.get(k, (0, 0))
+            while at < end and least(pr[at]) < 0:  # a class that is empty stays so
+                at += 1
+            head[k] = at, end
+            if at < end and (best is None or cost[at] <= best[0]):
+                tied = at
+                while tied < end and cost[tied] == cost[at]:
+                    if (c := least(pr[tied])) >= 0 and (best is None or (cost[at], c) < best):
+                        best = (cost[at], c)
+                    tied += 1
+        if best:
+            done[w] = taken[best[1]] = 1
+            for o, x in zip(out, (w, best[1], best[0])):
+                o.append(x)
+    return owners.take(out[0]) if out[0] else owners.slice(0, 0), names.take(out[1]) if out[1] else names.slice(0, 0), out[2]
+
+
+def greedy_claims(left: DataFrame, right: DataFrame, candidates: Callable[[DataFrame, DataFrame], DataFrame], left_id: str, right_id: str, order: str, cost: str, group: str, left_shape: Sequence[str], right_shape: Sequence[str]) -> DataFrame:
+    """greedy_match of the pairs that ``candidates`` gives, which looks only at
+    the shape columns: it gets the shapes of both sides once each (with group)
+    and returns a.*, b.* and ``cost``. The one task of a group holds pairs of
+    shapes and each row once, not the pairs of rows. Of left rows with equal
+    ``order`` the smaller one claims first."""
+
+    def numbered_shapes(df: DataFrame, shape: Sequence[str]) -> DataFrame:
+        return keep(df.select(group, *shape).distinct().withColumn("_class", F.monotonically_increasing_id()))
+
+    a, b = numbered_shapes(left, left_shape), numbered_shapes(right, right_shape)
+    pairs = candidates(a, b).select(F.col(f"a.{group}").alias(group), F.col("a._class").alias("_l"), F.col("b._class").alias("_r"), F.col(cost).cast("double").alias("_cost"))
+    kinds = dict(left.dtypes) | {f"_r.{c}": k for c, k in right.dtypes}
+    none = lambda kind: F.lit(None).cast(kind)
+    mine = left.join(a, [group, *left_shape]).select(group, "_class", F.col(order).alias("_order"), F.col(left_id).alias("_left"), none(kinds[f"_r.{right_id}"]).alias("_right"))
+    theirs = right.join(b, [group, *right_shape]).select(group, "_class", none(kinds[order]).alias("_order"), none(kinds[left_id]).alias("_left"), F.col(right_id).alias("_right"))
+
+    def claim(key, some, rows):
+        import pyarrow as pa
+
+        schema = pa.schema([(group, rows.schema.field(group).type), (left_id, rows.schema.field("_left").type), (right_id, rows.schema.field("_right").type), (cost, pa.float64())])
+        l, r, c = _claimed(some, rows)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(c), schema.field(0).type), l, r, pa.array(c, pa.float64())], schema=schema)
+
+    schema = f"{group} {kinds[group]}, {left_id} {kinds[left_id]}, {right_id} {kinds[f'_r.{right_id}']}, {cost} double"
+    return pairs.groupBy(group).cogroup(mine.unionAll(theirs).groupBy(group)).applyInArrow(claim, schema)
+
+
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of every key."""
     rest = [c for c in df.columns if c != key]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import anchor_id
 from ..operators.components import keep
-from ..operators.joins import greedy_match, last_wins, radius_join, semi_edges
+from ..operators.joins import greedy_claims, last_wins, radius_join, semi_edges
 from ..sources.points import write_bytes
 
 # Labels that carry no identity.
@@ -99,19 +99,24 @@ def _flat2(a: str, b: str) -> Column:
 
 def match(nodes: DataFrame, records: DataFrame, max_center: float = 0.5, max_move: float = 6.0) -> tuple[DataFrame, DataFrame]:
     """(rec, node) pairs that stayed, and pairs that moved. Records claim nodes
-    in their order; candidates come from grid joins."""
-    live = nodes.where("presence = 'present'")
-    near = radius_join(records, live, max_center, condition=_extents("a", "b") & (F.col("a.map_id") == F.col("b.map_id")))
-    near = near.select(F.col("a.map_id").alias("map_id"), F.col("a.ord").alias("rec"), F.col("b.id").alias("node"), F.col("a.ord").alias("ord"), _flat2("a", "b").alias("cost"))
-    stayed = keep(greedy_match(near, "rec", "node", "ord", "cost", "map_id").select("map_id", "rec", "node"))
-    rest = records.join(stayed.select("map_id", F.col("rec").alias("ord")), ["map_id", "ord"], "left_anti")
-    free = live.join(stayed.select(F.col("node").alias("id")), "id", "left_anti")
-    kind = [F.lower(F.trim("type")).alias("kind")]
-    rest = rest.select("*", *kind).where(~F.col("kind").isin(*GENERIC))
-    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.map_id") == F.col("b.map_id")) & _extents("a", "b")
-    far = radius_join(rest, free.select("*", *kind), max_move, three_d=False, condition=same)
-    far = far.select(F.col("a.map_id").alias("map_id"), F.col("a.ord").alias("rec"), F.col("b.id").alias("node"), F.col("a.ord").alias("ord"), F.col("d2").alias("cost"))
-    moved = keep(greedy_match(far, "rec", "node", "ord", "cost", "map_id").select("map_id", "rec", "node"))
+    in their order; candidates come from grid joins of places and extents."""
+    live, shape = nodes.where("presence = 'present'").withColumnRenamed("id", "node"), ["x", "y", "z", "l", "w", "h"]
+    records = records.withColumn("rec", F.col("ord"))
+    here = F.col("a.map_id") == F.col("b.map_id")
+
+    def near(a: DataFrame, b: DataFrame) -> DataFrame:
+        return radius_join(a, b, max_center, condition=_extents("a", "b") & here).withColumn("cost", _flat2("a", "b"))
+
+    stayed = keep(greedy_claims(records, live, near, "rec", "node", "ord", "cost", "map_id", shape, shape).select("map_id", "rec", "node"))
+    kind = F.lower(F.trim("type")).alias("kind")
+    rest = records.join(stayed.select("map_id", "rec"), ["map_id", "rec"], "left_anti").select("*", kind).where(~F.col("kind").isin(*GENERIC))
+    free = live.join(stayed.select("node"), "node", "left_anti").select("*", kind)
+
+    def far(a: DataFrame, b: DataFrame) -> DataFrame:
+        return radius_join(a, b, max_move, three_d=False, condition=(F.col("a.kind") == F.col("b.kind")) & here & _extents("a", "b"))
+
+    shape = ["x", "y", "l", "w", "h", "kind"]
+    moved = keep(greedy_claims(rest, free, far, "rec", "node", "ord", "d2", "map_id", shape, shape).select("map_id", "rec", "node"))
     return stayed, moved
 
 

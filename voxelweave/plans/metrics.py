@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.joins import greedy_match, radius_join
+from ..operators.joins import greedy_claims, radius_join
 
 
 def confusion(df: DataFrame, truth: str, pred: str, classes: int, ignore: int = -1) -> DataFrame:
@@ -47,9 +47,8 @@ def outcomes(points: DataFrame, cluster: str, truth: str, min_points: int) -> Da
 def detection_match(truth: DataFrame, found: DataFrame, dist: float) -> DataFrame:
     """Greedy one-to-one matches in the order of the truth (map_id, id, ord, x,
     y): strictly nearer than dist, nearest first."""
-    near = radius_join(truth, found, dist, three_d=False).where(F.col("d2") < dist * dist)
-    pairs = near.select(F.col("a.map_id").alias("map_id"), F.col("a.id").alias("gt"), F.col("b.id").alias("det"), F.col("a.ord").alias("ord"), "d2")
-    return greedy_match(pairs, "gt", "det", "ord", "d2", "map_id")
+    near = lambda a, b: radius_join(a, b, dist, three_d=False, condition=F.col("a.map_id") == F.col("b.map_id")).where(F.col("d2") < dist * dist)
+    return greedy_claims(truth.withColumnRenamed("id", "gt"), found.withColumnRenamed("id", "det"), near, "gt", "det", "ord", "d2", "map_id", ["x", "y"], ["x", "y"])
 
 
 def flags(df: DataFrame, flagged: Column, truth: Column) -> DataFrame:
