@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from voxelweave.functions import text as X
 from voxelweave.operators import joins as J
-from voxelweave.plans import graph as K, metrics, questions as Q, relations as R
+from voxelweave.plans import exports, graph as K, metrics, questions as Q, relations as R
 
 BOX = "id long, x double, y double, z double, th double, l double, w double, h double"
 
@@ -119,3 +120,22 @@ def test_claims_of_many_equal_rows(spark):
     d = boxes(spark, [(0.0, 0.0, 0.0), (0.5, 0.0, 0.0)], 4_000)  # 64 million pairs
     got = metrics.detection_match(d.select(m, "id", F.col("id").alias("ord"), "x", "y"), d.select(m, "id", "x", "y"), 1.0)
     assert got.where("gt = det and d2 = 0").count() == got.count() == 8_000
+
+
+def test_prims_by_class_equal_prims_by_edge(spark):
+    o = boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45), (0.0, 0.1, 2.0), (9.0, 9.0, 0.0)], 20)
+    o = o.select(F.col("id").cast("string").alias("id"), F.concat(F.lit("obj "), F.col("id").cast("string")).alias("name"), F.lit("t").alias("type"), F.lit("s").alias("status"), *"xyz", "th", "l", "w", "h")
+    want = exports.usda(o, R.stacked(o, label="name"), o.limit(0).select("name")).select("text")
+    got = exports.usda_prims(R.with_stacked_text(o.withColumn("prim", X.identifier(F.col("name"))), "prim", exports.object_line, "rels")).select("text")
+    texts = lambda t: [r[0] for r in t.collect()]
+    assert sorted(texts(got)) == sorted(texts(want)) and got.count() == 82
+    assert texts(got)[0].startswith("#usda") and texts(got)[-1] == "}"
+
+
+def test_cypher_without_a_sort_keeps_its_parts_in_order(spark):
+    n = spark.createDataFrame([(str(i), "n", "t", "m", 0.0, 0.0, 0.0, 0.5, "s", "present", "{}") for i in range(50)], "id string, name string, type string, map_id string, x double, y double, z double, confidence double, status string, presence string, implicit string")
+    e = n.select(F.col("id").alias("subj"), F.lit("isOn").alias("pred"), F.col("id").alias("obj")).repartition(3)
+    t = exports.cypher(n, e, ordered=False)
+    assert "Exchange rangepartitioning" not in t._jdf.queryExecution().toString()
+    texts = [r["text"] for r in t.collect()]
+    assert [x[:5] for x in texts] == ["MATCH"] + ["MERGE"] * 50 + ["MATCH"] * 50 and "DETACH" in texts[0]

@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import identifier, quote
 
 
-def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cypher(nodes: DataFrame, edges: DataFrame, ordered: bool = True) -> DataFrame:
     """MERGE statements: nodes with their non-null properties (implicit flags
-    with i_ before), then edges with upper-case types."""
+    with i_ before), then edges with upper-case types. Not ``ordered``: nodes
+    and edges stand in any order among themselves, which spares a sort of all
+    edges; the parts follow each other all the same."""
     props = F.array(
         F.concat(F.lit("name: "), quote(F.col("name"))), F.concat(F.lit("type: "), quote(F.col("type"))), F.concat(F.lit("mapId: "), quote(F.col("map_id"))),
         *(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("x", "y", "z", "confidence")), F.concat(F.lit("status: "), quote(F.col("status"))), F.concat(F.lit("presence: "), quote(F.col("presence"))),
@@ -19,7 +21,8 @@ def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.struct(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c")).alias("ord"), F.concat(F.lit("MERGE (n:Object {id: "), quote(F.col("id")), F.lit("}) SET n += {"), body, F.lit("};")).alias("text"))
     e = edges.select(F.struct(F.lit(2).alias("part"), F.col("subj").alias("a"), F.col("pred").alias("b"), F.col("obj").alias("c")).alias("ord"), F.concat(F.lit("MATCH (a {id: "), quote(F.col("subj")), F.lit("}), (b {id: "), quote(F.col("obj")), F.lit("}) MERGE (a)-[:"), F.upper("pred"), F.lit("]->(b);")).alias("text"))
     head = nodes.sparkSession.range(1).select(F.struct(F.lit(0).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c")).alias("ord"), F.lit("MATCH (n) DETACH DELETE n;").alias("text"))
-    return head.unionAll(n).unionAll(e).orderBy("ord")
+    t = head.unionAll(n).unionAll(e)
+    return t.orderBy("ord") if ordered else t
 
 
 def place_cypher(inside: DataFrame, connected: DataFrame) -> DataFrame:
@@ -42,21 +45,37 @@ def _vec(*cs: Column) -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", *(F.bround(c, 6).cast("string") for c in cs)), F.lit(")"))
 
 
+def relation_line(predicate: Column, paths: Column, folder: str = "") -> Column:
+    """A relation of a prim to scene paths (in a folder), of which there are some."""
+    listed = F.concat(F.lit(f"<{folder}"), F.array_join(paths, f">, <{folder}"), F.lit(">"))
+    return F.concat(F.lit("        rel "), identifier(predicate), F.lit(" = ["), listed, F.lit("]"))
+
+
+def object_line(predicate: Column, prims: Column) -> Column:
+    """relation_line to objects by their sorted identifiers."""
+    return relation_line(predicate, prims, "/World/Objects/")
+
+
 def usda(objects: DataFrame, relations: DataFrame, places: DataFrame, stage: str = "World") -> DataFrame:
     """A USD scene: one prim an object, with its box, record and relations."""
     rel = relation_targets(relations, objects, places)
-    lines = rel.select(F.col("subject").alias("name"), F.concat(F.lit("        rel "), identifier(F.col("predicate")), F.lit(" = ["), F.array_join(F.transform("paths", lambda p: F.concat(F.lit("<"), p, F.lit(">"))), ", "), F.lit("]")).alias("line"))
-    per = lines.groupBy("name").agg(F.array_sort(F.collect_list("line")).alias("rels"))
-    o = objects.join(per, "name", "left")
+    lines = rel.select(F.col("subject").alias("name"), relation_line(F.col("predicate"), F.col("paths")).alias("line"))
+    per = lines.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("rels"))
+    return usda_prims(objects.join(per, "name", "left"), stage).orderBy("ord")
+
+
+def usda_prims(o: DataFrame, stage: str = "World") -> DataFrame:
+    """usda() of objects that have the lines of their relations (rels); prims
+    stand in any order between head and tail, which spares a sort of all text."""
     data = F.concat(F.lit("        customData = {\n            string id = "), quote(F.col("id")), F.lit("\n            string type = "), quote(F.col("type")), F.lit("\n            string status = "), quote(F.col("status")), F.lit("\n        }"))
     body = F.concat_ws(
         "\n", F.concat(F.lit('    def Cube "'), identifier(F.col("name")), F.lit('" (')), data, F.lit("    ) {"),
         F.concat(F.lit("        double3 xformOp:translate = "), _vec(F.col("x"), F.col("y"), F.col("z"))), F.concat(F.lit("        double xformOp:rotateZ = "), F.bround(F.degrees("th"), 6).cast("string")),
-        F.concat(F.lit("        double3 xformOp:scale = "), _vec(F.col("l") / 2, F.col("w") / 2, F.col("h") / 2)), F.array_join(F.coalesce("rels", F.array().cast("array<string>")), "\n"), F.lit("    }"),
+        F.concat(F.lit("        double3 xformOp:scale = "), _vec(F.col("l") / 2, F.col("w") / 2, F.col("h") / 2)), F.coalesce("rels", F.lit("")), F.lit("    }"),
     )
-    head = objects.sparkSession.range(1).select(F.lit("").alias("ord"), F.lit(f'#usda 1.0\n(\n    defaultPrim = "{stage}"\n    upAxis = "Z"\n    metersPerUnit = 1\n)\ndef Xform "{stage}" {{').alias("text"))
-    tail = objects.sparkSession.range(1).select(F.lit("￿").alias("ord"), F.lit("}").alias("text"))
-    return head.unionAll(o.select(F.col("name").alias("ord"), body.alias("text"))).unionAll(tail).orderBy("ord")
+    head = o.sparkSession.range(1).select(F.lit("").alias("ord"), F.lit(f'#usda 1.0\n(\n    defaultPrim = "{stage}"\n    upAxis = "Z"\n    metersPerUnit = 1\n)\ndef Xform "{stage}" {{').alias("text"))
+    tail = o.sparkSession.range(1).select(F.lit("￿").alias("ord"), F.lit("}").alias("text"))
+    return head.unionAll(o.select(F.col("name").alias("ord"), body.alias("text"))).unionAll(tail)
 
 
 def envelope_rows(df: DataFrame) -> DataFrame:
