@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from voxelweave.functions import text as X
-from voxelweave.operators import joins as J
+from voxelweave.operators import joins as J, structure as S
 from voxelweave.plans import exports, graph as K, metrics, questions as Q, relations as R
 
 BOX = "id long, x double, y double, z double, th double, l double, w double, h double"
@@ -139,3 +139,17 @@ def test_cypher_without_a_sort_keeps_its_parts_in_order(spark):
     assert "Exchange rangepartitioning" not in t._jdf.queryExecution().toString()
     texts = [r["text"] for r in t.collect()]
     assert [x[:5] for x in texts] == ["MATCH"] + ["MERGE"] * 50 + ["MATCH"] * 50 and "DETACH" in texts[0]
+
+
+def test_neighbours_by_place_equal_neighbours(spark):
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, *(float(rng.randrange(4)) for _ in "xyz")) for i in range(300)], "id long, x double, y double, z double")
+    o = d.withColumnRenamed("id", "other")
+    want, got = J.knn_join(d, o, 5, "id", "other", 1.0), J.knn_by_place(d, o, 5, "id", "other", 1.0)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_normals_of_many_points_of_one_place(spark):
+    places = [(float(i), float(j), 0.0) for i in range(4) for j in range(4)]
+    t = S.estimate_normals(boxes(spark, places, 1_000).withColumnRenamed("id", "point_id"), 1.5)  # 100 million pairs
+    assert t.count() == 16_000 and t.where(F.abs("nz") < 0.999999).isEmpty()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .clustering import dbscan, neighbours
 from .components import keep
-from .joins import knn_join
+from .joins import knn_by_place
 
 
 def pole_cells(points: DataFrame, by: str, floor_z: float, size: float = 0.15, span: float = 1.3, ground: float = 0.35) -> DataFrame:
@@ -153,7 +153,7 @@ def superpoints(points: DataFrame, normals: DataFrame, k: int = 16, threshold: f
     heavier than what both hold inside; small segments join a neighbour. The
     graph comes from a distributed neighbour join; merging is sequential."""
     p = points.select("scan_id", "point_id", "x", "y", "z")
-    near = knn_join(p, p.select(F.col("point_id").alias("other"), "x", "y", "z"), k + 1, "point_id", "other", size).where("point_id <> other")
+    near = knn_by_place(p, p.select(F.col("point_id").alias("other"), "x", "y", "z"), k + 1, "point_id", "other", size).where("point_id <> other")
     n = normals.select("point_id", "nx", "ny", "nz")
     e = near.join(n, "point_id").join(n.select(F.col("point_id").alias("other"), F.col("nx").alias("mx"), F.col("ny").alias("my"), F.col("nz").alias("mz")), "other")
     e = e.join(p.select("point_id", "scan_id"), "point_id")

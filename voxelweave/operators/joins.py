@@ -168,6 +168,18 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
     return found.unionByName(rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
+def knn_by_place(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, size: float) -> DataFrame:
+    """knn_join where many rows share a place: left rows of one place have the
+    same neighbours, and of the right rows of one place only the k smallest can
+    be among them."""
+    axes = ["x", "y", "z"]
+    places = keep(left.select(*axes).distinct().withColumn("_place", F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy(*axes).orderBy(right_id))
+    some = right.select(right_id, *axes).withColumn("_k", first).where(F.col("_k") <= k).drop("_k")
+    near = knn_join(places, keep(some), k, "_place", right_id, size)
+    return left.select(left_id, *axes).join(places, axes).join(near, "_place").select(left_id, right_id, "d2", "rank")
+
+
 def nearest_cell(left: DataFrame, cells: DataFrame, left_id: str, take: str) -> DataFrame:
     """For each left row (i, j) the nearest cell by squared index distance
     (ties: smallest i, then j): left_id, ``take`` of the cell."""

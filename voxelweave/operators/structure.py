@@ -308,11 +308,18 @@ def baseline_segments(points: DataFrame, normals: DataFrame, floor_band: float =
 
 
 def estimate_normals(points: DataFrame, radius: float = 0.15) -> DataFrame:
-    """point_id, nx, ny, nz from the moments of the neighbours within a radius."""
+    """point_id, nx, ny, nz from the moments of the neighbours within a radius.
+    Points of one place count together on either side."""
+    from .components import keep
     from .joins import radius_join
 
     p = points.select("point_id", "x", "y", "z")
-    near = radius_join(p, p, radius).select(F.col("a.point_id").alias("point_id"), *(F.col(f"b.{c}").alias(c) for c in "xyz"))
+    places = keep(p.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", F.monotonically_increasing_id()))
+    # from the place itself, so that products stay small
+    near = radius_join(places, places, radius).select(F.col("a._place").alias("_place"), F.col("b._n").cast("double").alias("n"), *((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in "xyz"))
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    sums = near.groupBy("_place").agg(*((mean(F.col(a) * F.col(b)) - mean(F.col(a)) * mean(F.col(b))).alias(f"c{a}{b}") for a, b in pairs))
 
     def solve(batches):
         import pyarrow as pa
@@ -323,6 +330,7 @@ def estimate_normals(points: DataFrame, radius: float = 0.15) -> DataFrame:
             for name, i, j in (("cxx", 0, 0), ("cxy", 0, 1), ("cxz", 0, 2), ("cyy", 1, 1), ("cyz", 1, 2), ("czz", 2, 2)):
                 c[:, i, j] = c[:, j, i] = np.nan_to_num(np.array(d[name], float))
             n = np.linalg.eigh(c)[1][:, :, 0]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k], pa.float64()) for k in range(3))], ["point_id", "nx", "ny", "nz"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k], pa.float64()) for k in range(3))], ["_place", "nx", "ny", "nz"])
 
-    return moments(near, "point_id").mapInArrow(solve, "point_id long, nx double, ny double, nz double")
+    normals = sums.mapInArrow(solve, "_place long, nx double, ny double, nz double")
+    return p.join(places.drop("_n"), ["x", "y", "z"]).join(normals, "_place").select("point_id", "nx", "ny", "nz")
