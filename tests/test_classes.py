@@ -153,3 +153,11 @@ def test_normals_of_many_points_of_one_place(spark):
     places = [(float(i), float(j), 0.0) for i in range(4) for j in range(4)]
     t = S.estimate_normals(boxes(spark, places, 1_000).withColumnRenamed("id", "point_id"), 1.5)  # 100 million pairs
     assert t.count() == 16_000 and t.where(F.abs("nz") < 0.999999).isEmpty()
+
+
+def test_edges_among_nodes_are_pairs_of_nodes(spark):
+    d = boxes(spark, [(0.0, 0.0, 0.0), (0.4, 0.0, 0.0)], 6)
+    nodes = d.where("id % 3 <> 0")
+    want = J.semi_edges(R.next_to(d), nodes, "subject", "object").select("subject", "object")
+    got = R.next_to(d.join(nodes.select("id"), "id", "left_semi")).select("subject", "object")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 28
