@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelweave.functions import text as X
 from voxelweave.operators import joins as J, structure as S
 from voxelweave.plans import exports, graph as K, metrics, questions as Q, relations as R
-from voxelweave.queries import scene  # noqa: F401  (registers)
+from voxelweave.queries import knowledge, scene  # noqa: F401  (register)
 from voxelweave.queries.base import QUERIES
 
 from .conftest import SF
@@ -203,3 +203,14 @@ def test_lists_of_targets_are_not_joined_to_rows(spark):
     t = R.stacked_targets(d)
     assert len(joined_rows(t)) == 1  # of footprints
     assert t.select("subject", F.explode("objects")).count() == R.stacked(d).count() == 3 * 520 * 520
+
+
+def test_counts_by_classes_equal_rows_of_next_to(spark):
+    d = boxes(spark, [(0.0, 0.0, 0.0), (0.4, 0.0, 0.0), (0.8, 0.0, 0.1), (9.0, 9.0, 0.0)], 520)  # two rows a class
+    again = d.where("id % 97 = 0").withColumn("x", F.col("x") + F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.0))  # ids twice, in one class or two
+    for t in (d, d.unionAll(again).unionAll(d.limit(3).withColumn("id", F.lit(None).cast("long")))):
+        assert R.next_to_counts(t).agg(F.sum("n")).head()[0] == R.next_to(t).count() > 10**6
+
+
+def test_kg10_counts_by_classes(spark):
+    assert "Generate explode(_bids" not in QUERIES["kg10_unified"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -31,13 +31,15 @@ def _cells(df: DataFrame, x: Column, y: Column, reach: Column, size: float | Col
 TOGETHER = 512
 
 
-def classes(df: DataFrame, shape: Sequence[str], carry: Sequence[str]) -> DataFrame:
+def classes(df: DataFrame, shape: Sequence[str], carry: Sequence[str], numbered: bool = False) -> DataFrame:
     """Rows that are equal in ``shape`` as one: shape, _ids (their ``carry``
-    columns as an array of structs), at most TOGETHER in a row. A join of such
-    rows tests a pair of shapes once, however often it occurs."""
+    columns as an array of structs), at most TOGETHER in a row; ``numbered``: and
+    _part, the row's number within the shape. A join of such rows tests a pair of
+    shapes once, however often it occurs."""
     w = Window.partitionBy(*shape).orderBy(*carry)
     t = df.select(*dict.fromkeys([*shape, *carry]), F.floor((F.row_number().over(w) - 1) / TOGETHER).alias("_part"))
-    return t.groupBy(*shape, "_part").agg(F.collect_list(F.struct(*(F.col(c).alias(f"_{c}") for c in carry))).alias("_ids")).drop("_part")
+    t = t.groupBy(*shape, "_part").agg(F.collect_list(F.struct(*(F.col(c).alias(f"_{c}") for c in carry))).alias("_ids"))
+    return t if numbered else t.drop("_part")
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:

@@ -285,8 +285,11 @@ def replace_by_id(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def unified(objects: DataFrame, relations: DataFrame, places: DataFrame, inside: DataFrame, connected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One node table and one edge table of objects and places."""
+def unified(objects: DataFrame, relations: DataFrame, places: DataFrame, inside: DataFrame, connected: DataFrame, times: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One node table and one edge table of objects and places. ``times``: a
+    column of relations that says how many edges a row stands for; it is kept."""
     nodes = objects.select("id", "name", "type", F.lit("object").alias("layer")).unionByName(places.select("id", "name", "type", F.lit("place").alias("layer")))
-    edges = relations.select("subject", "predicate", "object").unionByName(inside.select(F.col("id").alias("subject"), F.lit("isInsideOf").alias("predicate"), F.col("place").alias("object"))).unionByName(connected.select("subject", F.lit("isConnectedTo").alias("predicate"), "object"))
-    return nodes, edges
+    many, one = ([], []) if times is None else ([times], [F.lit(1).cast("long").alias(times)])
+    inside = inside.select(F.col("id").alias("subject"), F.lit("isInsideOf").alias("predicate"), F.col("place").alias("object"), *one)
+    connected = connected.select("subject", F.lit("isConnectedTo").alias("predicate"), "object", *one)
+    return nodes, relations.select("subject", "predicate", "object", *many).unionByName(inside).unionByName(connected)
