@@ -39,6 +39,12 @@ def test_radius_counts_of_many_equal_rows(spark):
     assert sorted(map(tuple, got)) == [(0.0, 60_000, 30_000), (0.5, 60_000, 30_000), (9.0, 30_000, 30_000)]
 
 
+def test_radius_counts_broadcast_neither_rows_nor_places(spark):
+    # the tables are far below the size that Spark broadcasts at
+    t = QUERIES["jn09_radius"](spark, SF)
+    assert t.count() == 200 and "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
+
+
 def joined_rows(df):
     """Rows that the joins of a plan made."""
     df.write.format("noop").mode("overwrite").save()

@@ -98,11 +98,13 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, names: tuple[s
 
 def radius_counts(left: DataFrame, right: DataFrame, radius: float, into: str = "n") -> DataFrame:
     """Left rows with the number of right rows within a radius, if there are
-    any; places are joined, not rows."""
+    any; places are joined, not rows. Neither join broadcasts: by a file's size,
+    which is what Spark goes by, a million rows or 27 cells a place look small."""
     axes = ["x", "y", "z"]
-    near = radius_join(left.select(*axes).distinct(), right.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n")), radius)
+    places = right.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n"))
+    near = radius_join(left.select(*axes).distinct(), places.hint("merge"), radius)
     per = near.groupBy(*(F.col(f"a.{c}").alias(c) for c in axes)).agg(F.sum("b._n").alias(into))
-    return left.join(per, axes)
+    return left.join(per.hint("shuffle_hash"), axes)
 
 
 def _box_distance(lo: Column, hi: Column, v: Column) -> tuple[Column, Column]:
