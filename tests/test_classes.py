@@ -82,6 +82,20 @@ def test_facing_joins_classes(spark):
     assert joined_rows(t) == [4]
 
 
+def test_facing_makes_rows_of_plain_ids_in_small_parts(spark):
+    d = boxes(spark, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0)], 2 * J.FEW + 3)
+    d = d.withColumn("th", F.when(F.col("id") % 5 == 0, 1.2).otherwise(F.col("th")))
+    d = d.unionAll(d.limit(2).withColumn("id", F.lit(None).cast("long")))
+    t = R.facing(d, 1.2)
+    turn = "pmod(degrees(atan2(a.y - b.y, a.x - b.x) - b.th) + 180d, 360d) - 180d"
+    want = d.alias("a").join(d.alias("b"), F.expr(f"a.id <> b.id and (abs({turn}) <= 45 or abs({turn}) >= 135)"))
+    want = want.selectExpr("a.id", f"if(abs({turn}) <= 45, 'isInFrontOf', 'isBehindOf')", "b.id")
+    got = t.select("subject", "predicate", "object")
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 40_000
+    assert not any(got.schema[c].nullable for c in ("subject", "object"))
+    assert J.classes(d, ["x", "y"], "id", most=J.FEW).select(F.max(F.size("_ids"))).head()[0] == J.FEW
+
+
 def test_stacked_targets_equal_lists_of_stacked(spark):
     d = boxes(spark, [(0.0, 0.0, 0.0), (0.1, 0.0, 0.45), (0.0, 0.1, 2.0)], 520)
     want = R.stacked(d).groupBy("subject", "predicate").agg(F.array_sort(F.collect_list("object")).alias("objects"))

@@ -31,14 +31,23 @@ def _cells(df: DataFrame, x: Column, y: Column, reach: Column, size: float | Col
 TOGETHER = 512
 
 
-def classes(df: DataFrame, shape: Sequence[str], carry: Sequence[str], numbered: bool = False) -> DataFrame:
+#: And so many where pairs of rows are made of pairs of classes: Spark holds all rows
+#: that one pair makes at a time, 4,096 of them and not 262,144.
+FEW = 64
+
+
+def classes(df: DataFrame, shape: Sequence[str], carry: Sequence[str] | str, numbered: bool = False, most: int = TOGETHER) -> DataFrame:
     """Rows that are equal in ``shape`` as one: shape, _ids (their ``carry``
-    columns as an array of structs), at most TOGETHER in a row; ``numbered``: and
-    _part, the row's number within the shape. A join of such rows tests a pair of
-    shapes once, however often it occurs."""
-    w = Window.partitionBy(*shape).orderBy(*carry)
-    t = df.select(*dict.fromkeys([*shape, *carry]), F.floor((F.row_number().over(w) - 1) / TOGETHER).alias("_part"))
-    t = t.groupBy(*shape, "_part").agg(F.collect_list(F.struct(*(F.col(c).alias(f"_{c}") for c in carry))).alias("_ids"))
+    columns as an array of structs; of a single name the values, without nulls), at
+    most ``most`` in a row; ``numbered``: and _part, the row's number within the
+    shape. A join of such rows tests a pair of shapes once, however often it
+    occurs."""
+    single = isinstance(carry, str)
+    names = [carry] if single else carry
+    w = Window.partitionBy(*shape).orderBy(*names)
+    t = df.select(*dict.fromkeys([*shape, *names]), F.floor((F.row_number().over(w) - 1) / most).alias("_part"))
+    each = F.col(carry) if single else F.struct(*(F.col(c).alias(f"_{c}") for c in names))
+    t = t.groupBy(*shape, "_part").agg(F.collect_list(each).alias("_ids"))
     return t if numbered else t.drop("_part")
 
 
